@@ -39,8 +39,14 @@ def timestamp_of_text(text: Column) -> Column:
 
 
 def json_or_null(text: Column) -> Column:
-    """JSON text to a variant; NULL when it does not parse."""
-    return F.try_parse_json(text)
+    """JSON text to a variant; NULL when it does not parse.
+
+    The parser stops after the first value and would accept what follows it. Set inside an object
+    and inside an array, only a text that is one value and nothing else parses both times.
+    """
+    inside = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(listed.isNotNull(), F.try_variant_get(inside, "$.v", "variant"))
 
 
 def slug(text: Column) -> Column:

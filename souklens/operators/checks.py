@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from souklens.functions.texts import json_or_null
+
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -53,7 +55,7 @@ def unique_keys(keys: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 def document_counts(documents: DataFrame) -> DataFrame:
     """Documents in total and active, and how many ``attributes`` texts parsed."""
-    parsed = F.try_parse_json("attributes")
+    parsed = json_or_null(F.col("attributes"))
     return documents.agg(
         F.count(F.lit(1)).alias("total_documents"),
         F.count_if("is_active").alias("active_documents"),

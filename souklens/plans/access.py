@@ -28,17 +28,19 @@ def events(staged: DataFrame) -> DataFrame:
 
 
 def products(staged: DataFrame) -> DataFrame:
-    """Ids come as base64 of 16 bytes or as plain text, times as epoch milliseconds."""
-    rows = documents.rows_of_arrays(staged, schemas.PRODUCT)
+    return typed_products(documents.rows_of_arrays(staged, schemas.PRODUCT))
 
-    def identifier(name: str) -> list:
+
+def typed_products(rows: DataFrame) -> DataFrame:
+    """Catalogue documents with ids from base64 of 16 bytes and times from epoch milliseconds."""
+    def identifier(name: str, out: str) -> list:
         raw = F.col(f"{name}.`$binary`.base64")
-        out = "product_id" if name == "id" else name
         return [raw.alias(f"{out}_b64"), base64_to_uuid(raw).alias(out)]
 
+    times = [from_epoch_ms(F.col(f"{c}.`$date`")).alias(c) for c in ("created_at", "updated_at")]
     return rows.select(
-        *identifier("id"), *identifier("seller_id"), "name", "slug", "product_type", "description", "price_usd", "currency",
-        "is_active", *[from_epoch_ms(F.col(f"{c}.`$date`")).alias(c) for c in ("created_at", "updated_at")])
+        *identifier("id", "product_id"), *identifier("seller_id", "seller_id"), "name", "slug", "product_type", "description",
+        "price_usd", "currency", "is_active", *times)
 
 
 def bought_with(items: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -28,4 +28,6 @@ def read_copy(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.options(header=True, quote='"', escape='"', emptyValue='""', nullValue="").mode("overwrite").csv(path)
+    df.write.options(
+        header=True, quote='"', escape='"', emptyValue='""', nullValue="", timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    ).mode("overwrite").csv(path)

@@ -34,14 +34,22 @@ class MaterializedCopy:
         return self.spark.read.parquet(folder)
 
 
-def write_by_day(events: DataFrame, path: str, time: str = "occurred_at", mode: str = "overwrite") -> None:
-    """Store rows in one folder per day. Rows are range-partitioned by time first: a task writes
-    few days, and a busy day is shared by several tasks."""
-    dated = events.withColumn("event_date", F.to_date(time))
+def chunk_of(ts: Column, chunk: str) -> Column:
+    """First day of the time chunk (``DAY``, ``WEEK`` or ``MONTH``) that ``ts`` lies in."""
+    return F.to_date(F.date_trunc(chunk, ts))
+
+
+def write_by_time(events: DataFrame, path: str, time: str = "occurred_at", chunk: str = "WEEK", mode: str = "overwrite") -> None:
+    """Store rows in one folder per time chunk; choose the chunk so that it holds some gigabytes.
+
+    Rows are range-partitioned by time first: a task writes few chunks, and a busy chunk is shared
+    by several tasks.
+    """
+    dated = events.withColumn("event_date", chunk_of(F.col(time), chunk))
     dated.repartitionByRange(F.col(time)).write.mode(mode).partitionBy("event_date").parquet(path)
 
 
-def read_since(spark: SparkSession, path: str, start: Column, time: str = "occurred_at") -> DataFrame:
-    """Rows from ``start`` on; days before it are not read."""
+def read_since(spark: SparkSession, path: str, start: Column, time: str = "occurred_at", chunk: str = "WEEK") -> DataFrame:
+    """Rows from ``start`` on; chunks before it are not read. ``chunk`` is that of the store."""
     rows = spark.read.parquet(path)
-    return rows.filter((F.col("event_date") >= F.to_date(start)) & (F.col(time) >= start))
+    return rows.filter((F.col("event_date") >= chunk_of(start, chunk)) & (F.col(time) >= start))

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from souklens.functions.times import parse_iso
 from souklens.sources import schemas
+from souklens.sources.storage import chunk_of
 
 
 def event_stream(spark: SparkSession, drops: str, late: str = "7 days") -> DataFrame:
@@ -16,8 +17,9 @@ def event_stream(spark: SparkSession, drops: str, late: str = "7 days") -> DataF
     return typed.withWatermark("occurred_at", late).dropDuplicatesWithinWatermark(["id"])
 
 
-def load(spark: SparkSession, drops: str, store: str, checkpoint: str, late: str = "7 days") -> StreamingQuery:
+def load(spark: SparkSession, drops: str, store: str, checkpoint: str, late: str = "7 days",
+         chunk: str = "WEEK") -> StreamingQuery:
     """Load what has arrived since the last run, then stop."""
-    rows = event_stream(spark, drops, late).withColumn("event_date", F.to_date("occurred_at"))
+    rows = event_stream(spark, drops, late).withColumn("event_date", chunk_of(F.col("occurred_at"), chunk))
     return (rows.writeStream.format("parquet").partitionBy("event_date").outputMode("append")
             .option("path", store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
