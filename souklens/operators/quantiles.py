@@ -19,14 +19,16 @@ def value_counts(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
         *keys, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_quantiles(counts: DataFrame, keys: list[str], probs: dict[str, float], width: int) -> DataFrame:
+def exact_quantiles(counts: DataFrame, keys: list[str], probs: dict[str, float], width: int | Column) -> DataFrame:
     """Linearly interpolated quantiles of whole-number values, one row per group.
 
     ``counts`` has the columns ``keys``, ``value`` and ``n``. ``probs`` names the output columns.
-    ``width`` is the number of values per bucket: it bounds the values ranked together, and the
-    value range over ``width`` bounds the buckets ranked together.
+    ``width`` is the number of values per bucket, one number or a column that is constant within a
+    group: it bounds the values ranked together, and the value range over ``width`` bounds the
+    buckets ranked together.
     """
-    bucketed = counts.withColumn("bucket", F.floor(F.col("value") / F.lit(float(width))).cast("long"))
+    size = F.lit(width) if isinstance(width, int) else width
+    bucketed = counts.withColumn("bucket", F.floor(F.col("value") / size.cast("double")).cast("long"))
     per_bucket = bucketed.groupBy(*keys, "bucket").agg(F.sum("n").alias("in_bucket"))
 
     by_group = Window.partitionBy(*keys)

@@ -318,13 +318,13 @@ def _cube_quantiles(base: DataFrame, keys: list[str]) -> DataFrame:
     cubed = fine.groupingSets(sets, *keys, *both).agg(F.sum("n").alias("n"), F.grouping_id(*keys, *both).alias("_id"))
     counts = cubed.withColumn("_qg", F.shiftright("_id", 2).cast("int")).select(
         "_qg", *[F.col(k).alias(f"_q{k}") for k in keys], "measure", "value", "n")
-    group = ["_qg", *[f"_q{k}" for k in keys]]
-    amounts = exact_quantiles(counts.filter(F.col("measure") == "amount"), group, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, _CENTS_PER_BUCKET)
-    delays = exact_quantiles(counts.filter(F.col("measure") == "delay"), group, {"d50": 0.5}, _SECONDS_PER_BUCKET)
-    none = F.lit(None).cast("double")
-    return amounts.withColumn("d50", none).unionByName(
-        delays.select(*group, *[none.alias(q) for q in ("q25", "q50", "q75")], "d50")).groupBy(*group).agg(
-        *[F.max(q).alias(q) for q in ("q25", "q50", "q75", "d50")])
+    cell = ["_qg", *[f"_q{k}" for k in keys]]
+    amount = F.col("measure") == "amount"
+    width = F.when(amount, _CENTS_PER_BUCKET).otherwise(_SECONDS_PER_BUCKET)
+    quarters = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    both_quantiles = exact_quantiles(counts, [*cell, "measure"], quarters, width)
+    return both_quantiles.groupBy(*cell).agg(
+        *[F.max(F.when(amount, F.col(q))).alias(q) for q in quarters], F.max(F.when(~amount, F.col("q50"))).alias("d50"))
 
 
 def cohort_retention(cohort: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from souklens.session import apply_settings, written
 #: The reports' "now", fixed so that results can be compared.
 AS_OF = dt.datetime(2001, 8, 1)
 
+_tables: dict[tuple[str, str, str], DataFrame] = {}
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -38,10 +39,17 @@ class Market:
         self.spark, self.path = spark, path.rstrip("/")
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}.parquet")
+        """The lazy frame of a stored table; its files are listed and its schema read once."""
+        key = self._key(table)
+        if key not in _tables:
+            _tables[key] = self.spark.read.parquet(f"{self.path}/{table}.parquet")
+        return _tables[key]
+
+    def _key(self, name: str) -> tuple[str, str, str]:
+        return self.spark.sparkContext.applicationId, self.path, name
 
     def _once(self, name: str, build) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.path, name)
+        key = self._key(name)
         if key not in _written:
             _written[key] = written(build(), name)
         return _written[key]
@@ -107,6 +115,10 @@ class Market:
     # orders ---------------------------------------------------------------------------------
 
     def orders(self) -> DataFrame:
+        """Orders as the relational store delivers them: the time is ISO text."""
+        return self.orders_typed().withColumn("created_at", iso_text(F.col("created_at")))
+
+    def orders_typed(self) -> DataFrame:
         nation = self.raw("customer").join(self.raw("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(
             F.col("c_custkey"), F.col("n_name"))
         return self.raw("orders").join(nation, F.col("c_custkey") == F.col("o_custkey")).select(
@@ -115,7 +127,7 @@ class Market:
             F.col("o_orderkey").alias("invoice_id"),
             F.col("o_orderstatus").alias("status"),
             F.col("n_name").alias("shipping_country"),
-            iso_text(F.col("o_orderdate").cast("timestamp")).alias("created_at"),
+            F.col("o_orderdate").cast("timestamp").alias("created_at"),
         )
 
     def _lines(self) -> list[Column]:

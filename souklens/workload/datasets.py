@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from souklens.functions.texts import blank_to_null
 from souklens.operators import baskets
 from souklens.plans import access, consolidation, dimensions, facts
 from souklens.session import new_path
 from souklens.sources import delimited, documents, schemas
 from souklens.sources.market import Market, as_of
 from souklens.workload.registry import query
-from souklens.workload.tables_sql import pct
 
 ORDERS_SQL = """SELECT CAST(id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS user_id, CAST(invoice_id AS VARCHAR) AS invoice_id,
     status, shipping_country, created_at FROM orders_d"""
@@ -222,7 +220,7 @@ def cons_user_orders(m: Market) -> DataFrame:
     FROM activity a LEFT JOIN sales s ON s.user_id = a.user_id AND s.order_month = a.activity_month""",
     "user_activity", "orders_d", "order_items")
 def cons_user_engagement_sales(m: Market) -> DataFrame:
-    return facts.user_engagement_sales(m.users(), m.events(), m.orders(), m.order_items())
+    return facts.user_engagement_sales(m.users(), m.events(), m.orders_typed(), m.order_items())
 
 
 # dimensions ---------------------------------------------------------------------------------
@@ -264,7 +262,7 @@ query("dim_product_affinity_type", "SELECT * FROM affinity_type", "affinity_type
 
 
 def geography(m: Market) -> DataFrame:
-    return dimensions.geography(m.users(), m.sellers(), m.orders())
+    return dimensions.geography(m.users(), m.sellers(), m.orders_typed())
 
 
 query("dim_geography", "SELECT * FROM geography", "geography")(geography)
