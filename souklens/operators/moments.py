@@ -2,7 +2,8 @@
 
 A cube over raw rows multiplies every row by the number of grouping sets. Here the rows are
 reduced once to one row per finest cell, and only the cells are cubed. Deviations merge by their
-distance to a common centre, which avoids the loss of digits of plain sums of squares.
+distance to a common centre, which avoids the loss of digits of plain sums of squares; what is lost
+is about 1e-16 times the squared distance of a group from the centre over the group's variance.
 """
 
 from __future__ import annotations
