@@ -36,22 +36,22 @@ def bought_with(items: DataFrame, products: DataFrame, split_above: int = SPLIT_
 
     Ordinary baskets are gathered, one row per order with at most ``split_above`` products, and
     expanded in place: one shuffle. Larger baskets, whatever their size, are split into blocks of
-    products; each pair of blocks is a join key of its own, so a basket spreads over as many tasks
-    as it has block pairs and each product pair arises in exactly one of them. Counting combines
-    within each task before the shuffle.
+    about that many distinct products; each pair of blocks is a join key of its own, so a basket
+    spreads over as many tasks as it has block pairs and each product pair arises in exactly one of
+    them. Counting combines within each task before the shuffle.
 
-    The list of large baskets is written, so its size is exact when Catalyst plans the joins with
-    it; it holds at most (lines / split_above) rows.
+    The orders with many lines (at most lines / split_above of them) and then their distinct
+    products are written, so their size is exact when Catalyst plans the joins with them.
     """
     sizes = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("lines"))
-    large = written(
-        sizes.filter(F.col("lines") > split_above).select(
-            F.col("order_id").alias("_large"),
-            F.ceil(F.col("lines") / split_above).cast("int").alias("blocks")),
-        "large_baskets")
+    large = written(sizes.filter(F.col("lines") > split_above).select(F.col("order_id").alias("_large")), "large_orders")
     lines = contains_lines(items, products)
-    small = lines.join(large, F.col("order_id") == F.col("_large"), "left_anti")
-    pairs = _pairs_in_place(small).unionByName(_pairs_by_block(lines, large))
+    if large.isEmpty():
+        pairs = _pairs_in_place(lines)
+    else:
+        is_large = F.col("order_id") == F.col("_large")
+        edges = written(lines.join(large, is_large, "left_semi").distinct(), "large_baskets")
+        pairs = _pairs_in_place(lines.join(large, is_large, "left_anti")).unionByName(_pairs_by_block(edges, split_above))
     return pairs.groupBy("product_1_id", "product_2_id").agg(F.count(F.lit(1)).alias("co_purchase_count"))
 
 
@@ -62,8 +62,10 @@ def _pairs_in_place(lines: DataFrame) -> DataFrame:
     return first.select("product_1_id", F.explode(later).alias("product_2_id"))
 
 
-def _pairs_by_block(lines: DataFrame, large: DataFrame) -> DataFrame:
-    cells = lines.join(large, F.col("order_id") == F.col("_large")).distinct().withColumn(
+def _pairs_by_block(edges: DataFrame, block_size: int) -> DataFrame:
+    blocks = edges.groupBy(F.col("order_id").alias("_order")).agg(
+        F.ceil(F.count(F.lit(1)) / block_size).cast("int").alias("blocks"))
+    cells = edges.join(blocks, F.col("order_id") == F.col("_order")).withColumn(
         "block", F.pmod(F.xxhash64("product_id"), F.col("blocks")).cast("int"))
     row = cells.select(F.col("order_id").alias("lo"), F.col("product_id").alias("lp"), F.col("block").alias("li"),
                        F.explode(F.sequence("block", F.col("blocks") - 1)).alias("lj"))

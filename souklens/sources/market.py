@@ -141,7 +141,8 @@ class Market:
 
     @staticmethod
     def _line_id() -> Column:
-        return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+        keys = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+        return F.concat_ws("-", *keys, F.date_format("l_shipdate", "yyyyMMdd"))
 
     def order_items(self) -> DataFrame:
         return self.raw("lineitem").select(
@@ -150,15 +151,16 @@ class Market:
         )
 
     def marketplace_invoices(self) -> DataFrame:
-        status = F.expr("CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'pending' ELSE 'overdue' END")
-        return self.raw("orders").filter(F.col("o_orderkey") % 11 != 0).select(
+        """Orders in progress (status P) have no invoice yet."""
+        status = F.when(F.col("o_orderstatus") == "F", "paid").otherwise("pending")
+        return self.raw("orders").filter(F.col("o_orderstatus") != "P").select(
             F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), status.alias("status"),
             _money(F.col("o_totalprice")).alias("total_usd"),
             iso_text(F.col("o_orderdate").cast("timestamp")).alias("created_at"),
         )
 
     def marketplace_invoice_lines(self) -> DataFrame:
-        return self.raw("lineitem").filter(F.col("l_orderkey") % 11 != 0).select(
+        return self.raw("lineitem").select(
             F.concat(self._line_id(), F.lit("-M")).alias("id"), F.col("l_orderkey").alias("invoice_id"),
             F.col("l_partkey").alias("product_id"), *self._lines(),
         )
@@ -228,7 +230,7 @@ class Market:
         annual = F.col("o_orderstatus") == "F"
         end = F.when(key % 17 != 0, plus_days(start, F.when(annual, 365).otherwise(30)))
         cancelled = F.when(key % 3 == 0, plus_days(start, key % 200))
-        return self.raw("orders").filter(key % 5 == 0).select(
+        return self.raw("orders").select(
             key.alias("id"),
             F.col("o_custkey").alias("user_id"),
             F.col("o_orderpriority").alias("tier_id"),
@@ -244,14 +246,13 @@ class Market:
         )
 
     def subscription_invoices(self) -> DataFrame:
-        owner = self.raw("orders").filter(F.col("o_orderkey") % 5 == 0).select("o_orderkey", "o_custkey")
+        owner = self.raw("orders").select("o_orderkey", "o_custkey")
         shipped = F.col("l_shipdate").cast("timestamp")
         subtotal = _money(F.col("l_extendedprice"))
         discount = _money(F.round(subtotal * F.col("l_discount").cast("decimal(4,2)"), 2))
         tax = _money(F.round(subtotal * F.col("l_tax").cast("decimal(4,2)"), 2))
         paid = F.col("l_returnflag") == "N"
-        lines = self.raw("lineitem").filter(F.col("l_orderkey") % 5 == 0)
-        return lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        return self.raw("lineitem").join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select(
             self._line_id().alias("id"),
             F.col("o_custkey").alias("user_id"),
             F.col("l_orderkey").alias("subscription_id"),
@@ -269,8 +270,8 @@ class Market:
         )
 
     def subscription_invoice_lines(self) -> DataFrame:
-        lines = self.raw("lineitem").filter((F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") != 7))
-        return lines.select(
+        """One line per invoice; a seventh position has no line."""
+        return self.raw("lineitem").filter(F.col("l_linenumber") != 7).select(
             F.concat(self._line_id(), F.lit("-L1")).alias("id"),
             self._line_id().alias("invoice_id"),
             F.col("l_partkey").alias("product_id"),

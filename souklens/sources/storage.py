@@ -42,11 +42,11 @@ def chunk_of(ts: Column, chunk: str) -> Column:
 def write_by_time(events: DataFrame, path: str, time: str = "occurred_at", chunk: str = "WEEK", mode: str = "overwrite") -> None:
     """Store rows in one folder per time chunk; choose the chunk so that it holds some gigabytes.
 
-    Rows are range-partitioned by time first: a task writes few chunks, and a busy chunk is shared
-    by several tasks.
+    Rows are range-partitioned by time first: a task writes few chunks, and a busy chunk, even a
+    busy instant, is shared by several tasks.
     """
     dated = events.withColumn("event_date", chunk_of(F.col(time), chunk))
-    dated.repartitionByRange(F.col(time)).write.mode(mode).partitionBy("event_date").parquet(path)
+    dated.repartitionByRange(F.col(time), F.xxhash64(*events.columns)).write.mode(mode).partitionBy("event_date").parquet(path)
 
 
 def read_since(spark: SparkSession, path: str, start: Column, time: str = "occurred_at", chunk: str = "WEEK") -> DataFrame:

@@ -24,10 +24,12 @@ def graph_order_vertices(m: Market) -> DataFrame:
     return baskets.order_vertices(m.order_items())
 
 
-@query("graph_contains_edges", "SELECT order_id, product_id FROM basket WHERE product_id % 3 <> 0", "basket")
+@query("graph_contains_edges", """
+    SELECT DISTINCT order_id, i.product_id FROM order_items i JOIN products p ON p.product_id = i.product_id WHERE is_active""",
+    "order_items", "products")
 def graph_contains_edges(m: Market) -> DataFrame:
     """Lines of products that the catalogue does not hold are dropped."""
-    return baskets.contains_edges(m.order_items(), m.products().filter(F.col("product_id") % 3 != 0))
+    return baskets.contains_edges(m.order_items(), m.products().filter("is_active"))
 
 
 query("graph_bought_with", "SELECT * FROM pairs", "pairs")(pairs)

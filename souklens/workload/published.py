@@ -6,9 +6,11 @@ from souklens.plans.catalog import Published
 from souklens.workload import datasets, reports
 from souklens.workload.registry import query
 
-#: Names and orders are fixed values.
+#: Names and leading order columns are fixed values. Where many rows may share the leading value, a
+#: key completes the order, so that a sort can split them over tasks.
 CATALOG = {
-    "sub-cohort": Published(datasets.sub_cohort, (("cohort_month", "desc_nulls_first"), ("user_id", "asc_nulls_last"))),
+    "sub-cohort": Published(datasets.sub_cohort, (
+        ("cohort_month", "desc_nulls_first"), ("user_id", "asc_nulls_last"), ("subscription_id", "asc"))),
     "engagement-revenue": Published(reports.engagement_revenue, (
         ("grp_month", "asc"), ("activity_month", "desc_nulls_first"), ("grp_country", "asc"), ("country_code", "asc_nulls_last"))),
     "geo-density": Published(reports.geo_density, (("grouping_label", "desc"), ("total_orders", "desc_nulls_last"))),
@@ -17,12 +19,13 @@ CATALOG = {
     "billing-trend": Published(reports.billing_trend, (("tier_name", "asc_nulls_last"), ("billing_month", "desc_nulls_first"))),
     "funnel-conversion": Published(reports.funnel_conversion),
     "payment-behaviour": Published(reports.payment_behaviour),
-    "pg-orders": Published(datasets.pg_orders, (("created_at", "desc_nulls_first"),)),
+    "pg-orders": Published(datasets.pg_orders, (("created_at", "desc_nulls_first"), ("id", "asc"))),
     "pg-order-items": Published(datasets.pg_order_items, (("id", "asc_nulls_last"),)),
-    "pg-mkt-invoices": Published(datasets.pg_mkt_invoices, (("created_at", "desc_nulls_first"),)),
-    "ts-events": Published(datasets.ts_events, (("occurred_at", "desc_nulls_first"),)),
-    "mg-products": Published(datasets.mg_products, (("created_at", "desc_nulls_first"),)),
-    "neo4j-bought-with": Published(datasets.bought_with, (("co_purchase_count", "desc_nulls_first"),)),
+    "pg-mkt-invoices": Published(datasets.pg_mkt_invoices, (("created_at", "desc_nulls_first"), ("id", "asc"))),
+    "ts-events": Published(datasets.ts_events, (("occurred_at", "desc_nulls_first"), ("id", "asc"))),
+    "mg-products": Published(datasets.mg_products, (("created_at", "desc_nulls_first"), ("product_id", "asc"))),
+    "neo4j-bought-with": Published(datasets.bought_with, (
+        ("co_purchase_count", "desc_nulls_first"), ("product_1_id", "asc"), ("product_2_id", "asc"))),
 }
 
 _SQL = {

@@ -199,13 +199,14 @@ def agg_count_distinct(m: Market) -> DataFrame:
 
 
 @query("agg_sum_nvl", """
-    SELECT product_type, CAST(sum(coalesce(quantity, 0)) AS BIGINT) AS quantity, CAST(sum(coalesce(line_total_usd, 0)) AS DOUBLE) AS revenue
-    FROM products p LEFT JOIN order_items i ON i.product_id = p.product_id AND i.quantity > 40 GROUP BY 1""", "products", "order_items")
+    SELECT user_id, CAST(sum(coalesce(CASE WHEN status <> 'pending' THEN 1 END, 0)) AS BIGINT) AS settled,
+        CAST(sum(coalesce(CASE WHEN status = 'paid' THEN total_usd END, 0)) AS DOUBLE) AS paid_usd
+    FROM sub_invoices GROUP BY 1""", "sub_invoices")
 def agg_sum_nvl(m: Market) -> DataFrame:
-    sold = m.order_items().filter(F.col("quantity") > 40).groupBy(F.col("product_id").alias("_p")).agg(
-        F.sum("quantity").alias("q"), F.sum("line_total_usd").alias("r"))
-    return m.products().join(sold, F.col("product_id") == F.col("_p"), "left").groupBy("product_type").agg(
-        F.sum(nvl(F.col("q"), 0)).alias("quantity"), F.sum(F.coalesce("r", F.lit(0).cast("decimal(22,2)"))).alias("revenue"))
+    settled = F.when(F.col("status") != "pending", 1)
+    paid = F.when(F.col("status") == "paid", F.col("total_usd"))
+    return m.subscription_invoices().groupBy("user_id").agg(
+        F.sum(nvl(settled, 0)).alias("settled"), F.sum(F.coalesce(paid, F.lit(0).cast("decimal(12,2)"))).alias("paid_usd"))
 
 
 @query("agg_avg", f"""

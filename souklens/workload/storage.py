@@ -122,7 +122,7 @@ def snk_event_stream(m: Market) -> DataFrame:
     """Event documents loaded by a stream into the partitioned store."""
     drops, store, state = (new_path(m.spark, name) for name in ("event_drops", "event_table", "event_state"))
     access.events(staged_events(m)).write.json(drops)
-    event_load.load(m.spark, drops, store, state, late="4000 days", chunk="MONTH").awaitTermination()
+    event_load.load(m.spark, drops, store, state, chunk="MONTH").awaitTermination()
     return m.spark.read.parquet(store).drop("event_date")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 ISO = "'%Y-%m-%dT%H:%M:%S'"
 
-LINE_ID = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
+LINE_ID = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d')"
 CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
 EACH = (f"CAST(((2 * {CENTS} + CAST(l_quantity AS BIGINT)) // (2 * CAST(l_quantity AS BIGINT))) AS DECIMAL(18,2)) / 100")
 LINE = f"""CAST(l_quantity AS INTEGER) AS quantity, CAST({EACH} AS DECIMAL(10,2)) AS unit_price_usd,
@@ -44,12 +44,12 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT {LINE_ID} AS id, l_orderkey AS order_id, l_partkey AS product_id, {LINE} FROM lineitem"""),
     "mkt_invoices": ((), f"""
         SELECT o_orderkey AS id, o_custkey AS user_id,
-            CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'pending' ELSE 'overdue' END AS status,
+            CASE o_orderstatus WHEN 'F' THEN 'paid' ELSE 'pending' END AS status,
             CAST(o_totalprice AS DECIMAL(12,2)) AS total_usd, strftime(o_orderdate, {ISO}) || '+00:00' AS created_at
-        FROM orders WHERE o_orderkey % 11 <> 0"""),
+        FROM orders WHERE o_orderstatus <> 'P'"""),
     "mkt_lines": ((), f"""
         SELECT {LINE_ID} || '-M' AS id, l_orderkey AS invoice_id, l_partkey AS product_id, {LINE}
-        FROM lineitem WHERE l_orderkey % 11 <> 0"""),
+        FROM lineitem"""),
     "events_d": ((), """
         SELECT event_id AS id, user_id,
             CASE event_type
@@ -77,7 +77,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
             CASE WHEN o_orderkey % 3 = 0 THEN 'reason-' || (o_orderkey % 4) END AS cancel_reason,
             CASE WHEN o_orderstatus = 'F' THEN 'annual' ELSE 'monthly' END AS billing_cycle, o_orderdate AS created_at,
             CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + to_days(CAST(o_orderkey % 200 AS INTEGER)) ELSE o_orderdate END AS updated_at
-        FROM orders WHERE o_orderkey % 5 = 0"""),
+        FROM orders"""),
     "sub_invoices": ((), f"""
         SELECT *, CAST(subtotal_usd - discount_usd AS DECIMAL(12,2)) AS total_usd FROM (
             SELECT {LINE_ID} AS id, o_custkey AS user_id, l_orderkey AS subscription_id, 'subscription' AS invoice_type,
@@ -88,11 +88,11 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                 l_shipdate AS billing_period_start, l_shipdate + to_days(30) AS billing_period_end,
                 CASE WHEN l_returnflag = 'N' THEN l_shipdate + to_days(CAST(l_partkey % 30 AS INTEGER)) END AS paid_at,
                 l_shipdate + to_days(14) AS due_at, l_shipdate AS created_at
-            FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 5 = 0)"""),
+            FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""),
     "sub_lines": ((), f"""
         SELECT {LINE_ID} || '-L1' AS id, {LINE_ID} AS invoice_id, l_partkey AS product_id,
             'Item ' || l_linenumber AS description, {LINE}, l_shipdate AS created_at
-        FROM lineitem WHERE l_orderkey % 5 = 0 AND l_linenumber <> 7"""),
+        FROM lineitem WHERE l_linenumber <> 7"""),
     "basket": (("order_items", "products"), """
         SELECT DISTINCT order_id, i.product_id FROM order_items i JOIN products p ON p.product_id = i.product_id"""),
     "pairs": (("basket",), """

@@ -108,17 +108,18 @@ def test_jdbc_reads_are_parallel():
     assert options["numPartitions"] == "16" and options["partitionColumn"] == "id"
 
 
-def test_stream_loads_each_event_once(spark, tmp_path):
+def test_stream_loads_each_file_once_and_late_events(spark, tmp_path):
     drops, store, state = (str(tmp_path / n) for n in ("drops", "store", "state"))
 
     def drop(ids):
         rows = [(str(i), "u", "search", None, "{}", f"2024-01-{i:02d}T00:00:00+00:00") for i in ids]
         spark.createDataFrame(rows, schemas.EVENT).write.mode("append").json(drops)
-        event_load.load(spark, drops, store, state, late="60 days").awaitTermination()
+        event_load.load(spark, drops, store, state).awaitTermination()
 
-    drop([1, 2, 3, 3])
+    drop([12, 20, 21, 28])
     drop([3, 4])
-    assert sorted(int(r.id) for r in spark.read.parquet(store).collect()) == [1, 2, 3, 4]
+    event_load.load(spark, drops, store, state).awaitTermination()
+    assert sorted(int(r.id) for r in spark.read.parquet(store).collect()) == [3, 4, 12, 20, 21, 28]
 
 
 def test_shared_folder_follows_the_setting(spark):
