@@ -4,60 +4,56 @@ A cube over raw rows multiplies every row by the number of grouping sets. Here t
 reduced once to one row per finest cell, and only the cells are cubed. Deviations merge by their
 distance to a common centre, which avoids the loss of digits of plain sums of squares; what is lost
 is about 1e-16 times the squared distance of a group from the centre over the group's variance.
+
+Arguments named x and y are SQL expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def cell_moments(name: str, x: Column) -> list[Column]:
+def cell_moments(name: str, x: str) -> list[Column]:
     """Aggregates that describe ``x`` in a cell."""
-    x = x.cast("double")
-    return [
-        F.count(x).alias(f"{name}_n"), F.avg(x).alias(f"{name}_mean"),
-        (F.var_pop(x) * F.count(x)).alias(f"{name}_m2"),
-        F.min(x).alias(f"{name}_min"), F.max(x).alias(f"{name}_max"),
-    ]
+    x = f"cast({x} as double)"
+    return [F.expr(f"{e} AS {name}_{part}") for part, e in {
+        "n": f"count({x})", "mean": f"avg({x})", "m2": f"var_pop({x}) * count({x})", "min": f"min({x})", "max": f"max({x})"}.items()]
 
 
-def cell_comoments(name: str, x: Column, y: Column) -> list[Column]:
+def cell_comoments(name: str, x: str, y: str) -> list[Column]:
     """Aggregates that describe the pairs of ``x`` and ``y`` in a cell where both are present."""
-    both = x.isNotNull() & y.isNotNull()
-    px, py = F.when(both, x).cast("double"), F.when(both, y).cast("double")
-    return cell_moments(f"{name}_x", px) + cell_moments(f"{name}_y", py) + [
-        (F.covar_pop(px, py) * F.count(px)).alias(f"{name}_xy")]
+    px, py = f"CASE WHEN ({y}) IS NOT NULL THEN {x} END", f"CASE WHEN ({x}) IS NOT NULL THEN {y} END"
+    both = f"covar_pop(cast({px} as double), cast({py} as double)) * count({px}) AS {name}_xy"
+    return [*cell_moments(f"{name}_x", px), *cell_moments(f"{name}_y", py), F.expr(both)]
 
 
 def centred(cells: DataFrame, names: list[str]) -> DataFrame:
-    """Cell means as distances to the overall mean, which the merge needs. There is one row per
-    cell, so the window over all of them is small."""
-    everything = Window.partitionBy()
-    for name in names:
-        n, mean = F.col(f"{name}_n"), F.col(f"{name}_mean")
-        centre = F.sum(n * mean).over(everything) / F.nullif(F.sum(n).over(everything), F.lit(0))
-        cells = cells.withColumn(f"{name}_d", mean - centre)
-    return cells
+    """Adds each cell mean's distance to the overall mean, which the merge needs. There is one row
+    per cell, so the window over all of them is small."""
+    def centre(name: str) -> str:
+        return f"sum({name}_n * {name}_mean) OVER () / nullif(sum({name}_n) OVER (), 0)"
+    return cells.selectExpr("*", *[f"{name}_mean - {centre(name)} AS {name}_d" for name in names])
+
+
+def _m2(n: str, d: str, e: str, own: str) -> str:
+    """Sum of products of deviations of the merged cells."""
+    return f"(sum({own}) + sum({n} * {d} * {e}) - sum({n} * {d}) * sum({n} * {e}) / nullif(sum({n}), 0))"
 
 
-def _merged_m2(name: str, other: str | None = None, own: str | None = None) -> Column:
-    n, d = F.col(f"{name}_n"), F.col(f"{name}_d")
-    e = F.col(f"{other}_d") if other else d
-    total = F.nullif(F.sum(n), F.lit(0))
-    return F.sum(F.col(own or f"{name}_m2")) + F.sum(n * d * e) - F.sum(n * d) * F.sum(n * e) / total
+def _varies(name: str) -> str:
+    return f"min({name}_min) < max({name}_max)"
 
 
-def merged_stddev(name: str) -> Column:
-    """Sample standard deviation of the merged cells: 0 for one value, NULL for none."""
-    n = F.sum(f"{name}_n")
-    constant = F.min(f"{name}_min") == F.max(f"{name}_max")
-    spread = F.sqrt(F.greatest(_merged_m2(name), F.lit(0.0)) / F.nullif(n - 1, F.lit(0)))
-    return F.when(n == 0, F.lit(None).cast("double")).when(constant, F.lit(0.0)).otherwise(spread)
+def merged_stddev(name: str) -> str:
+    """Sample standard deviation of the merged cells: 0 for one value or equal values, NULL for none."""
+    m2 = _m2(f"{name}_n", f"{name}_d", f"{name}_d", f"{name}_m2")
+    spread = f"sqrt(greatest({m2}, 0D) / nullif(sum({name}_n) - 1, 0))"
+    return f"CASE WHEN sum({name}_n) = 0 THEN NULL WHEN {_varies(name)} THEN {spread} ELSE 0D END"
 
 
-def merged_pearson(name: str) -> Column:
+def merged_pearson(name: str) -> str:
     """Correlation of the merged cells; NULL when a side is constant."""
     x, y = f"{name}_x", f"{name}_y"
-    varies = (F.min(f"{x}_min") < F.max(f"{x}_max")) & (F.min(f"{y}_min") < F.max(f"{y}_max"))
-    spread = F.nullif(F.sqrt(F.greatest(_merged_m2(x), F.lit(0.0)) * F.greatest(_merged_m2(y), F.lit(0.0))), F.lit(0.0))
-    return F.when(varies, _merged_m2(x, y, f"{name}_xy") / spread)
+    mx, my = (_m2(f"{s}_n", f"{s}_d", f"{s}_d", f"{s}_m2") for s in (x, y))
+    spread = f"nullif(sqrt(greatest({mx}, 0D) * greatest({my}, 0D)), 0D)"
+    return f"CASE WHEN {_varies(x)} AND {_varies(y)} THEN {_m2(f'{x}_n', f'{x}_d', f'{y}_d', f'{name}_xy')} / {spread} END"

@@ -247,8 +247,8 @@ def invoice_payment_behaviour(invoices: DataFrame, subscriptions: DataFrame, tie
     """Invoices by every combination of plan, billing cycle and country: counts, rates, mean,
     deviation, quantiles and correlations.
 
-    The joined invoices are written once and read twice: for the moments of the finest cells, which
-    are then merged up the cube, and for the value counts, from which exact quantiles are located.
+    The joined invoices are written once and read three times: for the moments of the finest cells,
+    which are then merged up the cube, to locate the quantiles, and to pick them.
     """
     keys = ["tier_name", "billing_cycle", "country_code"]
     base = written(_invoice_base(invoices, subscriptions, tiers, users), "invoice_base")
@@ -258,14 +258,11 @@ def invoice_payment_behaviour(invoices: DataFrame, subscriptions: DataFrame, tie
              .when((F.col("grp_cycle") == 1) & (F.col("grp_country") == 1), "Tier Subtotal")
              .when(F.col("grp_country") == 1, "Tier + Cycle Subtotal").otherwise("Detail"))
     same = null_safe([(F.col("_g"), F.col("_qg"))] + [(F.col(k), F.col(f"_q{k}")) for k in keys])
-    cents = {"median_invoice_usd": "q50", "p25_invoice_usd": "q25", "p75_invoice_usd": "q75"}
     return merged.join(quantiles, same, "left").select(
         *keys, "total_invoices", "paid_count", "overdue_count", "discounted_count", "payment_rate_pct", "overdue_rate_pct",
-        "avg_invoice_usd", "stddev_invoice_usd", "avg_discount_rate_pct", "stddev_days_to_pay",
-        "discount_payment_correlation", "invoice_size_payment_speed_corr",
-        *[(F.round(q) / 100).alias(name) for name, q in cents.items()],
-        F.round(F.col("d50") / _SECONDS_PER_BUCKET, 1).alias("median_days_to_pay"),
-        label.alias("grouping_label"), "grp_tier", "grp_cycle", "grp_country")
+        "avg_invoice_usd", "median_invoice_usd", "stddev_invoice_usd", "p25_invoice_usd", "p75_invoice_usd",
+        "avg_discount_rate_pct", "median_days_to_pay", "stddev_days_to_pay", "discount_payment_correlation",
+        "invoice_size_payment_speed_corr", label.alias("grouping_label"), "grp_tier", "grp_cycle", "grp_country")
 
 
 def _invoice_base(invoices: DataFrame, subscriptions: DataFrame, tiers: DataFrame, users: DataFrame) -> DataFrame:
@@ -283,48 +280,42 @@ def _invoice_base(invoices: DataFrame, subscriptions: DataFrame, tiers: DataFram
 
 
 def _merged_cells(base: DataFrame, keys: list[str]) -> DataFrame:
-    days = F.col("pay_seconds") / _SECONDS_PER_BUCKET
+    days = f"pay_seconds / {_SECONDS_PER_BUCKET}"
+    sums = {"n": "count_if(has_id)", "paid": "sum(is_paid)", "overdue": "sum(is_overdue)", "discounted": "sum(has_discount)",
+            "billed": "sum(total_usd)", "rates": "sum(rate)", "rated": "count(rate)"}
     cells = base.groupBy(*keys).agg(
-        F.count_if("has_id").alias("n"), F.sum("is_paid").alias("paid"), F.sum("is_overdue").alias("overdue"),
-        F.sum("has_discount").alias("discounted"), F.sum("total_usd").alias("billed"),
-        F.sum("rate").alias("rates"), F.count("rate").alias("rated"),
-        *cell_moments("total", F.col("total_usd")), *cell_moments("days", days),
-        *cell_comoments("dp", F.col("rate"), F.col("is_paid")), *cell_comoments("sp", F.col("total_usd"), days))
+        *[F.expr(f"{e} AS {name}") for name, e in sums.items()],
+        *cell_moments("total", "total_usd"), *cell_moments("days", days),
+        *cell_comoments("dp", "rate", "is_paid"), *cell_comoments("sp", "total_usd", days))
     cells = centred(cells, ["total", "days", "dp_x", "dp_y", "sp_x", "sp_y"])
     n, paid, overdue = F.sum("n"), F.sum("paid"), F.sum("overdue")
+    flags = {"grp_tier": "tier_name", "grp_cycle": "billing_cycle", "grp_country": "country_code"}
     return cells.cube(*keys).agg(
         n.alias("total_invoices"), paid.alias("paid_count"), overdue.alias("overdue_count"),
         F.sum("discounted").alias("discounted_count"),
         percent(paid, n).alias("payment_rate_pct"), percent(overdue, n).alias("overdue_rate_pct"),
         mean_amount(F.sum("billed"), F.sum("total_n")).cast("double").alias("avg_invoice_usd"),
-        F.round(merged_stddev("total"), 2).alias("stddev_invoice_usd"),
+        F.expr(f"round({merged_stddev('total')}, 2) AS stddev_invoice_usd"),
         mean_amount(F.sum("rates"), F.sum("rated")).cast("double").alias("avg_discount_rate_pct"),
-        F.round(merged_stddev("days"), 2).alias("stddev_days_to_pay"),
-        F.round(merged_pearson("dp"), 4).alias("discount_payment_correlation"),
-        F.round(merged_pearson("sp"), 4).alias("invoice_size_payment_speed_corr"),
+        F.expr(f"round({merged_stddev('days')}, 2) AS stddev_days_to_pay"),
+        F.expr(f"round({merged_pearson('dp')}, 4) AS discount_payment_correlation"),
+        F.expr(f"round({merged_pearson('sp')}, 4) AS invoice_size_payment_speed_corr"),
         F.grouping_id(*keys).cast("int").alias("_g"),
-        *[F.grouping(k).cast("int").alias(a) for k, a in zip(keys, ("grp_tier", "grp_cycle", "grp_country"))])
+        *[F.expr(f"cast(grouping({k}) as int) AS {a}") for a, k in flags.items()])
 
 
 def _cube_quantiles(base: DataFrame, keys: list[str]) -> DataFrame:
-    """Quantiles of amount (q25, q50, q75, in cents) and payment delay (d50, in seconds) per cube cell."""
-    measures = F.array(
-        F.struct(F.lit("amount").alias("measure"), (F.col("total_usd") * 100).cast("long").alias("value")),
-        F.struct(F.lit("delay").alias("measure"), F.col("pay_seconds").alias("value")))
-    fine = base.select(*keys, F.inline(measures)).filter(F.col("value").isNotNull()).groupBy(*keys, "measure", "value").agg(
-        F.count(F.lit(1)).alias("n"))
-    both = ["measure", "value"]
-    sets = [[k for i, k in enumerate(keys) if not mask >> i & 1] + both for mask in range(8)]
-    cubed = fine.groupingSets(sets, *keys, *both).agg(F.sum("n").alias("n"), F.grouping_id(*keys, *both).alias("_id"))
-    counts = cubed.withColumn("_qg", F.shiftright("_id", 2).cast("int")).select(
-        "_qg", *[F.col(k).alias(f"_q{k}") for k in keys], "measure", "value", "n")
-    cell = ["_qg", *[f"_q{k}" for k in keys]]
-    amount = F.col("measure") == "amount"
-    width = F.when(amount, _CENTS_PER_BUCKET).otherwise(_SECONDS_PER_BUCKET)
-    quarters = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    both_quantiles = exact_quantiles(counts, [*cell, "measure"], quarters, width)
-    return both_quantiles.groupBy(*cell).agg(
-        *[F.max(F.when(amount, F.col(q))).alias(q) for q in quarters], F.max(F.when(~amount, F.col("q50"))).alias("d50"))
+    """Rounded quantiles of the amount and of the payment delay per cube cell."""
+    measured = base.selectExpr(*keys, """inline(array(
+        struct('amount' AS measure, cast(total_usd * 100 as bigint) AS value),
+        struct('delay' AS measure, cast(pay_seconds as bigint) AS value)))""")
+    width = f"CASE measure WHEN 'amount' THEN {_CENTS_PER_BUCKET} ELSE {_SECONDS_PER_BUCKET} END"
+    found = exact_quantiles(measured, ["measure"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, width, cube=keys)
+    amounts = {"p25_invoice_usd": "q25", "median_invoice_usd": "q50", "p75_invoice_usd": "q75"}
+    return found.groupBy("_g", *[f"_q{k}" for k in keys]).agg(
+        *[F.expr(f"round(max(CASE measure WHEN 'amount' THEN {q} END)) / 100 AS {name}") for name, q in amounts.items()],
+        F.expr(f"round(max(CASE measure WHEN 'delay' THEN q50 END) / {_SECONDS_PER_BUCKET}, 1) AS median_days_to_pay"),
+    ).withColumnRenamed("_g", "_qg")
 
 
 def cohort_retention(cohort: DataFrame) -> DataFrame:

@@ -118,17 +118,17 @@ class Market:
         """Orders as the relational store delivers them: the time is ISO text."""
         return self.orders_typed().withColumn("created_at", iso_text(F.col("created_at")))
 
+    def order_headers(self) -> DataFrame:
+        """Orders with a typed time and without the shipping country, which only a join yields."""
+        return self.raw("orders").select(
+            F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("invoice_id"),
+            F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+
     def orders_typed(self) -> DataFrame:
         nation = self.raw("customer").join(self.raw("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(
             F.col("c_custkey"), F.col("n_name"))
-        return self.raw("orders").join(nation, F.col("c_custkey") == F.col("o_custkey")).select(
-            F.col("o_orderkey").alias("id"),
-            F.col("o_custkey").alias("user_id"),
-            F.col("o_orderkey").alias("invoice_id"),
-            F.col("o_orderstatus").alias("status"),
-            F.col("n_name").alias("shipping_country"),
-            F.col("o_orderdate").cast("timestamp").alias("created_at"),
-        )
+        return self.order_headers().join(nation, F.col("c_custkey") == F.col("user_id")).select(
+            "id", "user_id", "invoice_id", "status", F.col("n_name").alias("shipping_country"), "created_at")
 
     def _lines(self) -> list[Column]:
         total = _money(F.col("l_extendedprice"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from souklens.functions.numbers import mean_amount, nvl, pearson, percent, ratio, sample_stddev
 from souklens.functions.times import month_of
 from souklens.operators.joins import detail_left_join, latest_per_key, null_safe, valid_at
-from souklens.operators.quantiles import exact_quantiles, value_counts
+from souklens.operators.quantiles import exact_quantiles
 from souklens.operators.rankings import newest_rows, page, page_after, rank_and_running_total
 from souklens.sources.market import Market
 from souklens.workload.registry import query
@@ -220,9 +220,9 @@ def agg_avg(m: Market) -> DataFrame:
 
 
 def _price_quantiles(m: Market, probs: dict[str, float]) -> DataFrame:
-    counts = value_counts(m.raw("lineitem"), ["l_returnflag"], money("l_extendedprice") * 100)
-    cents = exact_quantiles(counts, ["l_returnflag"], probs, width=100_000)
-    return cents.select("l_returnflag", *[(F.round(p) / 100).alias(p) for p in probs])
+    cents = exact_quantiles(
+        m.raw("lineitem"), ["l_returnflag"], "cast(l_extendedprice as decimal(12,2)) * 100", probs, width=100_000)
+    return cents.selectExpr("l_returnflag", *[f"round({p}) / 100 AS {p}" for p in probs])
 
 
 @query("agg_median", f"""

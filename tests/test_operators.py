@@ -80,13 +80,24 @@ def test_quantiles_against_numpy(spark, width):
               None: [rng.randrange(100) for _ in range(64)]}
     df = spark.createDataFrame([(g, v) for g, values in groups.items() for v in [*values, None]], "g string, v int")
     probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.66, "e": 0.99, "f": 1.0}
-    found = quantiles.exact_quantiles(quantiles.value_counts(df, ["g"], F.col("v")), ["g"], probs, width).collect()
+    found = quantiles.exact_quantiles(df, ["g"], "v", probs, width).collect()
     assert len(found) == len(groups)
     for row in found:
         for name, p in probs.items():
             assert abs(row[name] - np.quantile(groups[row.g], p)) < 1e-9, (row.g, name)
 
 
+def test_cube_quantiles_against_numpy(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.choice(["x", None]), rng.randrange(300)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a string, b string, v int")
+    found = quantiles.exact_quantiles(df, [], "v", {"q": 0.4}, 20, cube=["a", "b"]).collect()
+    assert len(found) == 4 + 2 + 2 + 1
+    for r in found:
+        part = [v for a, b, v in rows if (r._g & 2 or a == r._qa) and (r._g & 1 or b == r._qb)]
+        assert abs(r.q - np.quantile(part, 0.4)) < 1e-9
+
+
 def test_rank_and_running_total_against_brute_force(spark):
     rng = random.Random(1)
     rows = [(rng.choice("ab"), rng.choice("xyz"), 1 if rng.random() < 0.6 else rng.randrange(1, 9), i, i * 7 % 11) for i in range(400)]
@@ -125,9 +136,9 @@ def test_merged_moments_equal_direct_statistics(spark):
     rows = [(str(i % 3), str(i % 7), 1e6 + float(rng.normal()), float(rng.normal()) if i % 5 else None) for i in range(700)]
     rows += [("single", "z", 1e6, 2.0), ("flat", "u", 1e6 + 0.1, 1.0), ("flat", "v", 1e6 + 0.1, 2.0), ("flat", "v", 1e6 + 0.1, 3.0)]
     df = spark.createDataFrame(rows, "a string, b string, x double, y double")
-    cells = df.groupBy("a", "b").agg(*moments.cell_moments("x", F.col("x")), *moments.cell_comoments("xy", F.col("x"), F.col("y")))
+    cells = df.groupBy("a", "b").agg(*moments.cell_moments("x", "x"), *moments.cell_comoments("xy", "x", "y"))
     cells = moments.centred(cells, ["x", "xy_x", "xy_y"])
-    found = {r.a: r for r in cells.rollup("a").agg(moments.merged_stddev("x").alias("sd"), moments.merged_pearson("xy").alias("r")).collect()}
+    found = {r.a: r for r in cells.rollup("a").agg(F.expr(moments.merged_stddev("x")).alias("sd"), F.expr(moments.merged_pearson("xy")).alias("r")).collect()}
     for key in ("0", "1", "2", None):
         part = [(x, y) for a, _, x, y in rows if key is None or a == key]
         assert abs(found[key].sd / np.std([x for x, _ in part], ddof=1) - 1) < 1e-9
