@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from souklens.functions.texts import json_or_null
 
@@ -63,6 +63,16 @@ def document_counts(documents: DataFrame) -> DataFrame:
         F.count_if(F.col("attributes").isNotNull() & parsed.isNull()).alias("failed"))
 
 
+def period_overlaps(periods: DataFrame, owner: str, start: str, end: str) -> DataFrame:
+    """Per owner: periods that begin before an earlier one of the same owner has ended. They make an
+    as-of join return more than one row. An owner has few periods."""
+    earlier = Window.partitionBy(owner).orderBy(start, F.asc_nulls_last(end)).rowsBetween(Window.unboundedPreceding, -1)
+    open_before = F.max(F.col(end).isNull()).over(earlier)
+    overlap = open_before | (F.max(end).over(earlier) > F.col(start))
+    return periods.withColumn("_overlap", F.coalesce(overlap, F.lit(False))).groupBy(owner).agg(
+        F.count(F.lit(1)).alias("periods"), F.count_if("_overlap").alias("overlapping"))
+
+
 def fill_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Column defaults of the source tables for missing values."""
     return df.fillna(defaults)

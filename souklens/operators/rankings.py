@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from souklens.operators.joins import null_safe
+from souklens.session import written
+
 
 def tie_bucket(*ids: str) -> Column:
     """One of 4096 buckets from the ids; it splits rows that tie in the ordering value.
@@ -22,33 +25,33 @@ def rank_and_running_total(
     Both follow from a histogram of (rank_by, total_by, value, bucket): the rank is one plus the
     rows with a larger value, the running total is that of the histogram rows before plus the
     position within the own histogram cell. Only the cells, not the rows, are ordered per group,
-    and a value that most rows share is spread over the buckets. ``df`` is read twice, so it
-    should be a stored table.
+    and a value that most rows share is spread over the buckets. The histogram is written: it is
+    read three times, and its exact size decides whether it is broadcast. ``df`` is read twice, so
+    it should be a stored table. ``value`` must not be NULL; a NULL group is a group.
     """
     cell = [rank_by, total_by, value, "_bucket"]
     rows = df.withColumn("_bucket", tie_bucket(*ids))
-    cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    cells = written(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")), "rank_cells")
 
-    by_value = cells.groupBy(rank_by, value).agg(F.sum("_n").alias("_n"))
-    larger = Window.partitionBy(rank_by).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = by_value.select(F.col(rank_by).alias("_rk"), F.col(value).alias("_rv"),
-                            (F.coalesce(F.sum("_n").over(larger), F.lit(0)) + 1).alias(rank_as))
+    def before(group: str) -> Window:
+        return Window.partitionBy(group).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
 
-    sums = cells.groupBy(total_by, value).agg(F.sum("_n").alias("_n"))
-    above = Window.partitionBy(total_by).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(F.col(total_by).alias("_tk"), F.col(value).alias("_tv"),
-                        F.coalesce(F.sum(F.col("_n") * F.col(value)).over(above), F.lit(0)).alias("_base"))
+    ranks = cells.groupBy(rank_by, value).agg(F.sum("_n").alias("_n")).select(
+        F.col(rank_by).alias("_rk"), F.col(value).alias("_rv"), (F.coalesce(F.sum("_n").over(before(rank_by)), F.lit(0)) + 1).alias(rank_as))
+    larger = F.sum(F.col("_n") * F.col(value)).over(before(total_by))
+    bases = cells.groupBy(total_by, value).agg(F.sum("_n").alias("_n")).select(
+        F.col(total_by).alias("_tk"), F.col(value).alias("_tv"), F.coalesce(larger, F.lit(0)).alias("_base"))
 
     in_tie = Window.partitionBy(total_by, value).orderBy("_bucket", rank_by).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.withColumn("_skip", F.coalesce(F.sum("_n").over(in_tie), F.lit(0)))
-    offsets = offsets.join(ranks, (F.col(rank_by) == F.col("_rk")) & (F.col(value) == F.col("_rv"))).join(
-        bases, (F.col(total_by) == F.col("_tk")) & (F.col(value) == F.col("_tv"))).select(
-        *cell, "_skip", "_base", rank_as)
+    skipped = cells.withColumn("_skip", F.coalesce(F.sum("_n").over(in_tie), F.lit(0)))
+    offsets = skipped.join(ranks, null_safe([(F.col(rank_by), F.col("_rk"))]) & (F.col(value) == F.col("_rv"))).join(
+        bases, null_safe([(F.col(total_by), F.col("_tk"))]) & (F.col(value) == F.col("_tv"))).select(
+        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(cell)], "_skip", "_base", rank_as)
 
     position = F.row_number().over(Window.partitionBy(*cell).orderBy(*ids))
-    placed = rows.withColumn("_at", position).join(offsets, cell)
+    own_cell = null_safe([(F.col(c), F.col(f"_c{i}")) for i, c in enumerate(cell)])
     running = F.col("_base") + (F.col("_skip") + F.col("_at")) * F.col(value)
-    return placed.withColumn(running_as, running).drop("_at", "_skip", "_base", "_bucket")
+    return rows.withColumn("_at", position).join(offsets, own_cell).select(*df.columns, rank_as, running.alias(running_as))
 
 
 def newest_rows(df: DataFrame, when: str, tie: str, count: int) -> DataFrame:

@@ -20,12 +20,26 @@ SETTINGS = {
 }
 
 
-def build_session(app: str = "souklens", master: str | None = None, **options: str) -> SparkSession:
-    """A session with the settings above; ``options`` override them."""
+def sized_for(input_bytes: float, per_task: int = 256 << 20) -> dict[str, str]:
+    """Partition settings for an input size: scan and shuffle partitions that fit in a task's memory.
+
+    The reports reduce their input before they shuffle it, so a tenth of the input is taken as the
+    largest shuffle. It starts with that many partitions; adaptive execution merges what is smaller.
+    """
+    start = min(max(200, int(input_bytes / 10 / per_task)), 100_000)
+    return {"spark.sql.files.maxPartitionBytes": str(per_task), "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(per_task),
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(start)}
+
+
+def build_session(
+    app: str = "souklens", master: str | None = None, input_bytes: float | None = None, **options: str,
+) -> SparkSession:
+    """A session with the settings above, sized for the input if that is given; ``options`` override."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **options}.items():
+    sizes = sized_for(input_bytes) if input_bytes else {}
+    for key, value in {**SETTINGS, **sizes, **options}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

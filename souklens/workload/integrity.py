@@ -78,3 +78,12 @@ def check_not_null_defaults(m: Market) -> DataFrame:
     filled = checks.fill_defaults(loaded, {"status": "pending", "discount_usd": 0.0})
     after = checks.null_counts(filled, required).withColumnRenamed("missing", "missing_after")
     return checks.null_counts(loaded, required).join(after, "column_name")
+
+
+@query("check_price_overlaps", """
+    SELECT tier_id, count(*) AS periods, count(*) FILTER (EXISTS (
+        SELECT 1 FROM pricing q WHERE q.tier_id = p.tier_id AND q.id <> p.id AND q.valid_from <= p.valid_from
+            AND (q.valid_to IS NULL OR q.valid_to > p.valid_from))) AS overlapping
+    FROM pricing p GROUP BY 1""", "pricing")
+def check_price_overlaps(m: Market) -> DataFrame:
+    return checks.period_overlaps(m.tier_pricing(), "tier_id", "valid_from", "valid_to")

@@ -271,8 +271,8 @@ def agg_rollup(m: Market) -> DataFrame:
 
 
 @query("agg_cube", f"""
-    SELECT o_orderstatus, o_orderpriority, year(o_orderdate) AS year, {_GROUPED} FROM orders
-    GROUP BY CUBE (o_orderstatus, o_orderpriority, year(o_orderdate))""")
+    SELECT o_orderstatus, o_orderpriority, year, {_GROUPED} FROM (SELECT *, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders)
+    GROUP BY CUBE (o_orderstatus, o_orderpriority, year)""")
 def agg_cube(m: Market) -> DataFrame:
     fine = m.raw("orders").groupBy("o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("year")).agg(*_grouped())
     return fine.cube("o_orderstatus", "o_orderpriority", "year").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))

@@ -68,7 +68,7 @@ def number_functions(m: Market) -> DataFrame:
 
 
 @query("fn_texts", """
-    SELECT s_suppkey, trim(s_name) AS trimmed, length(s_name) AS chars, substr(s_name, 3, 4) AS piece, lower(s_name) AS lowered,
+    SELECT s_suppkey, trim(s_name) AS trimmed, CAST(length(s_name) AS INTEGER) AS chars, substr(s_name, 3, 4) AS piece, lower(s_name) AS lowered,
         s_name || '-' || s_suppkey AS joined, s_name AS unquoted, CASE WHEN s_suppkey % 3 <> 0 THEN s_name END AS not_blank FROM supplier""")
 def text_functions(m: Market) -> DataFrame:
     name = F.col("s_name")

@@ -100,14 +100,15 @@ def test_cube_quantiles_against_numpy(spark):
 
 def test_rank_and_running_total_against_brute_force(spark):
     rng = random.Random(1)
-    rows = [(rng.choice("ab"), rng.choice("xyz"), 1 if rng.random() < 0.6 else rng.randrange(1, 9), i, i * 7 % 11) for i in range(400)]
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), 1 if rng.random() < 0.6 else rng.randrange(1, 9), i, i * 7 % 11) for i in range(400)]
     df = spark.createDataFrame(rows, "r string, t string, v long, p long, q long")
     found = {row.p: row for row in rankings.rank_and_running_total(df, "r", "t", "v", ["p", "q"], "rank", "running").collect()}
 
     def order(row):
-        return (-row[2], hashlib.md5(f"{row[3]}|{row[4]}".encode()).hexdigest()[:3], row[0], row[3], row[4])
+        return (-row[2], hashlib.md5(f"{row[3]}|{row[4]}".encode()).hexdigest()[:3], row[0] or "", row[3], row[4])
 
-    for group in "xyz":
+    assert len(found) == len(rows)
+    for group in ("x", "y", None):
         total = 0
         for row in sorted((x for x in rows if x[1] == group), key=order):
             total += row[2]
@@ -169,3 +170,11 @@ def test_newest_vertex_name_wins(spark):
     rows = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1)), (1, "b", dt.datetime(2024, 5, 1)), (2, "c", None)],
                                  "product_id int, name string, updated_at timestamp")
     assert as_set(baskets.product_vertices(rows)) == Counter([(1, "b"), (2, "c")])
+
+
+def test_period_overlaps(spark):
+    rows = [("none", "2024-01-01", "2024-02-01"), ("none", "2024-02-01", None), ("some", "2024-01-01", "2024-03-01"),
+            ("some", "2024-02-01", "2024-02-10"), ("some", "2024-02-20", None), ("open", "2024-01-01", None), ("open", "2024-06-01", None)]
+    df = spark.createDataFrame(rows, "k string, a string, b string")
+    found = {r.k: (r.periods, r.overlapping) for r in checks.period_overlaps(df, "k", "a", "b").collect()}
+    assert found == {"none": (2, 0), "some": (3, 2), "open": (2, 1)}

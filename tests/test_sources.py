@@ -122,6 +122,14 @@ def test_stream_loads_each_file_once_and_late_events(spark, tmp_path):
     assert sorted(int(r.id) for r in spark.read.parquet(store).collect()) == [3, 4, 12, 20, 21, 28]
 
 
+def test_partitions_follow_the_input_size():
+    def start(size):
+        return int(session.sized_for(size)["spark.sql.adaptive.coalescePartitions.initialPartitionNum"])
+    assert start(1e9) == 200
+    assert 30_000 < start(100e12) < 50_000
+    assert start(1e16) == 100_000
+
+
 def test_shared_folder_follows_the_setting(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert session.shared_folder(spark) == (configured.rstrip("/") if configured else session.shared_folder(spark))
