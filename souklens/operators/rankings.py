@@ -46,12 +46,14 @@ def rank_and_running_total(
     skipped = cells.withColumn("_skip", F.coalesce(F.sum("_n").over(in_tie), F.lit(0)))
     offsets = skipped.join(ranks, null_safe([(F.col(rank_by), F.col("_rk"))]) & (F.col(value) == F.col("_rv"))).join(
         bases, null_safe([(F.col(total_by), F.col("_tk"))]) & (F.col(value) == F.col("_tv"))).select(
-        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(cell)], "_skip", "_base", rank_as)
+        F.struct(*cell).alias("_cell"), "_skip", "_base", rank_as)
 
-    position = F.row_number().over(Window.partitionBy(*cell).orderBy(*ids))
-    own_cell = null_safe([(F.col(c), F.col(f"_c{i}")) for i, c in enumerate(cell)])
+    # As one struct the key is equal to itself also where a part is NULL. With the same type on both
+    # sides the join takes over the partitioning of the window: the rows are moved once.
+    position = F.row_number().over(Window.partitionBy("_cell").orderBy(*ids))
+    placed = rows.withColumn("_cell", F.struct(*cell).cast(offsets.schema["_cell"].dataType)).withColumn("_at", position)
     running = F.col("_base") + (F.col("_skip") + F.col("_at")) * F.col(value)
-    return rows.withColumn("_at", position).join(offsets, own_cell).select(*df.columns, rank_as, running.alias(running_as))
+    return placed.join(offsets, "_cell").select(*df.columns, rank_as, running.alias(running_as))
 
 
 def newest_rows(df: DataFrame, when: str, tie: str, count: int) -> DataFrame:
