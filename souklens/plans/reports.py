@@ -212,25 +212,27 @@ def funnel_conversion_by_tier(
     """Events, users and conversion rates by plan and funnel stage, also split by product type and
     by month, and over everything. A user's plan is that of the latest subscription.
 
-    Events are counted per user, type, product and month before any join.
+    Events are counted per user, type, product and month before any join, and once more per user,
+    stage, product type and month before the rows are multiplied by the grouping sets.
     """
     counted = events.groupBy(
         F.col("user_id"), "event_type", "product_id", month_in(events, "occurred_at").alias("event_month")).agg(
         F.count(F.lit(1)).alias("n"))
+    p = products.select(F.col("product_id").alias("_product"), "product_type")
+    lower = F.col("event_type").isin("add_to_cart", "checkout_start", "purchase")
+    per_user = counted.join(p, F.col("product_id") == F.col("_product"), "left").groupBy(
+        "user_id", funnel_stage(F.col("event_type")).alias("funnel_stage"), "product_type", "event_month").agg(
+        F.sum("n").alias("n"), F.sum(F.when(lower, F.col("n")).otherwise(0)).alias("converted"),
+        F.sum(F.when(F.col("event_type") == "purchase", F.col("n")).otherwise(0)).alias("bought"))
     latest = latest_per_key(subscriptions, "user_id", "started_at", "id", ["tier_id"])
     plan = latest.join(tiers.select(F.col("id").alias("_tier"), F.col("name").alias("tier_name")),
                        F.col("tier_id") == F.col("_tier"), "left").select(F.col("user_id").alias("_subscriber"), "tier_name")
     known = users.select(F.col("id").alias("_user"))
-    p = products.select(F.col("product_id").alias("_product"), "product_type")
-    base = counted.join(known, F.col("user_id") == F.col("_user")).join(
-        plan, F.col("user_id") == F.col("_subscriber"), "left").join(
-        p, F.col("product_id") == F.col("_product"), "left").withColumn("funnel_stage", funnel_stage(F.col("event_type")))
+    base = per_user.join(known, F.col("user_id") == F.col("_user")).join(plan, F.col("user_id") == F.col("_subscriber"), "left")
 
     keys = ["tier_name", "funnel_stage", "product_type", "event_month"]
     sets = [keys[:2], keys[:3], ["tier_name", "funnel_stage", "event_month"], []]
-    lower = F.col("event_type").isin("add_to_cart", "checkout_start", "purchase")
-    total, converted, bought = (F.sum(c) for c in (
-        F.col("n"), F.when(lower, F.col("n")).otherwise(0), F.when(F.col("event_type") == "purchase", F.col("n")).otherwise(0)))
+    total, converted, bought = (F.sum(c) for c in ("n", "converted", "bought"))
     return base.groupingSets(sets, *keys).agg(
         total.alias("total_events"), converted.alias("conversion_events"), bought.alias("purchase_events"),
         F.countDistinct("user_id").alias("unique_users"),
