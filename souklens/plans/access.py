@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from souklens.functions.texts import base64_to_uuid
-from souklens.functions.times import from_epoch_ms
+from souklens.functions.times import from_epoch_ms, parse_iso
 from souklens.operators import baskets
 from souklens.sources import documents, schemas
 
@@ -32,15 +32,21 @@ def products(staged: DataFrame) -> DataFrame:
 
 
 def typed_products(rows: DataFrame) -> DataFrame:
-    """Catalogue documents with ids from base64 of 16 bytes and times from epoch milliseconds."""
-    def identifier(name: str, out: str) -> list:
-        raw = F.col(f"{name}.`$binary`.base64")
-        return [raw.alias(f"{out}_b64"), base64_to_uuid(raw).alias(out)]
+    """Catalogue documents with typed ids and times. An id is base64 of 16 bytes in an object, or
+    plain text; a time is epoch milliseconds in an object, or ISO text."""
+    def identifier(name: str, out: str) -> list[Column]:
+        text = F.col(name)
+        raw = F.from_json(text, schemas.BINARY)["$binary"]["base64"]
+        plain = F.when(~text.startswith("{"), text)
+        return [raw.alias(f"{out}_b64"), F.coalesce(base64_to_uuid(raw), plain).alias(out)]
+
+    def moment(name: str) -> Column:
+        text = F.col(name)
+        return F.coalesce(from_epoch_ms(F.from_json(text, schemas.DATE)["$date"]), parse_iso(text)).alias(name)
 
-    times = [from_epoch_ms(F.col(f"{c}.`$date`")).alias(c) for c in ("created_at", "updated_at")]
     return rows.select(
         *identifier("id", "product_id"), *identifier("seller_id", "seller_id"), "name", "slug", "product_type", "description",
-        "price_usd", "currency", "is_active", *times)
+        "price_usd", "currency", "is_active", moment("created_at"), moment("updated_at"))
 
 
 def bought_with(items: DataFrame, catalogue: DataFrame) -> DataFrame:

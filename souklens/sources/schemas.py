@@ -7,10 +7,12 @@ ORDER_ITEM = ("id string, order_id string, product_id string, quantity int, unit
               "line_total_usd decimal(10,2)")
 MARKETPLACE_INVOICE = "id string, user_id string, status string, total_usd decimal(10,2), created_at string"
 EVENT = "id string, user_id string, event_type string, product_id string, metadata string, occurred_at string"
-_BINARY = "struct<`$binary`: struct<base64: string>>"
-_DATE = "struct<`$date`: bigint>"
-PRODUCT = (f"id {_BINARY}, seller_id {_BINARY}, name string, slug string, product_type string, description string, "
-           f"price_usd decimal(10,2), currency string, is_active string, created_at {_DATE}, updated_at {_DATE}")
+#: Ids and times are objects in one export of the catalogue and plain text in another, so they are
+#: read as text, which keeps an object as JSON.
+PRODUCT = ("id string, seller_id string, name string, slug string, product_type string, description string, "
+           "price_usd decimal(10,2), currency string, is_active string, created_at string, updated_at string")
+BINARY = "`$binary` struct<base64: string>"
+DATE = "`$date` bigint"
 
 SELLER_PROFILE = ("user_id string, display_name string, legal_name string, tax_id string, payout_email string, "
                   "country_code string, is_verified string, bio string, created_at string, updated_at string")

@@ -55,6 +55,17 @@ def test_event_metadata_stays_json(spark):
     assert json.loads(access.events(staged).first()["metadata"]) == {"a": {"b": [1, 2]}}
 
 
+def test_catalogue_ids_and_times_in_both_forms(spark):
+    docs = [{"id": {"$binary": {"base64": "AAAAAAAAAAAAAAAAAAAAAQ==", "subType": "04"}}, "created_at": {"$date": 1704067200250}, "is_active": True, "price_usd": 9.5},
+            {"id": "0000-plain", "created_at": "2024-01-01T00:00:00Z", "is_active": "False", "price_usd": "many"},
+            {"id": {"$binary": {"base64": "@@"}}, "created_at": "never"}]
+    rows = access.products(spark.createDataFrame([(json.dumps(docs),)], "json_doc string"))
+    found = [tuple(r) for r in rows.select("product_id_b64", "product_id", "created_at", "is_active", F.col("price_usd").cast("double")).collect()]
+    assert found == [
+        ("AAAAAAAAAAAAAAAAAAAAAQ==", "00000000-0000-0000-0000-000000000001", dt.datetime(2024, 1, 1, 0, 0, 0, 250000), "true", 9.5),
+        (None, "0000-plain", dt.datetime(2024, 1, 1), "False", None), ("@@", None, None, None, None)]
+
+
 def test_array_files_and_result_sets(spark, tmp_path):
     path = write(tmp_path / "j", '[{"id": "1", "status": "paid"},\n {"id": "2"}]')
     assert [r.id for r in documents.read_array_files(spark, path, schemas.ORDER).orderBy("id").collect()] == ["1", "2"]
