@@ -13,11 +13,17 @@ def _options(**more) -> dict:
     return {"header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", **more}
 
 
-def read_external(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_external(spark: SparkSession, path: str, schema: str, limits: dict[str, int] | None = None) -> DataFrame:
     """Text columns, fields optionally quoted, header skipped. Short rows are filled with NULL,
-    longer ones cut, empty fields are NULL, and a line without any field is left out."""
-    rows = spark.read.options(**_options()).schema(schema).csv(path)
-    return rows.dropna("all")
+    longer ones cut, empty fields are NULL, and a line without any field is left out.
+
+    With ``limits`` a row with a longer text than its column allows is rejected, as the loader of the
+    source model does without a limit on rejects.
+    """
+    rows = spark.read.options(**_options()).schema(schema).csv(path).dropna("all")
+    for column, size in (limits or {}).items():
+        rows = rows.filter(F.col(column).isNull() | (F.length(column) <= size))
+    return rows
 
 
 def read_copy(spark: SparkSession, path: str, schema: str) -> DataFrame:

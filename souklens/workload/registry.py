@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from souklens.sources.market import Market
 from souklens.workload.tables_sql import with_tables
 
+BUILDERS: dict[str, Callable[[Market], DataFrame]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,8 +35,18 @@ def query(name: str, sql: str | None = None, *needs: str):
     def register(build: Callable[[Market], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
+        BUILDERS[name] = build
         QUERIES[name] = lambda spark, path: present(build(Market(spark, path)))
         if sql is not None:
             ORACLES[name] = with_tables(sql, *needs)
         return build
     return register
+
+
+def register_views(source: Market, names: list[str]) -> None:
+    """Make datasets available to SQL under their names.
+
+    ``source`` is a :class:`Market` or any object with the same methods over other tables.
+    """
+    for name in names:
+        BUILDERS[name](source).createOrReplaceTempView(name)

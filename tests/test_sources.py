@@ -24,6 +24,15 @@ def test_external_csv_rows(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("1", "x", "y"), ("2", 'q, "r"', None), ("3", "short", None), ("4", "too", "long")]
 
 
+def test_text_limits(spark, tmp_path):
+    path = write(tmp_path / "c", "user_id,country_code\n1,RO\n2,ROMANIA\n3,\n")
+    rows = delimited.read_external(spark, path, "user_id string, country_code string", {"country_code": schemas.SELLER_PROFILE_LIMITS["country_code"]})
+    assert sorted(r.user_id for r in rows.collect()) == ["1", "3"]
+    doc = json.dumps([{"id": "1", "status": "x" * 21}, {"id": "2", "status": "x" * 20}, {"id": "3"}])
+    orders = documents.null_if_longer(access.orders(spark.createDataFrame([(doc,)], "json_doc string")), schemas.ORDER_LIMITS)
+    assert [(r.id, r.status) for r in orders.collect()] == [("1", None), ("2", "x" * 20), ("3", None)]
+
+
 def test_copy_csv_tells_empty_from_null(spark, tmp_path):
     path = write(tmp_path / "c", 'a,b,n\n1,,5\n2,"",\n3,x,7\n')
     rows = delimited.read_copy(spark, path, "a string, b string, n int").orderBy("a").collect()

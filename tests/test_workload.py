@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from souklens.sources.market import Market
+from souklens.workload import register_views
 from tests.compare import difference
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +34,11 @@ def test_comparison_notices_a_wrong_value(spark, con):
     wrong = df.withColumn("total_users", df["total_users"] + (df["total_orders"] > 60).cast("int"))
     assert difference(wrong, con, entry.oracle_sql()["dim_geography"]) is not None
     assert difference(df.limit(3), con, entry.oracle_sql()["dim_geography"]) is not None
+
+
+def test_datasets_are_open_to_sql(spark):
+    register_views(Market(spark, SF), ["dim_geography", "cons_user_subscription"])
+    rows = spark.sql("""
+        SELECT g.country_code, any_value(total_users) AS users, count(DISTINCT user_id) AS subscribers
+        FROM dim_geography g JOIN cons_user_subscription s ON s.country_code = g.country_code GROUP BY 1""").collect()
+    assert rows and all(r.subscribers <= r.users for r in rows)
