@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from souklens import build_session
+from souklens.session import drop_written
 
 
 @pytest.fixture(scope="session")
@@ -12,6 +13,7 @@ def spark():
         "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_written(session)
     session.stop()
 
 

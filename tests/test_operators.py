@@ -18,11 +18,12 @@ def as_set(df):
     return Counter(tuple(r) for r in df.collect())
 
 
-def test_detail_left_join_equals_left_join(spark):
+@pytest.mark.parametrize("split_above", [0, 100, 10_000])
+def test_detail_left_join_equals_left_join(spark, split_above):
     header = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "k int, v string")
     detail = spark.createDataFrame([(1, i) for i in range(500)] + [(3, 7), (9, 1), (None, 5)], "dk int, n int")
     expected = header.join(detail, F.col("k") == F.col("dk"), "left")
-    assert as_set(joins.detail_left_join(header, detail, "k", "dk").select(expected.columns)) == as_set(expected)
+    assert as_set(joins.detail_left_join(header, detail, "k", "dk", split_above).select(expected.columns)) == as_set(expected)
 
 
 def test_valid_at_gaps_overlaps_and_open_end(spark):
