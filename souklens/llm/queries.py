@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from souklens.llm import bpe, licences, lines, quality, secrets, warc
+from souklens.llm import bpe, language, licences, lines, quality, repeats, secrets, warc
 from souklens.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,15 @@ SELECT doc_id, CAST(len(a) AS BIGINT) AS n_assign, CAST(len(c) AS BIGINT) AS n_a
 FROM s"""
 
 
+@query("op3_language_network")
+def language_network(spark: SparkSession, path: str) -> DataFrame:
+    docs = table(spark, path, "documents")
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    network = language.train(docs.where(~held_out), pick=F.xxhash64("doc_id"))
+    found = language.predict(docs, network, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op4_secret_ledger", SECRETS_SQL)
 def secret_ledger(spark: SparkSession, path: str) -> DataFrame:
     docs = table(spark, path, "documents")
@@ -118,6 +127,13 @@ def line_dedup(spark: SparkSession, path: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+@query("op9_repeated_passages")
+def repeated_passages(spark: SparkSession, path: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, path, "documents"), keep=["doc_id"])
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["begin"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op10_token_fertility")
 def token_fertility(spark: SparkSession, path: str) -> DataFrame:
     return quality.measure(table(spark, path, "documents"), PIECE_BPE, keep=["doc_id"])
