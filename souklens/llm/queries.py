@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from souklens.llm import bpe, language, licences, lines, quality, repeats, secrets, warc
+from souklens.llm import bpe, contamination, language, licences, lines, neardup, quality, repeats, secrets, warc
 from souklens.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,19 @@ SELECT doc_id, CAST(len(a) AS BIGINT) AS n_assign, CAST(len(c) AS BIGINT) AS n_a
 FROM s"""
 
 
+@query("op1_jaccard_forest")
+def jaccard_forest(spark: SparkSession, path: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, path, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("class").alias("class_id"), "copy_of", "n_links")
+
+
+@query("op2_contamination")
+def contaminated(spark: SparkSession, path: str) -> DataFrame:
+    found = contamination.mark(table(spark, path, "documents"), table(spark, path, "benchmark"), keep=["doc_id"])
+    items = F.transform("hits", lambda h: h["item"])
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), items.alias("items"))
+
+
 @query("op3_language_network")
 def language_network(spark: SparkSession, path: str) -> DataFrame:
     docs = table(spark, path, "documents")
