@@ -102,7 +102,7 @@ class Ledger:
         pending = (pairs.join(done, ["blob", "pack", "version"], "left_anti")
                    .groupBy("blob", "holder").agg(F.sort_array(F.collect_set("pack")).alias("packs")))
         unseen = (rows.alias("r").join(pending.alias("p"), (F.col("r.blob") == F.col("p.blob")) & F.col("r.holder").eqNullSafe(F.col("p.holder")))
-                  .select("p.blob", "p.packs", "r.text"))
+                  .select("p.blob", "p.holder", "p.packs", "r.text").dropDuplicates(["blob", "holder"]))  # a holder's row may be repeated
         by_name = {p.name: p for p in packs}
 
         def make():
