@@ -76,7 +76,7 @@ def alignment(segment: bytes, region: bytes, most: int) -> int | None:
     if segment in region:
         return 0
     m, text = len(segment), np.frombuffer(region, np.uint8)
-    width = len(text) - m + 1 + most  # diagonals -most .. len(text) - m
+    width = len(text) - m + 1 + 2 * most  # diagonals -most .. len(text) - m + most
     if width <= 0:
         return None
     padded = np.concatenate([np.zeros(most, np.uint8), text, np.zeros(most, np.uint8)])
