@@ -31,11 +31,6 @@ def percent_raw(part: Column, whole: Column) -> Column:
     return exact(part) * F.lit(100) / F.nullif(exact(whole), F.lit(0))
 
 
-def money_ratio(numerator: Column, denominator: Column, digits: int = 2) -> Column:
-    """Like :func:`ratio` for amounts with two decimals."""
-    return F.round(exact(numerator, 20, 2) / F.nullif(exact(denominator, 20, 2), F.lit(0)), digits)
-
-
 def flag(condition: Column) -> Column:
     """1 when the condition holds, otherwise 0, also for an unknown condition."""
     return F.when(condition, F.lit(1)).otherwise(F.lit(0))

@@ -47,7 +47,3 @@ def json_or_null(text: Column) -> Column:
     inside = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     return F.when(listed.isNotNull(), F.try_variant_get(inside, "$.v", "variant"))
-
-
-def slug(text: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "-")

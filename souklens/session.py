@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,26 +47,42 @@ def build_session(
     return builder.getOrCreate()
 
 
-def apply_settings(spark: SparkSession) -> None:
-    """Give a session made elsewhere the runtime settings the plans rely on."""
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+def check_settings(spark: SparkSession) -> None:
+    """Times are UTC: a session made elsewhere with another time zone is set to it, with a warning, since
+    results would differ. Settings of speed are the caller's own and stay."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z"):
+        warnings.warn(f"spark.sql.session.timeZone is {zone}; it is set to UTC", stacklevel=3)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+#: Folders made for local sessions without a setting, by application.
+_local: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a new folder; a cluster session without it is
-    refused, since a machine-local folder would not survive the loss of an executor.
+    A local session without that setting gets one new folder. A cluster session without it is refused,
+    as is one whose setting has no scheme while the default file system is the machine's own: such a
+    folder would not survive the loss of an executor. A ``file:`` setting says that it is a shared mount.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.split("[")[0] == "local"
     if configured:
+        if not local and ":" not in configured.split("/")[0] and _default_scheme(spark) == "file":
+            raise RuntimeError(f"name the file system of spark.checkpoint.dir: {configured} would be a folder of each machine")
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _local[app]
+
+
+def _default_scheme(spark: SparkSession) -> str:
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration()).getScheme()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -72,19 +91,69 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/souklens/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Paths written by ``written`` inside the scopes that are open now, innermost last.
+_scopes: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage, so the rows are computed once however many branches read them, and
-    it gives Catalyst the exact size of the table, on which it decides whether to broadcast.
+    it gives Catalyst the exact size of the table, on which it decides whether to broadcast. The
+    table stays until the scope (see ``scope``) that it was written in ends, or ``drop_written``.
     """
     path = new_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; frames that read them must be done by then."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            delete(spark, path)
+
+
+@contextmanager
+def outside_scopes() -> Iterator[None]:
+    """For tables that are kept for the session, whoever asks for them first."""
+    held, _scopes[:] = list(_scopes), []
+    try:
+        yield
+    finally:
+        _scopes[:] = held
+
+
+#: Called with the application's id when its written tables are deleted.
+forget: list[Callable[[str], None]] = []
+
+
 def drop_written(spark: SparkSession) -> None:
-    """Delete the tables this application wrote to the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/souklens/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the tables this application wrote to the shared folder, and forget those kept for reuse."""
+    app = spark.sparkContext.applicationId
+    delete(spark, f"{shared_folder(spark)}/souklens/{app}")
+    for call in forget:
+        call(app)
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, system = _path(spark, path)
+    return system.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, system = _path(spark, path)
+    system.delete(where, True)

@@ -5,35 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
+from souklens.session import written
+
 #: Stands for a quoted empty text while reading; any text that no file holds will do.
 _EMPTY = "\u0001empty\u0001"
 
 
 def _options(**more) -> dict:
-    return {"header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", **more}
+    return {"header": True, "quote": '"', "escape": '"', **more}
+
 
+def read_external(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Text columns, fields optionally quoted, header skipped. Short rows are filled with NULL, longer
+    ones cut, and empty fields are NULL; a row of empty fields is a row. Fields hold no line breaks, so
+    files can be split."""
+    return spark.read.options(**_options(mode="PERMISSIVE")).schema(schema).csv(path)
 
-def read_external(spark: SparkSession, path: str, schema: str, limits: dict[str, int] | None = None) -> DataFrame:
-    """Text columns, fields optionally quoted, header skipped. Short rows are filled with NULL,
-    longer ones cut, empty fields are NULL, and a line without any field is left out.
 
-    With ``limits`` a row with a longer text than its column allows is rejected, as the loader of the
-    source model does without a limit on rejects.
+def read_copy(spark: SparkSession, path: str, schema: str, line_breaks: bool = True) -> DataFrame:
+    """Bulk load: an empty field is NULL, a quoted empty field is an empty text. A row that does not fit
+    the schema stops the load.
+
+    Quoted texts may hold line breaks, for which a file is read by one task: write many files. If no
+    field has one, ``line_breaks=False`` lets Spark split files; a broken row then stops the load, too.
     """
-    rows = spark.read.options(**_options()).schema(schema).csv(path).dropna("all")
-    for column, size in (limits or {}).items():
-        rows = rows.filter(F.col(column).isNull() | (F.length(column) <= size))
-    return rows
+    return _copied(spark.read.options(**_copy_options(line_breaks, mode="FAILFAST")).schema(schema).csv(path), schema)
+
+
+def read_copy_rejects(spark: SparkSession, path: str, schema: str, line_breaks: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Bulk load that goes on: the rows that fit the schema, and the ``record`` of each that does not.
+    The parsed rows are written to the shared folder, since Spark does not read records on their own."""
+    layout = f"{schema}, _record string"
+    wide = spark.read.options(**_copy_options(line_breaks, mode="PERMISSIVE", columnNameOfCorruptRecord="_record")).schema(layout).csv(path)
+    rows = written(wide, "copy_rows")
+    return _copied(rows.filter("_record IS NULL").drop("_record"), schema), rows.filter("_record IS NOT NULL").select(F.col("_record").alias("record"))
+
+
+def _copy_options(line_breaks: bool, **more) -> dict:
+    return _options(nullValue="", emptyValue=_EMPTY, multiLine=line_breaks, **more)
 
 
-def read_copy(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Bulk load: an empty field is NULL, a quoted empty field is an empty text."""
-    rows = spark.read.options(**_options(nullValue="", emptyValue=_EMPTY)).schema(schema).csv(path)
+def _copied(rows: DataFrame, schema: str) -> DataFrame:
     texts = [f.name for f in StructType.fromDDL(schema) if isinstance(f.dataType, StringType)]
     return rows.withColumns({c: F.when(F.col(c) == _EMPTY, "").otherwise(F.col(c)) for c in texts})
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.options(
-        header=True, quote='"', escape='"', emptyValue='""', nullValue="", timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue='""', nullValue="", timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     ).mode("overwrite").csv(path)

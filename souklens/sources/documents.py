@@ -16,16 +16,6 @@ def rows_of_arrays(staged: DataFrame, row: str, column: str = "json_doc") -> Dat
     return staged.select(F.inline(F.from_json(column, f"array<struct<{row}>>")))
 
 
-def null_if_longer(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """Texts that are longer than their column allows become NULL."""
-    return rows.withColumns({c: F.when(F.length(c) <= size, F.col(c)) for c, size in limits.items()})
-
-
-def read_array_files(spark: SparkSession, path: str, row: str) -> DataFrame:
-    """Files that hold one JSON array each."""
-    return spark.read.schema(row).option("multiLine", True).json(path)
-
-
 def read_document_lines(spark: SparkSession, path: str, row: str) -> DataFrame:
     """Files with one JSON document per line, which Spark can split."""
     return spark.read.schema(row).json(path)

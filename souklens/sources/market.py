@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from souklens.functions.times import iso_text, plus_days
-from souklens.session import apply_settings, written
+from souklens.session import check_settings, forget, outside_scopes, written
 
 #: The reports' "now", fixed so that results can be compared.
 AS_OF = dt.datetime(2001, 8, 1)
@@ -21,6 +21,15 @@ _tables: dict[tuple[str, str, str], DataFrame] = {}
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def _forget(app: str) -> None:
+    for tables in (_tables, _written):
+        for key in [k for k in tables if k[0].startswith(app + "/")]:
+            del tables[key]
+
+
+forget.append(_forget)
+
+
 def as_of() -> Column:
     return F.lit(AS_OF.isoformat(sep=" ")).cast("timestamp")
 
@@ -35,7 +44,7 @@ def _money(amount: Column, precision: int = 12) -> Column:
 
 class Market:
     def __init__(self, spark: SparkSession, path: str):
-        apply_settings(spark)
+        check_settings(spark)
         self.spark, self.path = spark, path.rstrip("/")
 
     def raw(self, table: str) -> DataFrame:
@@ -46,12 +55,14 @@ class Market:
         return _tables[key]
 
     def _key(self, name: str) -> tuple[str, str, str]:
-        return self.spark.sparkContext.applicationId, self.path, name
+        session = self.spark._jsparkSession.sessionUUID()
+        return f"{self.spark.sparkContext.applicationId}/{session}", self.path, name
 
     def _once(self, name: str, build) -> DataFrame:
         key = self._key(name)
         if key not in _written:
-            _written[key] = written(build(), name)
+            with outside_scopes():
+                _written[key] = written(build(), name)
         return _written[key]
 
     # people ---------------------------------------------------------------------------------

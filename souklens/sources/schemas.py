@@ -33,13 +33,3 @@ EVENT_CSV = ("id string, user_id string, event_type string, product_id string, s
              "occurred_at timestamp")
 PRODUCT_CSV = ("id string, seller_id string, name string, slug string, product_type string, description string, "
                "price_usd string, currency string, is_active string, attributes string, created_at string, updated_at string")
-
-#: Longest texts per column. Fixed values.
-ORDER_LIMITS = {"id": 36, "user_id": 36, "invoice_id": 36, "status": 20, "shipping_country": 10, "created_at": 50}
-ORDER_ITEM_LIMITS = {"id": 36, "order_id": 36, "product_id": 36}
-MARKETPLACE_INVOICE_LIMITS = {"id": 36, "user_id": 36, "status": 20, "created_at": 50}
-EVENT_LIMITS = {"id": 36, "user_id": 36, "event_type": 100, "product_id": 36, "occurred_at": 50}
-PRODUCT_LIMITS = {"name": 255, "slug": 255, "product_type": 100, "description": 4000, "currency": 10, "is_active": 5}
-PAIR_LIMITS = {"product_1_id": 100, "product_1_name": 255, "product_2_id": 100, "product_2_name": 255}
-SELLER_PROFILE_LIMITS = {"user_id": 36, "display_name": 200, "legal_name": 200, "tax_id": 50, "payout_email": 200, "country_code": 5,
-                         "is_verified": 5, "bio": 1000, "created_at": 30, "updated_at": 30}

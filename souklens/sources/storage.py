@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Row, SparkSession, functions as F
+
+from souklens.session import delete, exists
 
 
 def replace_staging(documents: DataFrame, path: str) -> None:
@@ -15,23 +17,35 @@ def replace_staging(documents: DataFrame, path: str) -> None:
 class MaterializedCopy:
     """A stored copy of a query, completely rewritten on demand.
 
-    A refresh writes a new folder and then appends its name to a log. Readers use the last name
-    that was logged, so they see the old copy until the new one is whole.
+    A refresh writes a new folder and then a log entry with the next number. Readers use the entry
+    with the largest number, so they see the old copy until the new one is whole. Copies before the
+    newest ``keep`` are deleted; a reader has that many refreshes to finish. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), max(1, keep)
+
+    def _log(self) -> list[Row]:
+        """Entries from new to old: a few bytes for each refresh that is kept."""
+        if not exists(self.spark, f"{self.path}/log"):
+            return []
+        return self.spark.read.schema("number long, folder string, refreshed_at timestamp").parquet(f"{self.path}/log").orderBy(F.desc("number")).collect()
 
     def refresh(self, query: DataFrame) -> None:
-        target = f"{self.path}/copy-{uuid.uuid4().hex}"
+        before = self._log()
+        number = before[0]["number"] + 1 if before else 1
+        target = f"{self.path}/copy-{number}-{uuid.uuid4().hex}"
         query.write.mode("errorifexists").parquet(target)
-        entry = self.spark.range(1).select(F.current_timestamp().alias("refreshed_at"), F.lit(target).alias("folder"))
-        entry.write.mode("append").parquet(f"{self.path}/log")
+        entry = self.spark.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(target).alias("folder"), F.current_timestamp().alias("refreshed_at"))
+        entry.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        for old in before[self.keep - 1:]:
+            delete(self.spark, old["folder"])
 
     def current(self) -> DataFrame:
-        log = self.spark.read.parquet(f"{self.path}/log")
-        folder = log.orderBy(F.desc("refreshed_at")).first()["folder"]
-        return self.spark.read.parquet(folder)
+        log = self._log()
+        if not log:
+            raise LookupError(f"{self.path} was never refreshed")
+        return self.spark.read.parquet(log[0]["folder"])
 
 
 def chunk_of(ts: Column, chunk: str) -> Column:
@@ -42,14 +56,31 @@ def chunk_of(ts: Column, chunk: str) -> Column:
 def write_by_time(events: DataFrame, path: str, time: str = "occurred_at", chunk: str = "WEEK", mode: str = "overwrite") -> None:
     """Store rows in one folder per time chunk; choose the chunk so that it holds some gigabytes.
 
-    Rows are range-partitioned by time first: a task writes few chunks, and a busy chunk, even a
-    busy instant, is shared by several tasks.
+    ``mode`` "overwrite" replaces the whole store, "append" adds a load to it.
     """
-    dated = events.withColumn("event_date", chunk_of(F.col(time), chunk))
-    dated.repartitionByRange(F.col(time), F.xxhash64(*events.columns)).write.mode(mode).partitionBy("event_date").parquet(path)
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"mode {mode}")
+    _by_time(events, f"batch-{uuid.uuid4().hex}", time, chunk).mode(mode).parquet(path)
+
+
+def add_load(events: DataFrame, path: str, name: str, time: str = "occurred_at", chunk: str = "WEEK") -> None:
+    """Add rows to the store as the load ``name``; the same load written again replaces itself."""
+    _by_time(events, name, time, chunk).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def _by_time(events: DataFrame, load: str, time: str, chunk: str) -> DataFrameWriter:
+    """Rows are range-partitioned by time first: a task writes few chunks, and a busy chunk, even a
+    busy instant, is shared by several tasks."""
+    dated = events.withColumns({"event_date": chunk_of(F.col(time), chunk), "load_id": F.lit(load)})
+    return dated.repartitionByRange(F.col(time), F.xxhash64(*events.columns)).write.partitionBy("event_date", "load_id")
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the store, of batch and stream loads, with the first day of their chunk."""
+    return spark.read.parquet(path).drop("load_id")
 
 
 def read_since(spark: SparkSession, path: str, start: Column, time: str = "occurred_at", chunk: str = "WEEK") -> DataFrame:
     """Rows from ``start`` on; chunks before it are not read. ``chunk`` is that of the store."""
-    rows = spark.read.parquet(path)
+    rows = read_events(spark, path)
     return rows.filter((F.col("event_date") >= chunk_of(start, chunk)) & (F.col(time) >= start))

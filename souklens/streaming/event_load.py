@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from souklens.functions.times import parse_iso
 from souklens.sources import schemas
-from souklens.sources.storage import chunk_of
+from souklens.sources.storage import add_load
 
 
 def event_stream(spark: SparkSession, drops: str) -> DataFrame:
@@ -17,12 +17,16 @@ def event_stream(spark: SparkSession, drops: str) -> DataFrame:
 
 
 def load(spark: SparkSession, drops: str, store: str, checkpoint: str, chunk: str = "WEEK") -> StreamingQuery:
-    """Append what has arrived since the last run, then stop.
+    """Append what has arrived since the last run to a store of ``write_by_time``, then stop.
 
-    The checkpoint lists the files that are loaded and the store those that are committed, so each
-    file is loaded once also when a run fails and is repeated. No state is kept and no event is too
-    late.
+    Every micro-batch is written like a batch load, under a name made from the id that the checkpoint
+    holds and the batch's number. A batch that is repeated after a failure replaces what its first run
+    left, so each file counts once. The store keeps no log of the stream: batch and stream loads may
+    take turns, and readers see both. No state is kept and no event is too late.
     """
-    rows = event_stream(spark, drops).withColumn("event_date", chunk_of(F.col("occurred_at"), chunk))
-    return (rows.writeStream.format("parquet").partitionBy("event_date").outputMode("append")
-            .option("path", store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    def write(batch: DataFrame, number: int) -> None:
+        stream = batch.sparkSession.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+        add_load(batch, store, f"{stream}-{number}", chunk=chunk)
+
+    return (event_stream(spark, drops).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())

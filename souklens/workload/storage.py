@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from souklens.functions.times import parse_iso
 from souklens.operators import baskets
 from souklens.plans import access
 from souklens.session import new_path
@@ -64,13 +65,14 @@ def src_csv_external(m: Market) -> DataFrame:
 
 @query("src_csv_copy", """
     SELECT CAST(id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS user_id, event_type, CAST(product_id AS VARCHAR) AS product_id,
-        CASE WHEN id % 3 = 0 THEN '' ELSE session_id END AS session_id, metadata, occurred_at FROM events_d""", "events_d")
+        CASE WHEN id % 3 = 0 THEN '' ELSE session_id END AS session_id, 'line "1",' || chr(10) || metadata AS metadata,
+        occurred_at FROM events_d""", "events_d")
 def src_csv_copy(m: Market) -> DataFrame:
-    """Bulk load: a missing product stays NULL, an empty session stays an empty text."""
+    """Bulk load: a missing product stays NULL, an empty session an empty text, a line break a line break."""
     path = new_path(m.spark, "copy_csv")
     empty = F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.col("session_id"))
     rows = m.events().withColumn("session_id", empty).select(
-        "id", "user_id", "event_type", "product_id", "session_id", "metadata", "occurred_at")
+        "id", "user_id", "event_type", "product_id", "session_id", F.concat(F.lit('line "1",\n'), "metadata").alias("metadata"), "occurred_at")
     delimited.write_csv(rows, path)
     return delimited.read_copy(m.spark, path, schemas.EVENT_CSV)
 
@@ -101,10 +103,10 @@ def snk_staging(m: Market) -> DataFrame:
     SELECT id, CAST(order_id AS VARCHAR) AS order_id, CAST(product_id AS VARCHAR) AS product_id, quantity,
         CAST(unit_price_usd AS DOUBLE) AS unit_price_usd, CAST(line_total_usd AS DOUBLE) AS line_total_usd FROM order_items""", "order_items")
 def snk_materialize(m: Market) -> DataFrame:
-    """A refreshed copy: the second refresh replaces the first."""
+    """A refreshed copy: the second refresh replaces the first, which held other rows."""
     copy = storage.MaterializedCopy(m.spark, new_path(m.spark, "copies"))
     rows = access.order_items(staged_order_items(m))
-    copy.refresh(rows.filter("false"))
+    copy.refresh(rows.withColumn("quantity", F.lit(-1)))
     copy.refresh(rows)
     return copy.current()
 
@@ -114,16 +116,20 @@ def snk_materialize(m: Market) -> DataFrame:
 def snk_time_partitioned(m: Market) -> DataFrame:
     path = new_path(m.spark, "by_month")
     storage.write_by_time(m.events(), path, chunk="MONTH")
-    return m.spark.read.parquet(path).select("id", "user_id", "event_type", "occurred_at", "event_date")
+    return storage.read_events(m.spark, path).select("id", "user_id", "event_type", "occurred_at", "event_date")
 
 
 @query("snk_event_stream", EVENTS_SQL.replace("strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS occurred_at", "occurred_at"), "events_d")
 def snk_event_stream(m: Market) -> DataFrame:
-    """Event documents loaded by a stream into the partitioned store."""
+    """One store, half of it loaded in a batch and half by a stream of event documents."""
     drops, store, state = (new_path(m.spark, name) for name in ("event_drops", "event_table", "event_state"))
-    access.events(staged_events(m)).write.json(drops)
+    rows = access.events(staged_events(m))
+    streamed = F.crc32(F.encode("id", "UTF-8")) % 2 == 0
+    rows.filter(streamed).write.json(drops)
+    half = rows.filter(~streamed).withColumn("occurred_at", parse_iso(F.col("occurred_at")))
+    storage.write_by_time(half, store, chunk="MONTH")
     event_load.load(m.spark, drops, store, state, chunk="MONTH").awaitTermination()
-    return m.spark.read.parquet(store).drop("event_date")
+    return storage.read_events(m.spark, store).drop("event_date")
 
 
 def catalogue_text(m: Market) -> DataFrame:

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from souklens import session
-from souklens.plans import access
+from souklens.plans import access, dimensions
 from souklens.sources import delimited, documents, relational, schemas, storage
+from souklens.sources.market import Market
 from souklens.streaming import event_load
 
 
@@ -21,16 +22,7 @@ def write(path, text):
 def test_external_csv_rows(spark, tmp_path):
     path = write(tmp_path / "c", 'a,b,c\n1,x,y\n2,"q, ""r""",\n3,short\n4,too,long,line\n,,\n')
     rows = delimited.read_external(spark, path, "a string, b string, c string").orderBy("a").collect()
-    assert [tuple(r) for r in rows] == [("1", "x", "y"), ("2", 'q, "r"', None), ("3", "short", None), ("4", "too", "long")]
-
-
-def test_text_limits(spark, tmp_path):
-    path = write(tmp_path / "c", "user_id,country_code\n1,RO\n2,ROMANIA\n3,\n")
-    rows = delimited.read_external(spark, path, "user_id string, country_code string", {"country_code": schemas.SELLER_PROFILE_LIMITS["country_code"]})
-    assert sorted(r.user_id for r in rows.collect()) == ["1", "3"]
-    doc = json.dumps([{"id": "1", "status": "x" * 21}, {"id": "2", "status": "x" * 20}, {"id": "3"}])
-    orders = documents.null_if_longer(access.orders(spark.createDataFrame([(doc,)], "json_doc string")), schemas.ORDER_LIMITS)
-    assert [(r.id, r.status) for r in orders.collect()] == [("1", None), ("2", "x" * 20), ("3", None)]
+    assert [tuple(r) for r in rows] == [(None, None, None), ("1", "x", "y"), ("2", 'q, "r"', None), ("3", "short", None), ("4", "too", "long")]
 
 
 def test_copy_csv_tells_empty_from_null(spark, tmp_path):
@@ -39,6 +31,25 @@ def test_copy_csv_tells_empty_from_null(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("1", None, 5), ("2", "", None), ("3", "x", 7)]
 
 
+def test_copy_csv_keeps_line_breaks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'a "b",\n\nc', "x"), (2, "", None), (3, None, "\n")], "n int, a string, b string")
+    delimited.write_csv(rows, str(tmp_path / "c"))
+    assert sorted(map(tuple, delimited.read_copy(spark, str(tmp_path / "c"), "n int, a string, b string").collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ|Malformed"):
+        delimited.read_copy(spark, str(tmp_path / "c"), "n int, a string, b string", line_breaks=False).collect()
+
+
+@pytest.mark.parametrize("line_breaks", [True, False])
+def test_copy_csv_stops_at_or_returns_what_it_cannot_read(spark, tmp_path, line_breaks):
+    path, layout = write(tmp_path / "c", 'a,n\n1,5\n2,oops\n3\n4,,6\n"",\n'), "a string, n int"
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ|Malformed"):
+        delimited.read_copy(spark, path, layout, line_breaks).collect()
+    rows, rejects = delimited.read_copy_rejects(spark, path, layout, line_breaks)
+    assert sorted(map(tuple, rows.collect())) == [("", None), ("1", 5)] and rows.columns == ["a", "n"]
+    assert sorted(r.record for r in rejects.collect()) == ["2,oops", "3", "4,,6"]
+    assert rejects.count() == 3 and rows.count() == 2
+
+
 @pytest.mark.parametrize("layout", [schemas.MARKETPLACE_INVOICE_CSV, schemas.MARKETPLACE_INVOICE_LINE_CSV, schemas.ORDER_CSV,
                                     schemas.ORDER_ITEM_CSV, schemas.EVENT_CSV])
 def test_copy_round_trip_of_every_layout(spark, tmp_path, layout):
@@ -75,9 +86,7 @@ def test_catalogue_ids_and_times_in_both_forms(spark):
         (None, "0000-plain", dt.datetime(2024, 1, 1), "False", None), ("@@", None, None, None, None)]
 
 
-def test_array_files_and_result_sets(spark, tmp_path):
-    path = write(tmp_path / "j", '[{"id": "1", "status": "paid"},\n {"id": "2"}]')
-    assert [r.id for r in documents.read_array_files(spark, path, schemas.ORDER).orderBy("id").collect()] == ["1", "2"]
+def test_result_sets(spark):
     doc = json.dumps({"data": {"fields": ["x"], "values": [["a", "A", "b", "B", 3], ["a", None, "c"], ["a", "A", "d", "D", "no number"]]}})
     rows = documents.rows_of_result_set(spark.createDataFrame([(doc,)], "json_doc string"), documents.PAIR_POSITIONS).collect()
     assert [tuple(r) for r in rows] == [("a", "A", "b", "B", 3), ("a", None, "c", None, None), ("a", "A", "d", "D", None)]
@@ -103,6 +112,11 @@ def test_materialized_copy_shows_the_last_refresh(spark, tmp_path):
     before = copy.current()
     copy.refresh(spark.range(5))
     assert copy.current().count() == 5 and before.count() == 3
+    copy.refresh(spark.range(7))
+    assert copy.current().count() == 7 and len(list((tmp_path / "m").glob("copy-*"))) == 2
+    assert storage.MaterializedCopy(spark, str(tmp_path / "m")).current().count() == 7
+    with pytest.raises(LookupError):
+        storage.MaterializedCopy(spark, str(tmp_path / "none")).current()
 
 
 def test_time_store_reads_only_later_chunks(spark, tmp_path):
@@ -139,7 +153,40 @@ def test_stream_loads_each_file_once_and_late_events(spark, tmp_path):
     drop([12, 20, 21, 28])
     drop([3, 4])
     event_load.load(spark, drops, store, state).awaitTermination()
-    assert sorted(int(r.id) for r in spark.read.parquet(store).collect()) == [3, 4, 12, 20, 21, 28]
+    assert sorted(int(r.id) for r in storage.read_events(spark, store).collect()) == [3, 4, 12, 20, 21, 28]
+
+
+def test_batch_and_stream_loads_share_a_store(spark, tmp_path):
+    drops, store, state = (str(tmp_path / n) for n in ("drops", "store", "state"))
+    start = F.lit("2023-01-01").cast("timestamp")
+
+    def rows(ids):
+        return spark.createDataFrame([(str(i), "u", "search", None, "{}", f"2024-01-{i:02d}T00:00:00+00:00") for i in ids], schemas.EVENT)
+
+    def batch(ids, mode):
+        storage.write_by_time(rows(ids).withColumn("occurred_at", F.col("occurred_at").cast("timestamp")), store, mode=mode)
+
+    def stream(ids):
+        rows(ids).write.mode("append").json(drops)
+        event_load.load(spark, drops, store, state).awaitTermination()
+
+    def found():
+        return sorted(int(r.id) for r in storage.read_since(spark, store, start).collect())
+
+    batch(range(1, 11), "overwrite")
+    stream([11, 12, 13])
+    assert found() == [*range(1, 14)]
+    batch([14], "append")
+    stream([15, 2])
+    assert found() == sorted([*range(1, 16), 2])
+    # the last batch failed after its rows were written: its commit is missing, so it runs again
+    commits = sorted((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    event_load.load(spark, drops, store, state).awaitTermination()
+    assert found() == sorted([*range(1, 16), 2])
+    with pytest.raises(ValueError):
+        batch([1], "ignore")
 
 
 def test_partitions_follow_the_input_size():
@@ -154,3 +201,38 @@ def test_shared_folder_follows_the_setting(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert session.shared_folder(spark) == (configured.rstrip("/") if configured else session.shared_folder(spark))
     assert session.new_path(spark, "t").startswith(session.shared_folder(spark) + "/souklens/")
+
+
+class _Cluster:
+    """A session of a cluster with a folder setting, as far as ``shared_folder`` looks."""
+
+    def __init__(self, spark, folder):
+        self.conf, self.sparkContext = {"spark.checkpoint.dir": folder}, self
+        self.master, self.applicationId = "spark://host:7077", "a"
+        self._jvm, self._jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    assert session.shared_folder(_Cluster(spark, "hdfs://name/tmp/")) == "hdfs://name/tmp"
+    assert session.shared_folder(_Cluster(spark, "file:///mnt/all")) == "file:///mnt/all"
+    for folder in (None, "/tmp/run"):
+        with pytest.raises(RuntimeError):
+            session.shared_folder(_Cluster(spark, folder))
+
+
+def test_scope_deletes_what_was_written_in_it(spark):
+    kept = session.written(spark.range(3), "kept")
+    with session.scope(spark):
+        inner = session.written(spark.range(4), "inner")
+        with session.outside_scopes():
+            outer = session.written(spark.range(5), "outer")
+        assert inner.count() == 4
+        path = inner.inputFiles()[0]
+    assert not session.exists(spark, path) and kept.count() == 3 and outer.count() == 5
+
+
+def test_queries_run_after_written_tables_are_dropped(spark):
+    market = Market(spark, "/root/testdata/sf0.001")
+    assert market.products().count() > 0
+    session.drop_written(spark)
+    assert dimensions.product(market.products()).count() > 0 and market.tier_pricing().count() > 0

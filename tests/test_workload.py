@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from souklens.sources.market import Market
-from souklens.workload import register_views
+from souklens.workload import ORACLES, QUERIES, register_views
 from tests.compare import difference
 
 SF = "/root/testdata/sf0.001"
@@ -14,15 +14,16 @@ SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin")
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [word for word in FORBIDDEN if word in plan]
-    assert difference(df, con, entry.oracle_sql()[name]) is None
+    assert difference(df, con, ORACLES[name]) is None
 
 
 def test_entry(spark):
+    assert QUERIES.items() <= entry.queries().items() and ORACLES.items() <= entry.oracle_sql().items()
     df = entry.entry(spark)
     assert df.count() > 0
     assert len(df.columns) == 17
