@@ -28,11 +28,9 @@ def cell_comoments(name: str, x: str, y: str) -> list[Column]:
 
 
 def centred(cells: DataFrame, names: list[str]) -> DataFrame:
-    """Adds each cell mean's distance to the overall mean, which the merge needs. There is one row
-    per cell, so the window over all of them is small."""
-    def centre(name: str) -> str:
-        return f"sum({name}_n * {name}_mean) OVER () / nullif(sum({name}_n) OVER (), 0)"
-    return cells.selectExpr("*", *[f"{name}_mean - {centre(name)} AS {name}_d" for name in names])
+    """Adds each cell mean's distance to the overall mean, a scalar subquery, which the merge needs."""
+    centres = cells.agg(F.struct(*[F.expr(f"sum({name}_n * {name}_mean) / nullif(sum({name}_n), 0) AS {name}") for name in names])).scalar()
+    return cells.select("*", *[(F.col(f"{name}_mean") - centres[name]).alias(f"{name}_d") for name in names])
 
 
 def _m2(n: str, d: str, e: str, own: str) -> str:

@@ -23,7 +23,8 @@ def exact_quantiles(
     ``value`` and ``width`` are SQL expressions over ``rows``; rows without a value do not count.
     ``probs`` names the output columns. ``width`` is the number of values per bucket, constant within
     a group: it bounds the values ranked together, and the value range over ``width`` bounds the
-    buckets ranked together. ``rows`` is read twice.
+    buckets ranked together: choose it from the data. ``rows`` is read twice, when the frame is built
+    and when it is used, and must be a stored table: values that change in between give wrong results.
 
     With ``cube``, every combination of those keys is a grouping of its own: the column ``_g`` holds
     the grouping id and ``_q<key>`` the key, NULL where it is rolled up.
@@ -41,10 +42,18 @@ def exact_quantiles(
         per_bucket = _spread(per_bucket, cube, [*keys, "bucket", "n"]).groupBy(*group, "bucket").agg(F.expr("sum(n) AS n"))
     targets = written(_locate(per_bucket, group, probs), "quantile_buckets")
 
-    candidates = _spread(valued, cube, [*keys, "bucket", "value"]) if cube else valued
+    near = valued
+    if cube:
+        # only rows of a bucket that some grouping wants, reduced to counts of values before they are spread
+        wanted = targets.select(*[f"t{c}" for c in [*keys, "bucket"]]).distinct()
+        near = near.join(wanted, null_safe([(F.col(c), F.col(f"t{c}")) for c in [*keys, "bucket"]]), "left_semi")
+        near = near.groupBy(*cube, *keys, "bucket", "value").agg(F.expr("count(*) AS n"))
+        near = _spread(near, cube, [*keys, "bucket", "value", "n"])
+    else:
+        near = near.withColumn("n", F.lit(1).cast("long"))
     match = null_safe([(F.col(c), F.col(f"t{c}")) for c in [*group, "bucket"]])
-    near = candidates.join(targets, match).groupBy(*group, "bucket", "value").agg(
-        F.expr("count(*) AS n"), F.expr("any_value(before) AS before"), F.expr("any_value(wanted) AS wanted"))
+    near = near.join(targets, match).groupBy(*group, "bucket", "value").agg(
+        F.expr("sum(n) AS n"), F.expr("any_value(before) AS before"), F.expr("any_value(wanted) AS wanted"))
     return _pick(near, group, list(probs))
 
 

@@ -3,57 +3,81 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType
 
 from souklens.operators.joins import null_safe
 from souklens.session import written
 
 
-def tie_bucket(*ids: str) -> Column:
-    """One of 4096 buckets from the ids; it splits rows that tie in the ordering value.
+#: Parts that the values of a histogram are cut into, so that no task orders all values of a group.
+PARTS = 200
+
+
+def tie_hash(*ids: str) -> Column:
+    """Orders rows that tie in a value, evenly spread whatever the ids are.
 
     The hash is MD5 because other SQL systems can state it, so results can be compared.
     """
-    return F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ids])), 1, 3)
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ids]))
+
+
+def _larger(histogram: DataFrame, group: str, value: str, amount: Column, name: str) -> DataFrame:
+    """``_g``, ``_v`` and the sum of ``amount`` over the rows of the group with a larger value.
+
+    Values are cut into parts of about equal size. Sums of whole parts are added in one small window,
+    values inside a part in a window of its own.
+    """
+    found = histogram.agg(F.percentile_approx(value, [i / PARTS for i in range(1, PARTS)], 10 * PARTS)).first()[0]  # PARTS numbers
+    bounds = F.array(*[F.lit(b) for b in dict.fromkeys(found or [])]).cast(ArrayType(histogram.schema[value].dataType))
+    rows = histogram.select(F.col(group).alias("_g"), F.col(value).alias("_v"), amount.alias("_a")).withColumn(
+        "_part", F.size(F.filter(bounds, lambda b: b < F.col("_v"))))
+    whole = Window.partitionBy("_g").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_g", "_part").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_g", "_part").agg(F.sum("_a").alias("_a")).select(
+        F.col("_g").alias("_pg"), F.col("_part").alias("_pp"), F.coalesce(F.sum("_a").over(whole), F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_inside", F.coalesce(F.sum("_a").over(inside), F.lit(0)))
+    same = null_safe([(F.col("_g"), F.col("_pg"))]) & (F.col("_part") == F.col("_pp"))
+    return placed.join(parts, same).select("_g", "_v", (F.col("_before") + F.col("_inside")).alias(name))
 
 
 def rank_and_running_total(
-    df: DataFrame, rank_by: str, total_by: str, value: str, ids: list[str], rank_as: str, running_as: str,
+    df: DataFrame, rank_by: str, total_by: str, value: str, ids: list[str], rank_as: str, running_as: str, digits: int = 3,
 ) -> DataFrame:
     """Adds the rank by descending ``value`` within ``rank_by`` and the running total of ``value``
-    within ``total_by`` in the order (value descending, tie bucket, rank_by, ids).
-
-    Both follow from a histogram of (rank_by, total_by, value, bucket): the rank is one plus the
-    rows with a larger value, the running total is that of the histogram rows before plus the
-    position within the own histogram cell. Only the cells, not the rows, are ordered per group,
-    and a value that most rows share is spread over the buckets. The histogram is written: it is
-    read three times, and its exact size decides whether it is broadcast. ``df`` is read twice, so
-    it should be a stored table. ``value`` must not be NULL; a NULL group is a group.
-    """
-    cell = [rank_by, total_by, value, "_bucket"]
-    rows = df.withColumn("_bucket", tie_bucket(*ids))
-    cells = written(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")), "rank_cells")
+    within ``total_by`` in the order (value descending, hash of the ids, ids).
 
-    def before(group: str) -> Window:
-        return Window.partitionBy(group).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    Both follow from a histogram of (groups, value, first ``digits`` hex digits of the hash): the rank
+    is one plus the rows with a larger value, the running total is that of the histogram rows before
+    plus the position within the own cell. Only rows of one cell are ordered, so a value that most rows
+    share spreads over 16 to the power of ``digits`` tasks; choose it by the size of the largest tie, the
+    result does not depend on it. Nor is a nearly unique value ordered in one task (see ``_larger``).
+
+    The histogram is written when the frame is built: it is read several times, and its exact size
+    decides whether it is broadcast. ``df`` is read twice and must be a stored table. ``value`` must
+    not be NULL; a NULL group is a group. There are few groups of ``rank_by``.
+    """
+    cell = [total_by, value, "_bucket"]
+    rows = df.withColumn("_hash", tie_hash(*ids)).withColumn("_bucket", F.substring("_hash", 1, digits))
+    cells = written(rows.groupBy(*dict.fromkeys([*cell, rank_by])).agg(F.count(F.lit(1)).alias("_n")), "rank_cells")
 
-    ranks = cells.groupBy(rank_by, value).agg(F.sum("_n").alias("_n")).select(
-        F.col(rank_by).alias("_rk"), F.col(value).alias("_rv"), (F.coalesce(F.sum("_n").over(before(rank_by)), F.lit(0)) + 1).alias(rank_as))
-    larger = F.sum(F.col("_n") * F.col(value)).over(before(total_by))
-    bases = cells.groupBy(total_by, value).agg(F.sum("_n").alias("_n")).select(
-        F.col(total_by).alias("_tk"), F.col(value).alias("_tv"), F.coalesce(larger, F.lit(0)).alias("_base"))
+    n = F.sum("_n").alias("_n")
+    ranks = _larger(cells.groupBy(rank_by, value).agg(n), rank_by, value, F.col("_n"), "_rank").withColumnsRenamed({"_g": "_rg", "_v": "_rv"})
+    bases = _larger(cells.groupBy(total_by, value).agg(n), total_by, value, F.col("_n") * F.col(value), "_base").withColumnsRenamed({"_g": "_tg", "_v": "_tv"})
 
-    in_tie = Window.partitionBy(total_by, value).orderBy("_bucket", rank_by).rowsBetween(Window.unboundedPreceding, -1)
-    skipped = cells.withColumn("_skip", F.coalesce(F.sum("_n").over(in_tie), F.lit(0)))
-    offsets = skipped.join(ranks, null_safe([(F.col(rank_by), F.col("_rk"))]) & (F.col(value) == F.col("_rv"))).join(
-        bases, null_safe([(F.col(total_by), F.col("_tk"))]) & (F.col(value) == F.col("_tv"))).select(
-        F.struct(*cell).alias("_cell"), "_skip", "_base", rank_as)
+    ranked = cells.join(ranks, null_safe([(F.col(rank_by), F.col("_rg"))]) & (F.col(value) == F.col("_rv")))
+    per_cell = ranked.groupBy(*cell).agg(n, F.collect_list(F.struct(F.col("_rg"), (F.col("_rank") + 1).alias("_rank"))).alias("_ranks"))
+    in_tie = Window.partitionBy(total_by, value).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    skipped = per_cell.withColumn("_skip", F.coalesce(F.sum("_n").over(in_tie), F.lit(0)))
+    offsets = skipped.join(bases, null_safe([(F.col(total_by), F.col("_tg"))]) & (F.col(value) == F.col("_tv"))).select(
+        F.struct(*cell).alias("_cell"), "_skip", "_base", "_ranks")
 
     # As one struct the key is equal to itself also where a part is NULL. With the same type on both
     # sides the join takes over the partitioning of the window: the rows are moved once.
-    position = F.row_number().over(Window.partitionBy("_cell").orderBy(*ids))
+    position = F.row_number().over(Window.partitionBy("_cell").orderBy("_hash", *ids))
     placed = rows.withColumn("_cell", F.struct(*cell).cast(offsets.schema["_cell"].dataType)).withColumn("_at", position)
     running = F.col("_base") + (F.col("_skip") + F.col("_at")) * F.col(value)
-    return placed.join(offsets, "_cell").select(*df.columns, rank_as, running.alias(running_as))
+    rank = F.filter("_ranks", lambda r: r["_rg"].eqNullSafe(F.col(rank_by)))[0]["_rank"]
+    return placed.join(offsets, "_cell").select(*df.columns, rank.alias(rank_as), running.alias(running_as))
 
 
 def newest_rows(df: DataFrame, when: str, tie: str, count: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from souklens.functions.texts import strip_quotes
 from souklens.functions.times import (
     date_of_text, day_of, month_name, months_before, parse_iso, quarter_text, second_of, year_month)
+from souklens.operators import baskets
 
 
 def time(users: DataFrame, subscriptions: DataFrame, invoices: DataFrame, orders: DataFrame) -> DataFrame:
@@ -48,16 +49,29 @@ def seller(profiles: DataFrame, now: Column) -> DataFrame:
         maturity.alias("seller_maturity"))
 
 
+_AFFINITY_LABELS = ("product_type", "seller_id")
+
+
+def product_affinity(items: DataFrame, products: DataFrame) -> DataFrame:
+    """Co-purchased pairs of the lines, labelled as ``product_affinity_type`` does, without a join of pairs."""
+    pairs = baskets.bought_with(items, products, labels=_AFFINITY_LABELS)
+    return _affinity_categories(pairs.withColumnsRenamed({f"product_{i}_product_type": f"product_{i}_type" for i in (1, 2)}))
+
+
 def product_affinity_type(pairs: DataFrame, products: DataFrame) -> DataFrame:
-    """Pairs labelled by whether both products share their type and their seller; unknown is "cross"."""
+    """Stored pairs labelled by whether both products share their type and their seller; unknown is "cross"."""
     out = pairs.select("product_1_id", "product_2_id", "co_purchase_count")
     for side in (1, 2):
         p = products.select(F.col("product_id").alias(f"_p{side}"), F.col("product_type").alias(f"product_{side}_type"),
                             F.col("seller_id").alias(f"product_{side}_seller_id"))
         out = out.join(p, F.col(f"product_{side}_id") == F.col(f"_p{side}"), "left")
+    return _affinity_categories(out)
+
+
+def _affinity_categories(pairs: DataFrame) -> DataFrame:
     same_type = F.col("product_1_type") == F.col("product_2_type")
     same_seller = F.col("product_1_seller_id") == F.col("product_2_seller_id")
-    return out.select(
+    return pairs.select(
         "product_1_id", "product_2_id", "co_purchase_count", "product_1_type", "product_2_type", "product_1_seller_id",
         "product_2_seller_id",
         F.when(same_type, "same_type").otherwise("cross_type").alias("affinity_type_category"),

@@ -323,10 +323,13 @@ def _cube_quantiles(base: DataFrame, keys: list[str]) -> DataFrame:
 def cohort_retention(cohort: DataFrame) -> DataFrame:
     """Roll-up of start month and plan: subscriptions and users started, retained after 30 and 90
     days and churned, with percentages; totals per month and over everything."""
-    started = F.count(F.lit(1))
     measures = {"retained_30d": "retained_30d", "retained_90d": "retained_90d", "churned": "churned_flag"}
-    return cohort.rollup("cohort_month", "tier_name").agg(
+    # a row per month, plan and user, so that no subscription is repeated for the distinct users of each total
+    per_user = cohort.groupBy("cohort_month", "tier_name", "user_id").agg(
+        F.count(F.lit(1)).alias("started"), *[F.sum(c).alias(a) for a, c in measures.items()])
+    started = F.sum("started")
+    return per_user.rollup("cohort_month", "tier_name").agg(
         started.alias("subscriptions"), F.countDistinct("user_id").alias("users"),
-        *[F.sum(c).alias(a) for a, c in measures.items()],
-        *[percent(F.sum(c), started).alias(f"{a}_pct") for a, c in measures.items()],
+        *[F.sum(a).alias(a) for a in measures],
+        *[percent(F.sum(a), started).alias(f"{a}_pct") for a in measures],
         F.grouping("cohort_month").cast("int").alias("grp_month"), F.grouping("tier_name").cast("int").alias("grp_tier"))

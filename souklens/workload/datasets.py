@@ -255,7 +255,7 @@ def dim_seller(m: Market) -> DataFrame:
 
 
 def affinity_type(m: Market) -> DataFrame:
-    return dimensions.product_affinity_type(pairs(m), m.products())
+    return dimensions.product_affinity(m.order_items(), m.products())
 
 
 query("dim_product_affinity_type", "SELECT * FROM affinity_type", "affinity_type")(affinity_type)

@@ -17,7 +17,7 @@ from souklens.workload.storage import _ATTRIBUTES, catalogue_text
 def check_row_counts(m: Market) -> DataFrame:
     return checks.row_counts({
         "marketplace_invoices": m.marketplace_invoices(), "marketplace_invoice_lines": m.marketplace_invoice_lines(),
-        "orders": m.orders(), "order_items": m.order_items()})
+        "orders": m.order_headers(), "order_items": m.order_items()})
 
 
 @query("check_event_profile", """
@@ -37,8 +37,8 @@ def _orphans(name: str, child: str, key: str, parent: str) -> str:
     _orphans("invoice_line_invoice", "mkt_lines", "invoice_id", "mkt_invoices")]), "order_items", "orders_d", "mkt_invoices", "mkt_lines")
 def check_referential(m: Market) -> DataFrame:
     return checks.referential({
-        "order_item_order": (m.order_items(), "order_id", m.orders(), "id"),
-        "order_invoice": (m.orders(), "invoice_id", m.marketplace_invoices(), "id"),
+        "order_item_order": (m.order_items(), "order_id", m.order_headers(), "id"),
+        "order_invoice": (m.order_headers(), "invoice_id", m.marketplace_invoices(), "id"),
         "invoice_line_invoice": (m.marketplace_invoice_lines(), "invoice_id", m.marketplace_invoices(), "id")})
 
 
@@ -54,7 +54,7 @@ def _repeats(name: str, table: str, key: str) -> str:
     _repeats("products", "products", "product_id")]), "orders_d", "order_items", "mkt_invoices", "events_d", "products")
 def check_unique_keys(m: Market) -> DataFrame:
     return checks.unique_keys({
-        "orders": (m.orders(), "id"), "order_items": (m.order_items(), "id"), "marketplace_invoices": (m.marketplace_invoices(), "id"),
+        "orders": (m.order_headers(), "id"), "order_items": (m.order_items(), "id"), "marketplace_invoices": (m.marketplace_invoices(), "id"),
         "events_by_product": (m.events(), "product_id"), "products": (m.products(), "product_id")})
 
 

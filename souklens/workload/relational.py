@@ -76,7 +76,7 @@ def join_inner_equi(m: Market) -> DataFrame:
 @query("join_left_equi", """
     SELECT c.id, c.full_name, o.id AS order_id, o.status FROM users c LEFT JOIN orders_d o ON o.user_id = c.id""", "users", "orders_d")
 def join_left_equi(m: Market) -> DataFrame:
-    orders = m.orders().select(F.col("user_id").alias("_buyer"), F.col("id").alias("order_id"), "status")
+    orders = m.order_headers().select(F.col("user_id").alias("_buyer"), F.col("id").alias("order_id"), "status")
     return detail_left_join(m.users().select("id", "full_name"), orders, "id", "_buyer").drop("_buyer")
 
 
@@ -112,7 +112,7 @@ def join_price_valid_at(m: Market) -> DataFrame:
 def join_null_safe(m: Market) -> DataFrame:
     users = m.users()
     a = users.groupBy("country_code").agg(F.count(F.lit(1)).alias("users"))
-    per_user = m.orders().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    per_user = m.order_headers().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     b = per_user.join(users, F.col("user_id") == F.col("id")).groupBy(F.col("country_code").alias("_c")).agg(F.sum("n").alias("orders"))
     return a.join(b, null_safe([(F.col("country_code"), F.col("_c"))]), "left").drop("_c")
 
@@ -351,8 +351,7 @@ def win_rank(m: Market) -> DataFrame:
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, q,
         rank() OVER (PARTITION BY l_returnflag ORDER BY q DESC) AS rank_in_flag,
         CAST(sum(q) OVER (PARTITION BY l_linestatus ORDER BY q DESC,
-            substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey), 1, 3), l_returnflag,
-            l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_quantity
+            md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey), l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_quantity
     FROM (SELECT *, CAST(l_quantity AS BIGINT) AS q FROM lineitem)""")
 def win_rank_large_groups(m: Market) -> DataFrame:
     """Rank and running total over groups that each hold a large share of the table."""

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from souklens.operators import baskets, checks, joins, moments, quantiles, rankings
+from souklens.plans import dimensions
 from souklens.sources import documents
 
 
@@ -99,14 +100,15 @@ def test_cube_quantiles_against_numpy(spark):
         assert abs(r.q - np.quantile(part, 0.4)) < 1e-9
 
 
-def test_rank_and_running_total_against_brute_force(spark):
+@pytest.mark.parametrize("digits", [1, 3, 4])
+def test_rank_and_running_total_against_brute_force(spark, digits):
     rng = random.Random(1)
     rows = [(rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), 1 if rng.random() < 0.6 else rng.randrange(1, 9), i, i * 7 % 11) for i in range(400)]
     df = spark.createDataFrame(rows, "r string, t string, v long, p long, q long")
-    found = {row.p: row for row in rankings.rank_and_running_total(df, "r", "t", "v", ["p", "q"], "rank", "running").collect()}
+    found = {row.p: row for row in rankings.rank_and_running_total(df, "r", "t", "v", ["p", "q"], "rank", "running", digits).collect()}
 
     def order(row):
-        return (-row[2], hashlib.md5(f"{row[3]}|{row[4]}".encode()).hexdigest()[:3], row[0] or "", row[3], row[4])
+        return (-row[2], hashlib.md5(f"{row[3]}|{row[4]}".encode()).hexdigest(), row[3], row[4])
 
     assert len(found) == len(rows)
     for group in ("x", "y", None):
@@ -118,6 +120,24 @@ def test_rank_and_running_total_against_brute_force(spark):
         assert found[row[3]]["rank"] == 1 + sum(x[2] > row[2] for x in rows if x[0] == row[0])
 
 
+def test_rank_over_nearly_unique_values(spark):
+    rows = [("a" if i % 3 else "b", "x", (i * 7919) % 5003, i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "r string, t string, v long, p long")
+    found = {row.p: row for row in rankings.rank_and_running_total(df, "r", "t", "v", ["p"], "rank", "running", 1).collect()}
+    total, counts = 0, {"a": 0, "b": 0}
+    for r, _, v, p in sorted(rows, key=lambda x: -x[2]):
+        total, counts[r] = total + v, counts[r] + 1
+        assert (found[p]["rank"], found[p].running) == (counts[r], total)
+
+
+def test_labels_of_pairs_equal_a_join_of_pairs(spark):
+    rng = random.Random(8)
+    items = spark.createDataFrame([(o, rng.randrange(20)) for o in range(60) for _ in range(5)], "order_id int, product_id int")
+    products = spark.createDataFrame([(p, rng.choice(["s", "t", None]), rng.choice(["u", "v"])) for p in range(18)], "product_id int, product_type string, seller_id string")
+    plain = dimensions.product_affinity_type(baskets.bought_with(items, products), products)
+    assert sorted(map(str, dimensions.product_affinity(items, products).collect())) == sorted(map(str, plain.collect()))
+
+
 def test_newest_rows_equals_sort_and_limit(spark):
     days = [(i, f"2024-01-{1 + i % 20:02d}T0{i % 10}:00:00+00:00" if i % 17 else None) for i in range(300)]
     df = spark.createDataFrame(days, "id int, at string")
