@@ -123,35 +123,46 @@ def cons_user_activity(m: Market) -> DataFrame:
     return consolidation.user_activity(m.users(), m.events_text(), m.products())
 
 
-@query("cons_product_affinity", """
-    SELECT product_1_id, a.name AS product_1_name, a.product_type AS product_1_type, CAST(a.price_usd AS DOUBLE) AS product_1_price,
-        a.seller_id AS product_1_seller_id, product_2_id, b.name AS product_2_name, b.product_type AS product_2_type,
-        CAST(b.price_usd AS DOUBLE) AS product_2_price, b.seller_id AS product_2_seller_id, co_purchase_count
-    FROM pairs LEFT JOIN products a ON a.product_id = product_1_id LEFT JOIN products b ON b.product_id = product_2_id""",
+def _of_product(side: int, column: str) -> str:
+    return f"(SELECT {column} FROM products WHERE product_id = product_{side}_id)"
+
+
+@query("cons_product_affinity", "SELECT product_1_id, product_2_id, co_purchase_count, " + ", ".join(
+    f"{_of_product(side, value)} AS product_{side}_{name}" for side in (1, 2)
+    for name, value in (("name", "name"), ("type", "product_type"), ("price", "CAST(price_usd AS DOUBLE)"), ("seller_id", "seller_id"))) + " FROM pairs",
     "pairs", "products")
 def cons_product_affinity(m: Market) -> DataFrame:
     return consolidation.product_affinity(pairs(m), m.products())
 
 
-@query("cons_seller_order_revenue", """
-    SELECT s.user_id AS seller_id, s.display_name, s.country_code, s.is_verified, p.product_id, p.name, p.product_type,
-        o.id AS order_id, o.user_id AS buyer_user_id, o.status AS order_status, o.shipping_country, o.created_at,
-        oi.id AS order_item_id, oi.quantity, CAST(oi.unit_price_usd AS DOUBLE) AS unit_price_usd,
-        CAST(oi.line_total_usd AS DOUBLE) AS line_total_usd
-    FROM sellers s JOIN products p ON p.seller_id = s.user_id JOIN order_items oi ON oi.product_id = p.product_id
-    JOIN orders_d o ON o.id = oi.order_id""", "sellers", "products", "order_items", "orders_d")
+def _lookup(table: str, key: str, value: str, columns: dict[str, str]) -> str:
+    """Each column as its own lookup of the row of ``table`` whose ``key`` is ``value``."""
+    return ", ".join(f"(SELECT x.{c} FROM {table} x WHERE x.{key} = {value}) AS {name}" for name, c in columns.items())
+
+
+@query("cons_seller_order_revenue", f"""
+    WITH sold AS (
+        SELECT line.*, {_lookup("products", "product_id", "line.product_id", {"seller_id": "seller_id", "name": "name", "product_type": "product_type"})}
+        FROM order_items line)
+    SELECT seller_id, product_id, name, product_type, order_id, id AS order_item_id, quantity, CAST(unit_price_usd AS DOUBLE) AS unit_price_usd,
+        CAST(line_total_usd AS DOUBLE) AS line_total_usd,
+        {_lookup("sellers", "user_id", "sold.seller_id", {"display_name": "display_name", "country_code": "country_code", "is_verified": "is_verified"})},
+        {_lookup("orders_d", "id", "sold.order_id", {"buyer_user_id": "user_id", "order_status": "status", "shipping_country": "shipping_country", "created_at": "created_at"})}
+    FROM sold WHERE seller_id IN (SELECT user_id FROM sellers) AND order_id IN (SELECT id FROM orders_d)""",
+    "sellers", "products", "order_items", "orders_d")
 def cons_seller_order_revenue(m: Market) -> DataFrame:
     return consolidation.seller_order_revenue(m.sellers(), m.products(), m.order_items(), m.orders())
 
 
-@query("cons_invoices", """
-    SELECT si.id AS invoice_id, si.user_id, u.full_name, si.invoice_type, si.status AS invoice_status,
-        CAST(si.total_usd AS DOUBLE) AS amount_usd, si.billing_period_start, si.billing_period_end, si.paid_at, si.due_at,
-        u.id AS user_id_ref
-    FROM sub_invoices si JOIN users u ON u.id = si.user_id
-    UNION ALL
-    SELECT CAST(sm.id AS VARCHAR), sm.user_id, u.full_name, NULL, sm.status, CAST(sm.total_usd AS DOUBLE), NULL, NULL, NULL, NULL, u.id
-    FROM mkt_invoices sm JOIN users u ON u.id = sm.user_id""", "sub_invoices", "mkt_invoices", "users")
+@query("cons_invoices", f"""
+    WITH every AS (
+        SELECT id AS invoice_id, user_id, invoice_type, status AS invoice_status, total_usd, billing_period_start, billing_period_end, paid_at, due_at
+        FROM sub_invoices
+        UNION ALL BY NAME
+        SELECT CAST(id AS VARCHAR) AS invoice_id, user_id, status AS invoice_status, total_usd FROM mkt_invoices)
+    SELECT every.* EXCLUDE (total_usd), CAST(total_usd AS DOUBLE) AS amount_usd, user_id AS user_id_ref,
+        {_lookup("users", "id", "every.user_id", {"full_name": "full_name"})}
+    FROM every WHERE user_id IN (SELECT id FROM users)""", "sub_invoices", "mkt_invoices", "users")
 def cons_invoices(m: Market) -> DataFrame:
     return consolidation.invoices(m.subscription_invoices(), m.marketplace_invoices(), m.users())
 
@@ -176,13 +187,16 @@ query("cons_sub_cohort", SUB_COHORT_SQL, "sub_cohort")(sub_cohort)
 
 
 @query("cons_sub_billing", """
-    SELECT i.id AS invoice_id, i.user_id, i.invoice_type, i.status AS invoice_status, CAST(i.subtotal_usd AS DOUBLE) AS subtotal_usd,
-        CAST(i.tax_usd AS DOUBLE) AS tax_usd, CAST(i.discount_usd AS DOUBLE) AS discount_usd, CAST(i.total_usd AS DOUBLE) AS total_usd,
-        i.subscription_id, i.billing_period_start, i.billing_period_end, i.paid_at, i.due_at, i.created_at AS invoice_created_at,
-        l.id AS line_item_id, l.product_id, l.description AS line_description, l.quantity,
-        CAST(l.unit_price_usd AS DOUBLE) AS unit_price_usd, CAST(l.line_total_usd AS DOUBLE) AS line_total_usd,
-        l.created_at AS line_created_at
-    FROM sub_invoices i LEFT JOIN sub_lines l ON l.invoice_id = i.id""", "sub_invoices", "sub_lines")
+    WITH parts AS (
+        SELECT invoice_id, id AS line_item_id, product_id, description AS line_description, quantity, unit_price_usd, line_total_usd,
+            created_at AS line_created_at FROM sub_lines
+        UNION ALL BY NAME
+        SELECT id AS invoice_id FROM sub_invoices WHERE id NOT IN (SELECT invoice_id FROM sub_lines WHERE invoice_id IS NOT NULL))
+    SELECT parts.* REPLACE (CAST(unit_price_usd AS DOUBLE) AS unit_price_usd, CAST(line_total_usd AS DOUBLE) AS line_total_usd),
+        head.* EXCLUDE (id, status, created_at) REPLACE (CAST(subtotal_usd AS DOUBLE) AS subtotal_usd, CAST(tax_usd AS DOUBLE) AS tax_usd,
+            CAST(discount_usd AS DOUBLE) AS discount_usd, CAST(total_usd AS DOUBLE) AS total_usd),
+        head.status AS invoice_status, head.created_at AS invoice_created_at
+    FROM parts, sub_invoices head WHERE head.id = parts.invoice_id""", "sub_invoices", "sub_lines")
 def cons_sub_billing(m: Market) -> DataFrame:
     return facts.sub_billing(m.subscription_invoices(), m.subscription_invoice_lines())
 
@@ -202,23 +216,25 @@ def cons_user_orders(m: Market) -> DataFrame:
     return facts.user_orders(m.users(), m.orders(), m.order_items(), m.marketplace_invoices())
 
 
-@query("cons_user_engagement_sales", """
-    WITH activity AS (
-        SELECT id AS user_id, country_code AS user_country_code, date_trunc('month', occurred_at) AS activity_month,
-            count(*) AS total_events, count(*) FILTER (event_type = 'page_view') AS page_views,
-            count(*) FILTER (event_type = 'product_view') AS product_views, count(*) FILTER (event_type = 'search') AS searches,
-            count(*) FILTER (event_type = 'add_to_cart') AS add_to_cart_events,
-            count(*) FILTER (event_type = 'checkout_start') AS checkout_starts,
-            count(*) FILTER (event_type = 'purchase') AS purchase_events
-        FROM user_activity GROUP BY ALL),
-    sales AS (
-        SELECT o.user_id, date_trunc('month', created_ts) AS order_month, count(DISTINCT o.id) AS order_count,
-            sum(quantity) AS total_quantity, sum(line_total_usd) AS total_revenue_usd
-        FROM orders_d o JOIN order_items i ON i.order_id = o.id GROUP BY ALL)
-    SELECT a.*, coalesce(order_count, 0) AS order_count, CAST(coalesce(total_quantity, 0) AS BIGINT) AS total_quantity,
-        CAST(coalesce(total_revenue_usd, 0) AS DOUBLE) AS total_revenue_usd
-    FROM activity a LEFT JOIN sales s ON s.user_id = a.user_id AND s.order_month = a.activity_month""",
-    "user_activity", "orders_d", "order_items")
+def _events_where(condition: str) -> str:
+    return f"(SELECT count(*) FROM seen WHERE seen.user_id = months.user_id AND seen.month = months.activity_month AND {condition})"
+
+
+@query("cons_user_engagement_sales", f"""
+    WITH seen AS (SELECT user_id, event_type, date_trunc('month', occurred_at) AS month FROM events_d WHERE user_id IN (SELECT id FROM users)),
+    months AS (SELECT DISTINCT user_id, month AS activity_month FROM seen),
+    per_order AS (
+        SELECT o.id, o.user_id, date_trunc('month', o.created_ts) AS month,
+            (SELECT sum(quantity) FROM order_items WHERE order_id = o.id) AS units, (SELECT sum(line_total_usd) FROM order_items WHERE order_id = o.id) AS paid
+        FROM orders_d o WHERE o.id IN (SELECT order_id FROM order_items))
+    SELECT user_id, (SELECT country_code FROM users WHERE id = months.user_id) AS user_country_code, activity_month, {_events_where("true")} AS total_events,
+        {", ".join(f"{_events_where(f"event_type = '{kind}'")} AS {name}" for name, kind in (
+            ("page_views", "page_view"), ("product_views", "product_view"), ("searches", "search"), ("add_to_cart_events", "add_to_cart"),
+            ("checkout_starts", "checkout_start"), ("purchase_events", "purchase")))},
+        (SELECT count(*) FROM per_order p WHERE p.user_id = months.user_id AND p.month = months.activity_month) AS order_count,
+        CAST(coalesce((SELECT sum(units) FROM per_order p WHERE p.user_id = months.user_id AND p.month = months.activity_month), 0) AS BIGINT) AS total_quantity,
+        CAST(coalesce((SELECT sum(paid) FROM per_order p WHERE p.user_id = months.user_id AND p.month = months.activity_month), 0) AS DOUBLE) AS total_revenue_usd
+    FROM months""", "users", "events_d", "orders_d", "order_items")
 def cons_user_engagement_sales(m: Market) -> DataFrame:
     return facts.user_engagement_sales(m.users(), m.events(), m.order_headers(), m.order_items())
 
@@ -226,13 +242,18 @@ def cons_user_engagement_sales(m: Market) -> DataFrame:
 # dimensions ---------------------------------------------------------------------------------
 
 
-@query("dim_time", """
-    WITH days AS (
-        SELECT created_at AS dt FROM users UNION SELECT started_at FROM subscriptions UNION
-        SELECT created_at FROM sub_invoices UNION SELECT created_ts FROM orders_d)
-    SELECT DISTINCT date_trunc('day', dt) AS date_key, CAST(year(dt) AS INTEGER) AS year_no, CAST(month(dt) AS INTEGER) AS month_no,
-        strftime(dt, '%Y-%m') AS year_month, upper(strftime(dt, '%b')) AS month_name, CAST(quarter(dt) AS VARCHAR) AS quarter_no
-    FROM days""", "users", "subscriptions", "sub_invoices", "orders_d")
+def _on_day(table: str, column: str) -> str:
+    return f"EXISTS (SELECT 1 FROM {table} WHERE {column} >= day AND {column} < day + INTERVAL 1 DAY)"
+
+
+@query("dim_time", f"""
+    WITH calendar AS (SELECT unnest(generate_series(TIMESTAMP '1990-01-01', TIMESTAMP '2005-12-31', INTERVAL 1 DAY)) AS day)
+    SELECT day AS date_key, CAST(date_part('year', day) AS INTEGER) AS year_no, CAST(date_part('month', day) AS INTEGER) AS month_no,
+        left(CAST(day AS VARCHAR), 7) AS year_month, upper(left(monthname(day), 3)) AS month_name,
+        CAST((date_part('month', day) + 2) // 3 AS VARCHAR) AS quarter_no
+    FROM calendar
+    WHERE {_on_day("users", "created_at")} OR {_on_day("subscriptions", "started_at")} OR {_on_day("sub_invoices", "created_at")}
+        OR {_on_day("orders_d", "created_ts")}""", "users", "subscriptions", "sub_invoices", "orders_d")
 def dim_time(m: Market) -> DataFrame:
     return dimensions.time(m.users(), m.subscriptions(), m.subscription_invoices(), m.order_headers())
 
