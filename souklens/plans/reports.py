@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from souklens.functions.numbers import exact, flag, mean_amount, nvl, percent, percent_raw, ratio
 from souklens.functions.times import month_in, month_of, seconds_between, second_of
-from souklens.operators.joins import latest_per_key, null_safe
+from souklens.operators.joins import latest_per_key, null_safe, valid_at
 from souklens.operators.moments import cell_comoments, cell_moments, centred, merged_pearson, merged_stddev
 from souklens.operators.quantiles import exact_quantiles
 from souklens.operators.rankings import rank_and_running_total
@@ -206,29 +206,47 @@ def funnel_stage(event_type: Column) -> Column:
             .otherwise("other"))
 
 
+def _latest_plans(subscriptions: DataFrame) -> DataFrame:
+    latest = latest_per_key(subscriptions, "user_id", "started_at", "id", ["tier_id"])
+    return latest.select(F.col("user_id").alias("_subscriber"), F.col("tier_id").alias("_plan"))
+
+
+def _plan_periods(subscriptions: DataFrame) -> DataFrame:
+    """Plans of a user from one subscription's start to the next one's; of several that start together the
+    one with the largest id. The subscriptions of a user are few."""
+    starts = subscriptions.filter(F.col("started_at").isNotNull()).groupBy("user_id", "started_at").agg(F.max_by("tier_id", "id").alias("_plan"))
+    following = F.lead("started_at").over(Window.partitionBy("user_id").orderBy("started_at"))
+    return starts.select(F.col("user_id").alias("_subscriber"), "_plan", F.col("started_at").alias("_from"), following.alias("_to"))
+
+
 def funnel_conversion_by_tier(
-    users: DataFrame, events: DataFrame, products: DataFrame, subscriptions: DataFrame, tiers: DataFrame,
+    users: DataFrame, events: DataFrame, products: DataFrame, subscriptions: DataFrame, tiers: DataFrame, at_event: bool = False,
 ) -> DataFrame:
     """Events, users and conversion rates by plan and funnel stage, also split by product type and
-    by month, and over everything. A user's plan is that of the latest subscription.
+    by month, and over everything. A user's plan is that of the latest subscription; with ``at_event``
+    the one that had started last when the event (with a typed time) occurred.
 
     Events are counted per user, type, product and month before any join, and once more per user,
-    stage, product type and month before the rows are multiplied by the grouping sets.
+    stage, product type and month before the rows are multiplied by the grouping sets. Only plans at
+    event time need each event to meet its user's periods first; that join can be split on events.
     """
+    plan_key = []
+    if at_event:
+        during = (F.col("user_id") == F.col("_subscriber")) & valid_at(F.col("_from"), F.col("_to"), F.col("occurred_at"))
+        events, plan_key = events.join(_plan_periods(subscriptions), during, "left"), ["_plan"]
     counted = events.groupBy(
-        F.col("user_id"), "event_type", "product_id", month_in(events, "occurred_at").alias("event_month")).agg(
+        F.col("user_id"), "event_type", "product_id", *plan_key, month_in(events, "occurred_at").alias("event_month")).agg(
         F.count(F.lit(1)).alias("n"))
     p = products.select(F.col("product_id").alias("_product"), "product_type")
     lower = F.col("event_type").isin("add_to_cart", "checkout_start", "purchase")
     per_user = counted.join(p, F.col("product_id") == F.col("_product"), "left").groupBy(
-        "user_id", funnel_stage(F.col("event_type")).alias("funnel_stage"), "product_type", "event_month").agg(
+        "user_id", *plan_key, funnel_stage(F.col("event_type")).alias("funnel_stage"), "product_type", "event_month").agg(
         F.sum("n").alias("n"), F.sum(F.when(lower, F.col("n")).otherwise(0)).alias("converted"),
         F.sum(F.when(F.col("event_type") == "purchase", F.col("n")).otherwise(0)).alias("bought"))
-    latest = latest_per_key(subscriptions, "user_id", "started_at", "id", ["tier_id"])
-    plan = latest.join(tiers.select(F.col("id").alias("_tier"), F.col("name").alias("tier_name")),
-                       F.col("tier_id") == F.col("_tier"), "left").select(F.col("user_id").alias("_subscriber"), "tier_name")
-    known = users.select(F.col("id").alias("_user"))
-    base = per_user.join(known, F.col("user_id") == F.col("_user")).join(plan, F.col("user_id") == F.col("_subscriber"), "left")
+    known = per_user.join(users.select(F.col("id").alias("_user")), F.col("user_id") == F.col("_user"))
+    if not at_event:
+        known = known.join(_latest_plans(subscriptions), F.col("user_id") == F.col("_subscriber"), "left")
+    base = known.join(tiers.select(F.col("id").alias("_tier"), F.col("name").alias("tier_name")), F.col("_plan") == F.col("_tier"), "left")
 
     keys = ["tier_name", "funnel_stage", "product_type", "event_month"]
     sets = [keys[:2], keys[:3], ["tier_name", "funnel_stage", "event_month"], []]
