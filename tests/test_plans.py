@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from souklens.operators import joins, quantiles, rankings
-from souklens.plans import facts, reports
+from souklens.plans import dimensions, facts, reports
 from souklens.sources.market import Market
 
 SF = "/root/testdata/sf0.001"
@@ -115,3 +115,55 @@ def test_quantiles_move_only_rows_of_located_buckets(spark):
     plan = plan_of(quantiles.exact_quantiles(rows, ["l_returnflag"], "cast(l_extendedprice * 100 as bigint)", {"m": 0.5}, 100_000))
     scan_to_join = plan[plan.index("BroadcastHashJoin"):]
     assert "Exchange hashpartitioning" not in scan_to_join
+
+
+def test_labelled_pairs_are_not_joined(spark):
+    """Labels are joined to lines: above the expansion into pairs stands no join, and lines are moved by order once."""
+    m = Market(spark, SF)
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = plan_of(dimensions.product_affinity(m.order_items(), m.products()))
+    above, below = plan[:plan.index("Generate explode")], plan[plan.index("Generate explode"):]
+    assert "Join" not in above
+    assert len(re.findall(r"Exchange hashpartitioning\(order_id", below)) == 1
+
+
+def test_checks_scan_only_what_they_check(spark):
+    from souklens.workload import QUERIES
+    for name in ("check_row_counts", "check_referential", "check_unique_keys"):
+        plan = plan_of(QUERIES[name](spark, SF))
+        assert "c_nationkey" not in plan and "n_name" not in plan
+    assert "Join" not in plan_of(QUERIES["check_row_counts"](spark, SF))
+    assert "c_nationkey" not in plan_of(QUERIES["join_left_equi"](spark, SF)).split("o_orderkey")[-1]
+
+
+def test_cohorts_are_reduced_before_the_roll_up(spark):
+    m = Market(spark, SF)
+    cohort = facts.sub_cohort(facts.user_subscription(m.users(), m.subscriptions(), m.tiers(), m.tier_pricing()), F.current_timestamp())
+    plan = plan_of(reports.cohort_retention(cohort))
+    expand, first_join = plan.index("Expand"), plan.index("Join")
+    assert "HashAggregate" in plan[expand:first_join]
+
+
+def test_cube_quantiles_spread_counts(spark):
+    rows = Market(spark, SF).raw("lineitem")
+    plan = plan_of(quantiles.exact_quantiles(rows, [], "cast(l_quantity as bigint)", {"m": 0.5}, 10, cube=["l_returnflag", "l_linestatus"]))
+    spread = plan.index("Generate explode")
+    assert "HashAggregate" in plan[spread:] and "FileScan" in plan[spread:]
+
+
+def test_wide_values_with_widths_from_the_data(spark):
+    """A range of 10^12 with a width of a thousandth of it: few buckets, few values in each."""
+    df = spark.range(2000).select((F.pow(F.col("id") % 997, F.lit(4)) * 1000003).cast("long").alias("v"))
+    width = df.agg(F.greatest(F.floor((F.max("v") - F.min("v")) / 1000), F.lit(1))).first()[0]
+    values = sorted(r.v for r in df.collect())
+    found = quantiles.exact_quantiles(df, [], "v", {"a": 0.25, "b": 0.5, "c": 0.999}, width).first()
+    for name, p in (("a", 0.25), ("b", 0.5), ("c", 0.999)):
+        at = p * (len(values) - 1)
+        low, high = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+        assert abs(found[name] - (low + (high - low) * (at - int(at)))) <= 1e-6 * max(1, abs(found[name]))
+
+
+def test_centres_need_no_window(spark):
+    from souklens.operators import moments
+    cells = spark.range(10).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x")).groupBy("g").agg(*moments.cell_moments("x", "x"))
+    assert "Window" not in plan_of(moments.centred(cells, ["x"]))
