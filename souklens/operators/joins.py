@@ -21,8 +21,8 @@ def detail_left_join(header: DataFrame, detail: DataFrame, header_key: str, deta
     side; they have details, so the inner join loses none of them. All others go through a plain
     left join. Both joins take all rows of their keys, so the result does not depend on which keys
     are told apart; these are found by counting one in a hundred keys of details when a header must
-    have a million to matter. Their list is written, so that Catalyst knows its size; mostly it is
-    empty.
+    have a million to matter. This count runs when the frame is built. The list is written, so that Catalyst
+    knows its size; mostly it is empty.
 
     Columns of the two frames must differ in name.
     """

@@ -50,7 +50,8 @@ def typed_products(rows: DataFrame) -> DataFrame:
 
 
 def bought_with(items: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Co-purchased pairs with the names of both products."""
+    """Co-purchased pairs with the names of both products. Finds large orders when the frame is built
+    (see ``baskets.bought_with``)."""
     pairs = baskets.bought_with(items, catalogue)
     return name_pairs(pairs, baskets.product_vertices(catalogue))
 

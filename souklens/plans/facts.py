@@ -34,7 +34,8 @@ def user_subscription(users: DataFrame, subscriptions: DataFrame, tiers: DataFra
 
 
 def sub_billing(invoices: DataFrame, lines: DataFrame) -> DataFrame:
-    """Subscription invoices with their lines; an invoice without lines keeps one row."""
+    """Subscription invoices with their lines; an invoice without lines keeps one row. Counts a sample of
+    the lines when the frame is built (see ``detail_left_join``)."""
     i = invoices.select(
         F.col("id").alias("invoice_id"), "user_id", "invoice_type", F.col("status").alias("invoice_status"), "subtotal_usd",
         "tax_usd", "discount_usd", "total_usd", "subscription_id", "billing_period_start", "billing_period_end", "paid_at",
@@ -47,7 +48,8 @@ def sub_billing(invoices: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def order_transactions(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Orders with their lines; an order without lines keeps one row."""
+    """Orders with their lines; an order without lines keeps one row. Counts a sample of the lines when
+    the frame is built (see ``detail_left_join``)."""
     o = orders.select(F.col("id").alias("order_id"), "user_id", "invoice_id", "status", "shipping_country", "created_at")
     i = items.select(F.col("order_id").alias("_order"), "id", "product_id", "quantity", "unit_price_usd", "line_total_usd")
     return detail_left_join(o, i, "order_id", "_order").drop("_order")

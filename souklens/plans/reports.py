@@ -102,7 +102,8 @@ def product_affinity_analytics(affinity: DataFrame) -> DataFrame:
     """Pairs with rank, running total and comparison to the global mean, and totals per type
     category and per seller category.
 
-    The pairs are written once, since the histogram, the totals and the detail rows all read them.
+    The pairs are written once, when the frame is built, since the histogram, the totals and the detail
+    rows all read them; ``session.scope`` deletes them after use.
     """
     keys = ["affinity_type_category", "affinity_seller_category"]
     pair = [*keys, "product_1_id", "product_2_id"]
@@ -267,7 +268,7 @@ def invoice_payment_behaviour(invoices: DataFrame, subscriptions: DataFrame, tie
     """Invoices by every combination of plan, billing cycle and country: counts, rates, mean,
     deviation, quantiles and correlations.
 
-    The joined invoices are written once and read three times: for the moments of the finest cells,
+    The joined invoices are written once, when the frame is built, and read three times: for the moments of the finest cells,
     which are then merged up the cube, to locate the quantiles, and to pick them.
     """
     keys = ["tier_name", "billing_cycle", "country_code"]

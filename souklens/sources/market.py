@@ -58,7 +58,8 @@ class Market:
         session = self.spark._jsparkSession.sessionUUID()
         return f"{self.spark.sparkContext.applicationId}/{session}", self.path, name
 
-    def _once(self, name: str, build) -> DataFrame:
+    def once(self, name: str, build) -> DataFrame:
+        """A table written the first time that a session asks for it, and read from then on."""
         key = self._key(name)
         if key not in _written:
             with outside_scopes():
@@ -102,7 +103,7 @@ class Market:
     # catalogue ------------------------------------------------------------------------------
 
     def products(self) -> DataFrame:
-        return self._once("products", self._products)
+        return self.once("products", self._products)
 
     def _products(self) -> DataFrame:
         seller = self.raw("lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("seller"))
@@ -211,11 +212,11 @@ class Market:
     # subscriptions --------------------------------------------------------------------------
 
     def tiers(self) -> DataFrame:
-        return self._once("tiers", lambda: self.raw("orders").select(F.col("o_orderpriority").alias("id")).distinct().select(
+        return self.once("tiers", lambda: self.raw("orders").select(F.col("o_orderpriority").alias("id")).distinct().select(
             "id", F.col("id").alias("name"), F.concat(F.lit("Plan "), F.col("id")).alias("description")))
 
     def tier_pricing(self) -> DataFrame:
-        return self._once("tier_pricing", self._tier_pricing)
+        return self.once("tier_pricing", self._tier_pricing)
 
     def _tier_pricing(self) -> DataFrame:
         rank = F.substring("id", 1, 1).cast("int")
