@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from souklens.session import new_path
+from souklens.session import delete, new_path
 
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
 SLICE_BYTES = 4 << 20
@@ -89,16 +90,28 @@ def row_id(text: str) -> Column:
     return F.xxhash64(F.coalesce(quoted(text).cast("string"), F.lit("")))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+def table(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and its path, for ``discard``."""
+    path = new_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts the lineage."""
-    path = new_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return table(df.sparkSession, df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that no frame in use reads any more."""
+    delete(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of frames that are gone; it learns of them only when
+    the driver collects its garbage, which a driver with little to do seldom does by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def new_name(prefix: str) -> str:

@@ -3,20 +3,21 @@
 A text is cut at triggers: places whose rolling hash of ``GRAM`` bytes is the least among the places of
 some ``MATCH``-byte window. A trigger depends on the bytes of its window alone, so equal windows are cut
 alike, and every window holds one. A phrase is a trigger with all bytes that a window around it may reach;
-equal phrases stand for equal windows. The dictionary has every phrase that occurs, with its first place.
-
-1. Parse: triggers of all texts, range-partitioned and sorted by trigger. A stream drops those that occur
-   once. A trigger of very many places spreads over partitions; the first and last trigger of a partition
-   are kept in any case.
-2. Every place of a phrase but its first is repeated, with all windows around the trigger.
-3. Triggers with several phrases (borders of passages, edits) need the order inside the dictionary: the
-   windows of their phrases' first places, each counted at its own trigger, are grouped by content, and all
-   but the first place of each content are repeated.
+equal phrases stand for equal windows. The dictionary has every distinct phrase with its first place.
+
+1. Parse: phrases of all texts, in the order (trigger, phrase, place). Every place of a phrase but its first
+   is repeated with all windows around the trigger. Phrases of a trigger that has no other are settled.
+2. The others (borders of passages, edits) are compared in parts: the windows around a trigger are dealt to
+   ``PARTS`` groups by their begin; in the order (bytes common to a group, bytes of the group, place) a group
+   is settled if it is not the first of its bytes, or if no other group shares the common bytes.
+3. The windows of groups that are left, each counted at its own trigger, in the order (content, place).
 4. The spans of each document are united and cut from its text.
 
-Corpus order is thus kept as the order of dictionary windows, cut at ``MATCH`` bytes, and computed by
-Spark's sort and grouping; no suffix array of the corpus lies in one task. Contents are compared by hashes
-of 64 bits twice over. Nothing is capped; work grows with the bytes, and with borders in step 3.
+Corpus order is thus the sorted order of the dictionary and of its windows, cut at ``MATCH`` bytes, computed
+by Spark's range partitioning; no suffix array of the corpus lies in one task. A phrase of very many places
+spreads over partitions. Contents are compared by hashes of 64 bits twice over. Nothing is capped; work
+grows with the bytes, and with borders in steps 2 and 3. Each step is written to the shared folder, and
+deleted when the next one has read it.
 
 NULL is an empty text. A row without id comes after all others. Rows that share an id are ordered place
 by place; rows that also share their text are one document and cut alike. Texts below ``MATCH`` bytes stay.
@@ -29,15 +30,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from souklens.llm.common import Substrings, expand_texts, mixed, quoted, row_id, store
+from souklens.llm.common import Substrings, discard, expand_texts, mixed, quoted, release, row_id, table
 
 MATCH = 100
 GRAM = 32
-#: Low bits of ``place`` that tell rows with the same id apart; the bits above are the byte offset.
-ROW_BITS = 20
+PARTS = 4
+#: ``place`` is a byte offset, then the number of the part, then bits that tell rows with the same id apart.
+ROW_BITS, PART_BITS = 20, 3
 
-PHRASES = T.StructType([T.StructField(n, T.LongType()) for n in ("trigger", "phrase", "doc", "place")])
-CONTENTS = T.StructType([T.StructField(n, T.LongType()) for n in ("trigger", "content", "doc", "place")])
+#: Places of one content: ``key`` and ``part`` are hashes, and rows with an equal ``part`` of a key are equal.
+PLACES = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "part", "doc", "place")])
+#: What a sorted pass says of a place: it is a repeat, the first of its part in a key of several parts, or it
+#: stands at the edge of a partition; a mark is a copy of the head of a partition's last run.
+REPEAT, HEAD, EDGE, MARK = 0, 1, 2, 3
+FOUND = T.StructType([T.StructField("kind", T.IntegerType()), *PLACES.fields])
 
 
 def sliding(x: np.ndarray, width: int, better) -> np.ndarray:
@@ -73,13 +79,42 @@ class Parser:
         lo, hi = self.reach(at, len(data))
         return at, found[at], mixed(self.hashes.of(sums, lo, hi) + (at - lo).astype(np.uint64))
 
-    def windows(self, data: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the windows whose least hash stands at a ``wanted`` offset, that hash and the content hash."""
+    def groups(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Groups of windows around the triggers ``at`` that hold a window of its own: offset, number, hash
+        of the bytes that all windows of such a group share, hash of all bytes of the group."""
         _, found, least, sums = self.triggers(data)
-        width = self.match - self.gram + 1
-        starts = wanted[:, None] - np.arange(width)
-        inside = (starts >= 0) & (starts < len(least))
-        inside[inside] = least[starts[inside]] == np.broadcast_to(found[wanted][:, None], starts.shape)[inside]
+        out = []
+        for number, (first, last) in enumerate(self.parts()):
+            lo, hi = np.maximum(at - last, 0), np.minimum(at - first, len(least) - 1)
+            own = lo <= hi
+            own[own] = self._least_at(least, found, at[own], lo[own], hi[own])
+            p, lo, hi = at[own], lo[own], hi[own]
+            common = self.hashes.of(sums, p - first, p - last + self.match)
+            whole = self.hashes.of(sums, lo, hi + self.match) + (p - lo).astype(np.uint64)
+            out.append((p, np.full(len(p), number), mixed(common ^ mixed(found[p] + np.uint64(number))), mixed(whole)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def parts(self) -> list[tuple[int, int]]:
+        """Least and largest number of bytes before the trigger in the windows of each group."""
+        total = self.match - self.gram
+        edges = [total * i // PARTS for i in range(PARTS)] + [total + 1]
+        return [(a, b - 1) for a, b in zip(edges, edges[1:]) if a < b]
+
+    def _least_at(self, least: np.ndarray, found: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether some window that begins in ``lo`` to ``hi`` has its least hash at the trigger."""
+        width = int((hi - lo).max()) + 1 if len(at) else 1
+        starts = np.minimum(lo[:, None] + np.arange(width), hi[:, None])
+        return (least[starts] == found[at][:, None]).any(1)
+
+    def windows(self, data: np.ndarray, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the windows of the groups (``at``, ``number``) whose least hash stands at the trigger,
+        that hash, and the hash of their content."""
+        _, found, least, sums = self.triggers(data)
+        first, last = np.array(self.parts(), np.int64)[number].T
+        width = int((last - first).max()) + 1 if len(at) else 1
+        starts = (at - last)[:, None] + np.arange(width)
+        inside = (starts >= 0) & (starts < len(least)) & (starts <= (at - first)[:, None])
+        inside[inside] = least[starts[inside]] == np.broadcast_to(found[at][:, None], starts.shape)[inside]
         starts = np.unique(starts[inside])
         return starts, least[starts], self.hashes.of(sums, starts, starts + self.match)
 
@@ -90,6 +125,10 @@ def texts_of(df: DataFrame, doc: str, text: str, *more: Column) -> DataFrame:
                      quoted(text).cast("string").alias("text"), *more)
 
 
+def _place(at: np.ndarray, number: np.ndarray | int, low: int) -> np.ndarray:
+    return (at.astype(np.int64) << (ROW_BITS + PART_BITS)) | (np.asarray(number, np.int64) << ROW_BITS) | low
+
+
 def parse(texts: DataFrame, match: int, gram: int) -> DataFrame:
     """A row for each phrase of each text."""
 
@@ -102,80 +141,139 @@ def parse(texts: DataFrame, match: int, gram: int) -> DataFrame:
                 data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
                 if len(data) >= match:
                     at, trigger, phrase = parser.phrases(data)
-                    parts.append((trigger.view(np.int64), phrase.view(np.int64), np.full(len(at), doc, np.int64), (at << ROW_BITS) | low))
+                    parts.append((trigger.view(np.int64), phrase.view(np.int64), np.full(len(at), doc, np.int64), _place(at, 0, low)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], PHRASES.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], PLACES.names)
         return work
 
-    return expand_texts(texts, "text", ["doc", "low"], PHRASES, make)
-
+    return expand_texts(texts, "text", ["doc", "low"], PLACES, make)
 
-def _repeated(batches):
-    """Rows of a partition sorted by trigger whose trigger occurs again, or might beyond its ends."""
-    before, waiting = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        trigger = batch.column(0).to_numpy()
-        same = trigger[1:] == trigger[:-1]
-        again = np.r_[False, same] | np.r_[same, False]
-        if before is None or trigger[0] == before:
-            again[0] = True
-            if waiting is not None:
-                yield waiting
-        waiting = None if again[-1] else batch.slice(batch.num_rows - 1)
-        before = trigger[-1]
-        yield batch.take(pa.array(np.flatnonzero(again)))
-    if waiting is not None:
-        yield waiting
 
+def _sorted_pass(batches):
+    """``FOUND`` rows of a partition of places in order; see the kinds."""
+    before, first_key, head_key, head, waiting = None, None, None, None, None
 
-def not_first(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The (written) rows that have an earlier one, by (``doc``, ``place``), with equal ``by``.
+    def made(kind: int, rows: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, kind, np.int32)), *rows.columns], FOUND.names)
 
-    The first rows are reduced in each task before the shuffle and written, so that adaptive
-    execution can split the join where very many rows share their values.
-    """
-    first = store(rows.groupBy(*by).agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select(*by, "first"), "repeat-first")
-    return rows.join(first, by).where(F.struct("doc", "place") > F.col("first")).select("doc", "place")
+    def taken(batch: pa.RecordBatch, chosen: np.ndarray) -> pa.RecordBatch:
+        return batch.take(pa.array(np.flatnonzero(chosen)))
 
-
-def windows_at(texts: DataFrame, places: DataFrame, match: int, gram: int) -> DataFrame:
-    """Windows, with their contents, whose trigger is one of ``places`` (doc, low, array of offsets)."""
+    for batch in batches:
+        # a place that is there twice (a repeated row of the input) is there once
+        columns = [c.to_numpy() for c in batch.columns]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        if batch.num_rows and before is not None:
+            new[0] = any(c[0] != x for c, x in zip(columns, before, strict=True))
+        if not new.any():
+            continue
+        batch = taken(batch, new)
+        key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        same_key = np.r_[before is not None and key[0] == before[0], key[1:] == key[:-1]]
+        same = same_key & np.r_[before is not None and part[0] == before[1], part[1:] == part[:-1]]
+        if before is None:
+            first_key = key[0]
+            yield made(EDGE, batch.slice(0, 1))
+        if same.any():
+            yield made(REPEAT, taken(batch, same))
+        heads = np.flatnonzero(~same)
+        if len(heads):
+            of = key[heads]
+            again = of[1:] == of[:-1]
+            # several parts of a key, or maybe another one in the partition before
+            several = np.r_[of[0] == head_key if head_key is not None else False, again] | np.r_[again, False] | (of == first_key)
+            if waiting is not None and of[0] == head_key:
+                yield made(HEAD, waiting)
+            chosen = several.copy()
+            chosen[0] &= before is not None  # the edge is no head yet
+            if chosen.any():
+                yield made(HEAD, batch.take(pa.array(heads[chosen])))
+            head_key, head = of[-1], batch.slice(int(heads[-1]), 1)
+            waiting = None if several[-1] else head
+        before = [c.to_numpy()[-1] for c in batch.columns]
+    if waiting is not None:
+        yield made(HEAD, waiting)  # another part may follow in the next partition
+    if head is not None:
+        yield made(MARK, head)
+
+
+def sorted_pass(places: DataFrame, name: str) -> tuple[DataFrame, DataFrame, str]:
+    """The repeats, and the heads of keys with several parts (or that might have several), as rows of
+    ``PLACES``, and the path of the table they are read from."""
+    order = ["key", "part", "doc", "place"]
+    ordered = places.repartitionByRange(*order).sortWithinPartitions(*order)
+    found, path = table(places.sparkSession, ordered.mapInArrow(_sorted_pass, FOUND), name)
+    release(places.sparkSession)
+    # at most two rows a partition
+    edges = found.where(F.col("kind").isin(EDGE, MARK))
+    first = edges.groupBy("key", "part").agg(F.min(F.struct("doc", "place")).alias("first"))
+    edges = edges.where(F.col("kind") == EDGE).join(F.broadcast(first), ["key", "part"])
+    is_first = F.struct("doc", "place") == F.col("first")
+    repeats = found.where(F.col("kind") == REPEAT).select(*order).unionByName(edges.where(~is_first).select(*order))
+    heads = found.where(F.col("kind") == HEAD).select(*order).unionByName(edges.where(is_first).select(*order))
+    return repeats, heads, path
+
+
+def compared(texts: DataFrame, heads: DataFrame, match: int, gram: int, windows: bool) -> DataFrame:
+    """Places of the groups of windows, or of single windows, at the places of ``heads``."""
+    low, number, at = _fields()
+    wanted = heads.select("doc", low, F.struct(at.cast("int").alias("at"), number.cast("int").alias("number")).alias("p")).groupBy("doc", "low").agg(F.collect_list("p").alias("wanted"))
 
     def make():
         parser = Parser(match, gram)
 
         def work(docs, lows, wanted, texts):
             parts = []
-            for doc, low, at, text in zip(docs.to_pylist(), lows.to_pylist(), wanted.to_pylist(), texts, strict=True):
+            lists = wanted.to_pylist()
+            for doc, low, places, text in zip(docs.to_pylist(), lows.to_pylist(), lists, texts, strict=True):
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                starts, trigger, content = parser.windows(data, np.unique(np.array(at, np.int64)))
-                parts.append((trigger.view(np.int64), content.view(np.int64), np.full(len(starts), doc, np.int64), (starts << ROW_BITS) | low))
+                at, number = np.unique(np.array([(p["at"], p["number"]) for p in places], np.int64), axis=0).T
+                if windows:
+                    begins, key, part = parser.windows(data, at, number)
+                    places = _place(begins, 0, low)
+                else:
+                    begins, numbers, key, part = parser.groups(data, at)
+                    places = _place(begins, numbers, low)
+                parts.append((key.view(np.int64), part.view(np.int64), np.full(len(begins), doc, np.int64), places))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], CONTENTS.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], PLACES.names)
         return work
 
-    return expand_texts(texts.join(places, ["doc", "low"]), "text", ["doc", "low", "at"], CONTENTS, make)
+    return expand_texts(texts.join(wanted, ["doc", "low"]), "text", ["doc", "low", "wanted"], PLACES, make)
+
+
+def _fields() -> tuple[Column, Column, Column]:
+    """Row bits, part and offset of a place."""
+    bits = F.col("place").bitwiseAND((1 << ROW_BITS) - 1)
+    return bits.alias("low"), F.shiftright("place", ROW_BITS).bitwiseAND((1 << PART_BITS) - 1).alias("number"), F.shiftright("place", ROW_BITS + PART_BITS)
 
 
 def repeated_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", match: int = MATCH, gram: int = GRAM) -> DataFrame:
     """``doc``, ``low`` and an array ``spans`` of (begin, end) bytes that stand in repeated windows; spans
     may overlap, and reach over a text's ends. A row for each text that has any. Writes to the shared folder."""
-    texts = texts_of(df, doc, text)
-    low, at = F.col("place").bitwiseAND((1 << ROW_BITS) - 1).alias("low"), F.shiftright("place", ROW_BITS)
-    span = lambda before, after: F.struct((at - before).cast("int").alias("begin"), (at + after).cast("int").alias("end")).alias("span")
-
-    ordered = parse(texts, match, gram).repartitionByRange("trigger", "doc", "place").sortWithinPartitions("trigger", "doc", "place")
-    phrases = store(ordered.mapInArrow(_repeated, PHRASES), "repeat-phrases")
-    later = not_first(phrases, ["trigger", "phrase"]).select("doc", low, span(match - gram, match))
-
-    dictionary = store(phrases.groupBy("trigger", "phrase").agg(F.min(F.struct("doc", "place")).alias("first")).select("trigger", "first.doc", "first.place"), "repeat-dictionary")
-    several = store(dictionary.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger"), "repeat-borders")
-    borders = dictionary.join(several, "trigger").select("doc", low, at.cast("int").alias("at")).groupBy("doc", "low").agg(F.collect_list("at").alias("at"))
-    windows = store(windows_at(texts, borders, match, gram), "repeat-windows")
-    edges = not_first(windows, ["trigger", "content"]).select("doc", low, span(0, match))
-    return later.unionByName(edges).groupBy("doc", "low").agg(F.collect_list("span").alias("spans"))
+    spark, texts, (low, number, at) = df.sparkSession, texts_of(df, doc, text), _fields()
+
+    def spans(rows: DataFrame, begin: Column, end: Column) -> DataFrame:
+        return rows.select("doc", low, F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end")).alias("span"))
+
+    repeats, heads, _ = sorted_pass(parse(texts, match, gram), "repeat-phrases")
+    whole = spans(repeats, at - (match - gram), at + match)
+
+    groups, path = table(spark, compared(texts, heads, match, gram, windows=False), "repeat-groups")
+    release(spark)
+    repeats, heads, _ = sorted_pass(groups, "repeat-parts")
+    discard(spark, path)
+    bounds = Parser(match, gram).parts()
+    bound = lambda i: F.element_at(F.array(*[F.lit(b[i]) for b in bounds]), (number + 1).cast("int"))
+    partly = spans(repeats, at - bound(1), at - bound(0) + match)
+
+    windows, path = table(spark, compared(texts, heads, match, gram, windows=True), "repeat-windows")
+    release(spark)
+    repeats, _, _ = sorted_pass(windows, "repeat-contents")
+    discard(spark, path)
+    single = spans(repeats, at, at + match)
+    return whole.unionByName(partly).unionByName(single).groupBy("doc", "low").agg(F.collect_list("span").alias("spans"))
 
 
 def united(spans: list[dict], n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from souklens.llm.common import exists, expand_texts, fresh, quoted, store
+from souklens.llm.common import expand_texts, fresh, quoted, store
+from souklens.session import exists
 
 
 @dataclass(frozen=True)

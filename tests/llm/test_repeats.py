@@ -51,6 +51,18 @@ def test_equals_brute_force(spark):
     assert result(repeats.remove_repeats(df, keep=["doc_id"])) == brute(rows)
 
 
+def test_runs_over_many_partitions(spark):
+    rows = corpus(4, 20) + [(5000 + i, "the same passage of words that stands in all of these " * 3 + str(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert result(repeats.remove_repeats(df, keep=["doc_id"])) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_other_lengths(spark):
     rows = corpus(9, 25)
     df = spark.createDataFrame(rows, "doc_id long, text string")
