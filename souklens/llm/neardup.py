@@ -34,8 +34,9 @@ THRESHOLD = 0.8
 TREES = 10
 LONGEST = 8
 RECALL = 0.999
-#: A node of up to so many texts is one unit; larger ones are cut into blocks of about half as many.
-UNIT = 128
+#: A node of up to so many texts and bytes is one unit; larger ones are cut into blocks of about half as much.
+UNIT = 512
+UNIT_BYTES = 32 << 20
 
 #: Separators become blanks; letters (lower case by then), digits and all bytes from 128 stay.
 WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -75,7 +76,9 @@ class Shingles:
         return np.array([(mixed(shingles * a + b) >> np.uint64(32)).min() for a, b in zip(self.odd, self.shift, strict=True)], "<u4")
 
 
-MARKS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("row", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("signature", T.BinaryType())])
+MARKS = T.StructType([
+    T.StructField("doc", T.LongType()), T.StructField("row", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("signature", T.BinaryType()),
+    T.StructField("bytes", T.LongType())])
 
 
 def marks(df: DataFrame, doc: str, text: str, words: int, values: int) -> DataFrame:
@@ -86,37 +89,37 @@ def marks(df: DataFrame, doc: str, text: str, words: int, values: int) -> DataFr
         shingles = Shingles(words, values)
 
         def work(docs, rows, texts):
-            classes, signatures = [], []
+            classes, signatures, sizes = [], [], []
             for text in texts:
                 line = shingles.words_of(text or "")
+                sizes.append(len(line))
                 classes.append(hashlib.blake2b(line or (text or "").encode("utf-8", "surrogatepass"), digest_size=16, person=b"words" if line else b"raw").digest() if text else None)
                 signatures.append(shingles.signature(shingles.of(line)).tobytes() if line else None)
-            yield pa.RecordBatch.from_arrays([docs, rows, pa.array(classes, pa.binary()), pa.array(signatures, pa.binary())], MARKS.names)
+            yield pa.RecordBatch.from_arrays([docs, rows, pa.array(classes, pa.binary()), pa.array(signatures, pa.binary()), pa.array(sizes, pa.int64())], MARKS.names)
         return work
 
     return expand_texts(rows, "text", ["doc", "row"], MARKS, make)
 
 
-NODES = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("prefix", T.BinaryType()), T.StructField("doc", T.LongType()), T.StructField("row", T.LongType())])
-
-
 def nodes(classes: DataFrame, trees: int, deep: int) -> DataFrame:
     """A row for each representative and trie, with the prefix of its label."""
     at = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("signature", t * (4 * deep) + 1, F.lit(4 * deep)))).alias("tree", "prefix")
-    return classes.where(F.col("signature").isNotNull()).select(at, "doc", "row")
+    return classes.where(F.col("signature").isNotNull()).select(at, "doc", "row", "bytes")
 
 
-def units(found: DataFrame, size: int) -> DataFrame:
+def units(found: DataFrame, size: int, size_bytes: int) -> DataFrame:
     """Members of all units of work: ``unit``, ``tree``, ``doc``, ``row``, ``side`` (0: of the first block,
     1: of the second; -1: the unit is one block or a whole node). ``found`` are written nodes."""
-    counts = store(found.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1"), "near-nodes")
-    member = found.join(counts, ["tree", "prefix"])
-    small = member.where(F.col("n") <= size).groupBy("tree", "prefix").agg(F.sort_array(F.collect_list(F.struct("doc", "row"))).alias("members"))
+    half = F.greatest(F.ceil(F.col("n") / (size // 2)), F.ceil(F.col("bytes") / (size_bytes // 2)))
+    whole = (F.col("n") <= size) & (F.col("bytes") <= size_bytes)
+    counts = store(found.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("n > 1").select(
+        "tree", "prefix", F.when(~whole, half).cast("int").alias("blocks")), "near-nodes")
+    member = found.drop("bytes").join(counts, ["tree", "prefix"])
+    small = member.where("blocks IS NULL").groupBy("tree", "prefix").agg(F.sort_array(F.collect_list(F.struct("doc", "row"))).alias("members"))
     # copies of a group meet in most tries: one unit, of the first of them
     small = small.groupBy("members").agg(F.min("tree").alias("tree"))
     small = small.select(F.sha2(F.to_json("members"), 256).alias("unit"), "tree", F.explode("members").alias("m")).select("unit", "tree", "m.doc", "m.row", F.lit(-1).alias("side"))
-    blocks = F.ceil(F.col("n") / (size // 2)).cast("int")
-    large = (member.where(F.col("n") > size).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc", "row"), F.col("blocks")).cast("int"))
+    large = (member.where("blocks IS NOT NULL").withColumn("mine", F.pmod(F.xxhash64("doc", "row"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     first, second = F.least("mine", "other"), F.greatest("mine", "other")
     large = large.select(F.concat_ws(":", "tree", F.hex("prefix"), first, second).alias("unit"), "tree", "doc", "row",
@@ -172,7 +175,7 @@ def verified(members: DataFrame, trees: int, deep: int, words: int, threshold: f
 
 
 def near_duplicates(
-    df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, recall: float = RECALL, unit: int = UNIT,
+    df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, recall: float = RECALL, unit: int = UNIT, unit_bytes: int = UNIT_BYTES,
 ) -> DataFrame:
     """For each row ``doc`` (its id), ``row`` (see ``row_id``), ``copy_of`` (least id with the same words),
     ``class`` (least id of all that links lead to) and ``n_links`` (other texts at the threshold or above).
@@ -180,8 +183,9 @@ def near_duplicates(
     deep = depth(threshold, recall, trees)
     marked = store(marks(df, doc, text, words, trees * deep), "near-marks")
     classes = store(marked.where(F.col("doc").isNotNull() & F.col("class").isNotNull()).groupBy("class").agg(
-        F.min(F.struct("doc", "row")).alias("first"), F.any_value("signature").alias("signature")).select("class", "first.doc", "first.row", "signature"), "near-classes")
-    members = store(units(store(nodes(classes, trees, deep), "near-tries"), unit), "near-units")
+        F.min(F.struct("doc", "row")).alias("first"), F.any_value("signature").alias("signature"), F.any_value("bytes").alias("bytes")).select(
+            "class", "first.doc", "first.row", "signature", "bytes"), "near-classes")
+    members = store(units(store(nodes(classes, trees, deep), "near-tries"), unit, unit_bytes), "near-units")
     # texts and signatures of all that have a partner, each once; then to their units
     needed = members.select("doc", "row").distinct().join(classes.select("doc", "row", "signature"), ["doc", "row"])
     texts = df.select(quoted(doc).cast("long").alias("doc"), row_id(text).alias("row"), quoted(text).cast("string").alias("text")).where("doc IS NOT NULL")

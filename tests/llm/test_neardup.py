@@ -74,6 +74,7 @@ def test_all_links_of_a_corpus(spark):
     assert sum(n for *_, n in want.values()) > 500
     assert result(neardup.near_duplicates(df, recall=0.9999, trees=24)) == want
     assert result(neardup.near_duplicates(df, recall=0.9999, trees=24, unit=16)) == want  # nodes cut into blocks
+    assert result(neardup.near_duplicates(df, recall=0.9999, trees=24, unit_bytes=20_000)) == want
 
 
 def test_query_finds_the_links(spark, con):
