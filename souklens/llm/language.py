@@ -198,11 +198,18 @@ def pooled(network: Network, texts: list[str | None], at_once: int = 2048) -> np
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", pick: Column | None = None, sample: Sample = Sample()) -> Network | None:
     """A network for the labelled rows of ``df``; None if there are none. The sample are the rows with the
-    least ``pick`` (a hash of the text by default), at most ``sample.documents`` of them."""
-    rows = (df.where(quoted(lang).isNotNull() & (F.length(quoted(text)) > 0))
-            .select(quoted(lang).cast("string").alias("lang"), F.substring(quoted(text), 1, sample.chars).alias("text"),
-                    (F.xxhash64(quoted(text)) if pick is None else pick).alias("pick"))
-            .orderBy("pick", "lang", "text").limit(sample.documents).collect())
+    least ``pick`` (a 64-bit hash, of the text by default), at most ``sample.documents`` of them.
+
+    A bound on the hash, from the number of labelled rows, lets about twice as many rows through, so that
+    tasks do not each send as many to the driver.
+    """
+    labelled = df.where(quoted(lang).isNotNull())
+    share = 2 * sample.documents / max(1, labelled.count())
+    rows = labelled.where(F.length(quoted(text)) > 0).select(
+        quoted(lang).cast("string").alias("lang"), F.substring(quoted(text), 1, sample.chars).alias("text"), (F.xxhash64(quoted(text)) if pick is None else pick).alias("pick"))
+    if share < 1:
+        rows = rows.where(F.col("pick") < F.lit(int(share * 2**64) - 2**63))
+    rows = rows.orderBy("pick", "lang", "text").limit(sample.documents).collect()
     rows = [r for r in rows if has_letter(r["text"])]
     if not rows:
         return None
