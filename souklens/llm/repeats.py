@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -224,11 +225,10 @@ def compared(texts: DataFrame, heads: DataFrame, match: int, gram: int, windows:
         parser = Parser(match, gram)
 
         def work(docs, lows, wanted, texts):
-            parts = []
-            lists = wanted.to_pylist()
-            for doc, low, places, text in zip(docs.to_pylist(), lows.to_pylist(), lists, texts, strict=True):
+            parts, lists = [], numbers_of(wanted)
+            for doc, low, (at, number), text in zip(docs.to_pylist(), lows.to_pylist(), lists, texts, strict=True):
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                at, number = np.unique(np.array([(p["at"], p["number"]) for p in places], np.int64), axis=0).T
+                at, number = np.divmod(np.unique(at << PART_BITS | number), 1 << PART_BITS)
                 if windows:
                     begins, key, part = parser.windows(data, at, number)
                     places = _place(begins, 0, low)
@@ -243,6 +243,15 @@ def compared(texts: DataFrame, heads: DataFrame, match: int, gram: int, windows:
     return expand_texts(texts.join(wanted, ["doc", "low"]), "text", ["doc", "low", "wanted"], PLACES, make)
 
 
+def numbers_of(lists: pa.ListArray) -> list[tuple[np.ndarray, ...]]:
+    """The fields of the structs in each list as arrays; empty ones for NULL."""
+    flat = lists.flatten()
+    fields = [flat.field(i).to_numpy().astype(np.int64) for i in range(flat.type.num_fields)]
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+    ends = np.cumsum(sizes)
+    return [tuple(f[a:b] for f in fields) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
 def _fields() -> tuple[Column, Column, Column]:
     """Row bits, part and offset of a place."""
     bits = F.col("place").bitwiseAND((1 << ROW_BITS) - 1)
@@ -276,14 +285,14 @@ def repeated_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", match
     return whole.unionByName(partly).unionByName(single).groupBy("doc", "low").agg(F.collect_list("span").alias("spans"))
 
 
-def united(spans: list[dict], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and ends of maximal runs of bytes covered by ``spans`` in a text of ``n`` bytes."""
-    edges = np.zeros(n + 1, np.int64)
-    if spans:
-        np.add.at(edges, np.maximum([s["begin"] for s in spans], 0), 1)
-        np.add.at(edges, np.minimum([s["end"] for s in spans], n), -1)
-    covered = np.r_[False, np.cumsum(edges)[:n] > 0, False]
-    return np.flatnonzero(covered[1:] & ~covered[:-1]), np.flatnonzero(covered[:-1] & ~covered[1:])
+def united(begins: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of maximal runs of bytes covered by spans in a text of ``n`` bytes."""
+    if not len(begins):
+        return begins, ends
+    order = np.argsort(begins, kind="stable")
+    begins, reached = np.maximum(begins[order], 0), np.maximum.accumulate(np.minimum(ends[order], n))
+    new = np.r_[True, begins[1:] > reached[:-1]]
+    return begins[new], reached[np.r_[new[1:], True]]
 
 
 def remove_repeats(df: DataFrame, keep: list[str] | None = None, doc: str = "doc_id", text: str = "text", match: int = MATCH, gram: int = GRAM) -> DataFrame:
@@ -292,20 +301,23 @@ def remove_repeats(df: DataFrame, keep: list[str] | None = None, doc: str = "doc
     keep = df.columns if keep is None else keep
     passed = [quoted(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     joined = texts_of(df, doc, text, *passed).join(repeated_spans(df, doc, text, match, gram), ["doc", "low"], "left")
-    run = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("n_bytes", T.LongType()), T.StructField("runs", T.ArrayType(T.StructType([
         T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
 
     def make():
         def work(*columns):
-            sizes, runs, kept = [], [], []
-            for spans, text in zip(columns[-2].to_pylist(), columns[-1], strict=True):
+            sizes, firsts, lasts, kept = [], [], [], []
+            for (begins, ends), text in zip(numbers_of(columns[-2]), columns[-1], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                begins, ends = (a.tolist() for a in united(spans or [], len(data)))
+                begins, ends = united(begins, ends, len(data))
                 sizes.append(len(data))
-                runs.append([{"begin": a, "end": b} for a, b in zip(begins, ends, strict=True)])
-                kept.append(b"".join([data[a:b] for a, b in zip([0, *ends], [*begins, len(data)], strict=True)]))
-            yield pa.RecordBatch.from_arrays([*columns[:-2], pa.array(sizes, pa.int64()), pa.array(runs, run), pa.array(kept, pa.binary())], schema.names)
+                firsts.append(begins)
+                lasts.append(ends)
+                kept.append(b"".join([data[a:b] for a, b in zip([0, *ends.tolist()], [*begins.tolist(), len(data)], strict=True)]))
+            offsets = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+            structs = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (firsts, lasts)], ["begin", "end"])
+            runs = pa.ListArray.from_arrays(pa.array(offsets), structs)
+            yield pa.RecordBatch.from_arrays([*columns[:-2], pa.array(sizes, pa.int64()), runs, pa.array(kept, pa.binary())], schema.names)
         return work
 
     return expand_texts(joined, "text", [*[f"keep_{i}" for i in range(len(keep))], "spans"], schema, make)
