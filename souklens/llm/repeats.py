@@ -20,7 +20,7 @@ grows with the bytes, and with borders in steps 2 and 3. Each step is written to
 deleted when the next one has read it.
 
 NULL is an empty text. A row without id comes after all others. Rows that share an id are ordered place
-by place; rows that also share their text are one document and cut alike. Texts below ``MATCH`` bytes stay.
+by place and told apart by the 64-bit hash of their text; rows that also share it are cut alike. Texts below ``MATCH`` bytes stay.
 """
 
 from __future__ import annotations
@@ -36,11 +36,11 @@ from souklens.llm.common import Substrings, discard, expand_texts, mixed, quoted
 MATCH = 100
 GRAM = 32
 PARTS = 4
-#: ``place`` is a byte offset, then the number of the part, then bits that tell rows with the same id apart.
-ROW_BITS, PART_BITS = 20, 3
+#: ``place`` is a byte offset, then the number of the part; ``row`` tells rows with the same id apart.
+PART_BITS = 3
 
 #: Places of one content: ``key`` and ``part`` are hashes, and rows with an equal ``part`` of a key are equal.
-PLACES = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "part", "doc", "place")])
+PLACES = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "part", "doc", "place", "row")])
 #: What a sorted pass says of a place: it is a repeat, the first of its part in a key of several parts, or it
 #: stands at the edge of a partition; a mark is a copy of the head of a partition's last run.
 REPEAT, HEAD, EDGE, MARK = 0, 1, 2, 3
@@ -121,13 +121,14 @@ class Parser:
 
 
 def texts_of(df: DataFrame, doc: str, text: str, *more: Column) -> DataFrame:
-    """Rows with ``doc`` (never NULL), ``low`` (the row bits of a place) and ``text``."""
-    return df.select(F.coalesce(quoted(doc).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), row_id(text).bitwiseAND((1 << ROW_BITS) - 1).alias("low"),
+    """Rows with ``doc`` (never NULL), ``row`` (the hash of the text) and ``text``."""
+    return df.select(F.coalesce(quoted(doc).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), row_id(text).alias("row"),
                      quoted(text).cast("string").alias("text"), *more)
 
 
-def _place(at: np.ndarray, number: np.ndarray | int, low: int) -> np.ndarray:
-    return (at.astype(np.int64) << (ROW_BITS + PART_BITS)) | (np.asarray(number, np.int64) << ROW_BITS) | low
+def _places(doc: int, row: int, at: np.ndarray, number: np.ndarray | int = 0) -> tuple[np.ndarray, ...]:
+    """``doc``, ``place`` and ``row`` of places in one text."""
+    return np.full(len(at), doc, np.int64), at.astype(np.int64) << PART_BITS | np.asarray(number, np.int64), np.full(len(at), row, np.int64)
 
 
 def parse(texts: DataFrame, match: int, gram: int) -> DataFrame:
@@ -136,18 +137,18 @@ def parse(texts: DataFrame, match: int, gram: int) -> DataFrame:
     def make():
         parser = Parser(match, gram)
 
-        def work(docs, lows, texts):
+        def work(docs, rows, texts):
             parts = []
-            for doc, low, text in zip(docs.to_pylist(), lows.to_pylist(), texts, strict=True):
+            for doc, row, text in zip(docs.to_pylist(), rows.to_pylist(), texts, strict=True):
                 data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
                 if len(data) >= match:
                     at, trigger, phrase = parser.phrases(data)
-                    parts.append((trigger.view(np.int64), phrase.view(np.int64), np.full(len(at), doc, np.int64), _place(at, 0, low)))
+                    parts.append((trigger.view(np.int64), phrase.view(np.int64), *_places(doc, row, at)))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], PLACES.names)
         return work
 
-    return expand_texts(texts, "text", ["doc", "low"], PLACES, make)
+    return expand_texts(texts, "text", ["doc", "row"], PLACES, make)
 
 
 def _sorted_pass(batches):
@@ -202,15 +203,15 @@ def _sorted_pass(batches):
 def sorted_pass(places: DataFrame, name: str) -> tuple[DataFrame, DataFrame, str]:
     """The repeats, and the heads of keys with several parts (or that might have several), as rows of
     ``PLACES``, and the path of the table they are read from."""
-    order = ["key", "part", "doc", "place"]
+    order = PLACES.names
     ordered = places.repartitionByRange(*order).sortWithinPartitions(*order)
     found, path = table(places.sparkSession, ordered.mapInArrow(_sorted_pass, FOUND), name)
     release(places.sparkSession)
     # at most two rows a partition
     edges = found.where(F.col("kind").isin(EDGE, MARK))
-    first = edges.groupBy("key", "part").agg(F.min(F.struct("doc", "place")).alias("first"))
+    first = edges.groupBy("key", "part").agg(F.min(F.struct("doc", "place", "row")).alias("first"))
     edges = edges.where(F.col("kind") == EDGE).join(F.broadcast(first), ["key", "part"])
-    is_first = F.struct("doc", "place") == F.col("first")
+    is_first = F.struct("doc", "place", "row") == F.col("first")
     repeats = found.where(F.col("kind") == REPEAT).select(*order).unionByName(edges.where(~is_first).select(*order))
     heads = found.where(F.col("kind") == HEAD).select(*order).unionByName(edges.where(is_first).select(*order))
     return repeats, heads, path
@@ -218,29 +219,29 @@ def sorted_pass(places: DataFrame, name: str) -> tuple[DataFrame, DataFrame, str
 
 def compared(texts: DataFrame, heads: DataFrame, match: int, gram: int, windows: bool) -> DataFrame:
     """Places of the groups of windows, or of single windows, at the places of ``heads``."""
-    low, number, at = _fields()
-    wanted = heads.select("doc", low, F.struct(at.cast("int").alias("at"), number.cast("int").alias("number")).alias("p")).groupBy("doc", "low").agg(F.collect_list("p").alias("wanted"))
+    number, at = _fields()
+    wanted = heads.select("doc", "row", F.struct(at.cast("int").alias("at"), number.cast("int").alias("number")).alias("p")).groupBy("doc", "row").agg(F.collect_list("p").alias("wanted"))
 
     def make():
         parser = Parser(match, gram)
 
-        def work(docs, lows, wanted, texts):
+        def work(docs, rows, wanted, texts):
             parts, lists = [], numbers_of(wanted)
-            for doc, low, (at, number), text in zip(docs.to_pylist(), lows.to_pylist(), lists, texts, strict=True):
+            for doc, row, (at, number), text in zip(docs.to_pylist(), rows.to_pylist(), lists, texts, strict=True):
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 at, number = np.divmod(np.unique(at << PART_BITS | number), 1 << PART_BITS)
                 if windows:
                     begins, key, part = parser.windows(data, at, number)
-                    places = _place(begins, 0, low)
+                    places = _places(doc, row, begins)
                 else:
                     begins, numbers, key, part = parser.groups(data, at)
-                    places = _place(begins, numbers, low)
-                parts.append((key.view(np.int64), part.view(np.int64), np.full(len(begins), doc, np.int64), places))
+                    places = _places(doc, row, begins, numbers)
+                parts.append((key.view(np.int64), part.view(np.int64), *places))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], PLACES.names)
         return work
 
-    return expand_texts(texts.join(wanted, ["doc", "low"]), "text", ["doc", "low", "wanted"], PLACES, make)
+    return expand_texts(texts.join(wanted, ["doc", "row"]), "text", ["doc", "row", "wanted"], PLACES, make)
 
 
 def numbers_of(lists: pa.ListArray) -> list[tuple[np.ndarray, ...]]:
@@ -252,19 +253,18 @@ def numbers_of(lists: pa.ListArray) -> list[tuple[np.ndarray, ...]]:
     return [tuple(f[a:b] for f in fields) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
-def _fields() -> tuple[Column, Column, Column]:
-    """Row bits, part and offset of a place."""
-    bits = F.col("place").bitwiseAND((1 << ROW_BITS) - 1)
-    return bits.alias("low"), F.shiftright("place", ROW_BITS).bitwiseAND((1 << PART_BITS) - 1).alias("number"), F.shiftright("place", ROW_BITS + PART_BITS)
+def _fields() -> tuple[Column, Column]:
+    """Part and offset of a place."""
+    return F.col("place").bitwiseAND((1 << PART_BITS) - 1).alias("number"), F.shiftright("place", PART_BITS)
 
 
 def repeated_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", match: int = MATCH, gram: int = GRAM) -> DataFrame:
-    """``doc``, ``low`` and an array ``spans`` of (begin, end) bytes that stand in repeated windows; spans
+    """``doc``, ``row`` and an array ``spans`` of (begin, end) bytes that stand in repeated windows; spans
     may overlap, and reach over a text's ends. A row for each text that has any. Writes to the shared folder."""
-    spark, texts, (low, number, at) = df.sparkSession, texts_of(df, doc, text), _fields()
+    spark, texts, (number, at) = df.sparkSession, texts_of(df, doc, text), _fields()
 
     def spans(rows: DataFrame, begin: Column, end: Column) -> DataFrame:
-        return rows.select("doc", low, F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end")).alias("span"))
+        return rows.select("doc", "row", F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end")).alias("span"))
 
     repeats, heads, _ = sorted_pass(parse(texts, match, gram), "repeat-phrases")
     whole = spans(repeats, at - (match - gram), at + match)
@@ -282,7 +282,7 @@ def repeated_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", match
     repeats, _, _ = sorted_pass(windows, "repeat-contents")
     discard(spark, path)
     single = spans(repeats, at, at + match)
-    return whole.unionByName(partly).unionByName(single).groupBy("doc", "low").agg(F.collect_list("span").alias("spans"))
+    return whole.unionByName(partly).unionByName(single).groupBy("doc", "row").agg(F.collect_list("span").alias("spans"))
 
 
 def united(begins: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +300,7 @@ def remove_repeats(df: DataFrame, keep: list[str] | None = None, doc: str = "doc
     remaining bytes (a run may cut through a letter, so these need not be UTF-8)."""
     keep = df.columns if keep is None else keep
     passed = [quoted(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
-    joined = texts_of(df, doc, text, *passed).join(repeated_spans(df, doc, text, match, gram), ["doc", "low"], "left")
+    joined = texts_of(df, doc, text, *passed).join(repeated_spans(df, doc, text, match, gram), ["doc", "row"], "left")
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("n_bytes", T.LongType()), T.StructField("runs", T.ArrayType(T.StructType([
         T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
 

@@ -77,6 +77,26 @@ def test_nulls_repeated_rows_and_names(spark):
     assert found == [(0, 5, n, 0), (1, 1, n, n), (1, 3, n, n), (7, 7, 0, 0)]
 
 
+def test_many_texts_under_one_id(spark):
+    """Among 4,000 texts, 20 bits of a hash would collide some eight times."""
+    draw = random.Random(6)
+    prose = lambda k: " ".join(draw.choice(WORDS) for _ in range(k))
+    shared = prose(30)
+    texts = [f"{i:04} {shared if i % 2 else ''}" if i % 8 < 4 else f"{prose(draw.randint(1, 25))} {shared if i % 2 else ''} {prose(4)}" for i in range(4000)]
+    for doc in (None, 5):
+        df = spark.createDataFrame([(doc, i, t) for i, t in enumerate(texts)], "doc_id long, n int, text string")
+        got, whole = result(repeats.remove_repeats(df, keep=["n"])), 0
+        for i, text in enumerate(texts):
+            size, gone, runs, kept = got[i]
+            assert size == len(text.encode()) == gone + len(kept)
+            whole += shared in text and not runs
+            if shared not in text:
+                assert not runs and kept == text.encode()
+            elif runs:  # some bytes around the passage are often shared too
+                assert runs == 1 and len(shared.encode()) <= gone < len(shared.encode()) + 60
+        assert whole == 1
+
+
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
