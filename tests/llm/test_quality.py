@@ -1,6 +1,7 @@
 """Quality measures against plain counts, and what the bands reject."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -65,6 +66,41 @@ def test_verdicts(spark):
     assert quality.verdict("latin", 0, 0.0, 0.0, 0.0) == "no words"
 
 
+CLEAN = [
+    "The committee met on Tuesday to discuss the budget for the coming year, and several members asked why the costs of the new library had risen so quickly.",
+    "Le comité s'est réuni mardi pour discuter du budget de l'année prochaine, et plusieurs membres ont demandé pourquoi les coûts avaient augmenté.",
+    "Ủy ban đã họp vào thứ Ba để thảo luận về ngân sách cho năm tới và một số thành viên hỏi tại sao chi phí của thư viện mới tăng nhanh như vậy.",
+    "Комитет собрался во вторник, чтобы обсудить бюджет на следующий год, и несколько членов спросили, почему расходы на новую библиотеку так быстро выросли.",
+    "Η επιτροπή συνεδρίασε την Τρίτη για να συζητήσει τον προϋπολογισμό του επόμενου έτους και πολλά μέλη ρώτησαν γιατί το κόστος αυξήθηκε.",
+    "委员会 星期二 开会 讨论 明年 的 预算 几位 成员 问 为什么 新 图书馆 的 费用 自 春天 以来 上涨 得 这么 快",
+    "اجتمعت اللجنة يوم الثلاثاء لمناقشة ميزانية العام المقبل وسأل العديد من الأعضاء عن سبب ارتفاع تكاليف المكتبة الجديدة بهذه السرعة",
+    "समिति की बैठक मंगलवार को अगले वर्ष के बजट पर चर्चा करने के लिए हुई और कई सदस्यों ने पूछा कि नए पुस्तकालय की लागत क्यों बढ़ी",
+    "name | price | place\n*** *** ***\nWinter coats | 12 $ | the hall near the river\nSummer hats | 7 $ | the garden & the old mill ## by the lake",
+]
+
+
+def junk():
+    draw = random.Random(1)
+    some = lambda words, n: " ".join(draw.choice(words) for _ in range(n))
+    return [
+        ("symbol runs", "Èleè*** et%%% duèêtionè*** èleêvi$$$ éeuxoi$$$ èou&&& paelle. Enré%%% une&&& tioneau%%% oichen. Oueuxou.$$$ Éan&&&"),
+        ("symbol runs", " ".join(w[:2] + "#$%" + w[2:] for w in CLEAN[0].split())),
+        ("characters per token", " ".join(f"{draw.getrandbits(128):032x}" for _ in range(40))),
+        ("characters per token", CLEAN[3].encode().decode("cp1252", "replace")),
+        ("entropy", " ".join("a" * draw.randint(20, 60) for _ in range(30))),
+        ("entropy", " ".join(some(("buy", "now", "cheap", "pills"), draw.randint(3, 4)) + f" xq{i}" for i in range(3)) + " " + "z" * 3000),
+        ("no letters", " ".join(str(draw.getrandbits(60)) for _ in range(60))),
+        ("no letters", " ".join(draw.choice("😀🎉🔥✨💯") + str(i) for i in range(40))),
+    ]
+
+
+def test_bands_reject_junk_and_keep_prose(spark):
+    texts = [("", t) for t in CLEAN] + junk()
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["rejected_by"], r["kept"]) for r in quality.measure(df, PIECE_BPE, keep=["doc_id"]).collect()}
+    assert [got[i] for i in range(len(texts))] == [(why, not why) for why, _ in texts]
+
+
 def test_query(spark, con):
     got = {r["doc_id"]: r for r in QUERIES["op10_token_fertility"](spark, "/root/testdata/sf0.001").collect()}
     for doc, text in con.execute("SELECT doc_id, text FROM documents").fetchall():
