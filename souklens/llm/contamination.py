@@ -1,11 +1,14 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Benchmark items and documents are compared as lower-case words with single blanks between them, as bytes.
-An item is cut into overlapping segments of ``SEGMENT`` bytes (a shorter item is one segment). A region of
-a document within ``edits`` edits of a segment of m bytes shares at least m + 1 - q(edits + 1) q-grams with
-it, all on diagonals no further than ``edits`` apart. Shared q-grams are counted in diagonal bands twice as
-wide that overlap by half, so each such region lies whole in one band; bands that reach the bound are kept
-and verified by an alignment inside the band. A document with a verified region is contaminated.
+A document is contaminated by an item if it holds, within ``allowed`` edits, any ``SEGMENT`` bytes of it (all of a
+shorter item), wherever they begin, or ``WORDS`` whole words of it in a row. As missing letters are edits, an excerpt
+of ``SEGMENT - allowed(SEGMENT)`` bytes (74) is found at every offset; shorter ones by their words.
+
+A region within e edits of a segment of m bytes shares at least m + 1 - q(e + 1) q-grams with it, all on diagonals
+no further than e apart. Shared q-grams are counted in diagonal bands twice as wide that overlap by half, so each such
+region lies whole in one band; in bands that reach the bound, the segments that hold as many of the q-grams are
+verified by an alignment inside the band, all of them at once. Words in a row are runs of q-grams on one diagonal.
 
 The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text; the index of a block is broadcast.
 Documents are mapped once for each block, without a shuffle; with several blocks the hits are joined.
@@ -29,6 +32,10 @@ Q = 8
 SEGMENT = 80
 #: Edits allowed, as a share of the bytes of a segment.
 EDIT_SHARE = 0.08
+#: Whole words in a row that are contamination by themselves.
+WORDS = 13
+#: Segments that are aligned at once.
+AT_ONCE = 256
 BLOCK_BYTES = 1 << 20
 #: A normalized text is searched in pieces of this many bytes, which overlap by more than a region.
 PIECE = 1 << 16
@@ -55,61 +62,74 @@ def grams(data: bytes) -> np.ndarray:
     return out
 
 
-def segments(item: bytes) -> list[tuple[int, bytes]]:
-    """Begin and bytes of the segments of an item: half overlapping, the last one ends with the item."""
-    if len(item) <= SEGMENT:
-        return [(0, item)] if len(item) >= Q else []
-    begins = [*range(0, len(item) - SEGMENT, SEGMENT // 2), len(item) - SEGMENT]
-    return [(b, item[b:b + SEGMENT]) for b in begins]
-
-
 def allowed(m: int) -> int:
     """Edits allowed in a segment of ``m`` bytes; as many as leave the bound above one q-gram."""
     return max(0, min(int(m * EDIT_SHARE), (m - Q) // Q - 1))
 
 
-def alignment(segment: bytes, region: bytes, most: int) -> int | None:
-    """Least number of edits between ``segment`` and any part of ``region``, if at most ``most``.
+def alignments(segments: np.ndarray, regions: np.ndarray, most: int) -> np.ndarray:
+    """Least number of edits between each segment and any part of its region (rows of bytes); ``most + 1`` if more.
 
-    Cells are kept by diagonal; the region is a band, so its diagonals are all that is computed.
+    Cells are kept by diagonal; a region is a band, so its diagonals are all that is computed.
     """
+    n, m = segments.shape
+    out, rows = np.full(n, most + 1, np.int64), np.arange(n)
+    width = regions.shape[1] - m + 1 + 2 * most  # diagonals -most .. regions - m + most
+    if width <= 0 or not n:
+        return out
+    padded = np.pad(regions, ((0, 0), (most, most)))
+    ramp = np.arange(width, dtype=np.int32)
+    cells = np.tile(np.where(ramp < most, most - ramp, 0).astype(np.int32), (n, 1))  # a part may begin anywhere in the region
+    for i in range(m):
+        step = cells + (padded[rows, i:i + width] != segments[rows, i, None])
+        step[:, :-1] = np.minimum(step[:, :-1], cells[:, 1:] + 1)
+        cells = np.minimum.accumulate(step - ramp, axis=1) + ramp
+        near = cells.min(1) <= most
+        if not near.all():
+            rows, cells = rows[near], cells[near]
+            if not len(rows):
+                return out
+    out[rows] = cells.min(1)
+    return out
+
+
+def alignment(segment: bytes, region: bytes, most: int) -> int | None:
+    """Least number of edits between ``segment`` and any part of ``region``, if at most ``most``."""
     if segment in region:
         return 0
-    m, text = len(segment), np.frombuffer(region, np.uint8)
-    width = len(text) - m + 1 + 2 * most  # diagonals -most .. len(text) - m + most
-    if width <= 0:
-        return None
-    padded = np.concatenate([np.zeros(most, np.uint8), text, np.zeros(most, np.uint8)])
-    ramp = np.arange(width, dtype=np.int32)
-    cells = np.where(ramp < most, most - ramp, 0).astype(np.int32)  # a part may begin anywhere in the region
-    for i, letter in enumerate(segment):
-        step = cells + (padded[i:i + width] != letter)
-        step[:-1] = np.minimum(step[:-1], cells[1:] + 1)
-        cells = np.minimum.accumulate(step - ramp) + ramp
-        if cells.min() > most:
-            return None
-    return int(cells.min())
+    found = int(alignments(np.frombuffer(segment, np.uint8)[None], np.frombuffer(region, np.uint8)[None], most)[0])
+    return found if found <= most else None
+
+
+def whole_words(item: bytes, data: bytes, offset: int, at: int, n: int, first: bool, last: bool) -> int:
+    """Words that stand whole in both texts in ``n`` equal bytes; ``first`` and ``last`` tell whether the edges of ``data`` are those of its text."""
+    begins = (offset == 0 or item[offset - 1] == 32) and (first if at == 0 else data[at - 1] == 32)
+    ends = (offset + n == len(item) or item[offset + n] == 32) and (last if at + n == len(data) else data[at + n] == 32)
+    parts = item[offset:offset + n].split(b" ")
+    return sum(1 for p in parts[not begins:len(parts) - (not ends)] if p)
 
 
 @dataclass
 class Index:
-    """Segments of a block of items and the places of their q-grams, sorted by q-gram."""
+    """A block of items and the places of their q-grams, sorted by q-gram."""
 
     items: np.ndarray
     texts: list[bytes]
     codes: np.ndarray
     begins: np.ndarray
-    segment: np.ndarray
+    owner: np.ndarray
     offset: np.ndarray
     maybe: np.ndarray
-    #: Edits allowed in each segment, and the q-grams that a region must share with it.
+    #: Bytes of each item and of a segment of it, edits allowed in it, and the q-grams that a region must share with it.
+    length: np.ndarray
+    size: np.ndarray
     most: np.ndarray
     least: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[int, bytes]]) -> Index:
-        found = [(item, part) for item, text in items for _, part in segments(text)]
-        codes = [grams(part) for _, part in found]
+        found = [(item, text) for item, text in items if len(text) >= Q]
+        codes = [grams(text) for _, text in found]
         flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         owner = np.repeat(np.arange(len(found)), [len(c) for c in codes]) if codes else np.zeros(0, np.int64)
@@ -118,17 +138,18 @@ class Index:
         bits = max(16, int(max(1, len(distinct))).bit_length() + 4)
         maybe = np.zeros(1 << bits, bool)
         maybe[cls.slot(distinct, bits)] = True
-        sizes = np.array([len(p) for _, p in found], np.int64)
+        lengths = np.array([len(t) for _, t in found], np.int64)
+        sizes = np.minimum(lengths, SEGMENT)
         most = np.array([allowed(m) for m in sizes.tolist()], np.int64)
-        return cls(np.array([i for i, _ in found], np.int64), [p for _, p in found], distinct, np.r_[begins, len(flat)], owner[order], offset[order],
-                   maybe, most, sizes + 1 - Q * (most + 1))
+        return cls(np.array([i for i, _ in found], np.int64), [t for _, t in found], distinct, np.r_[begins, len(flat)], owner[order], offset[order],
+                   maybe, lengths, sizes, most, sizes + 1 - Q * (most + 1))
 
     @staticmethod
     def slot(codes: np.ndarray, bits: int) -> np.ndarray:
         return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
     def shared(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in ``data`` with the segment and offset of every q-gram shared there."""
+        """Places in ``data`` with the item and offset of every q-gram shared there."""
         found, bits = grams(data), len(self.maybe).bit_length() - 1
         at = np.flatnonzero(self.maybe[self.slot(found, bits)])
         known = np.searchsorted(self.codes, found[at])
@@ -136,37 +157,81 @@ class Index:
         at, known = at[right], known[right]
         counts = self.begins[known + 1] - self.begins[known]
         places = np.repeat(self.begins[known] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
-        return np.repeat(at, counts), self.segment[places], self.offset[places]
+        return np.repeat(at, counts), self.owner[places], self.offset[places]
 
-    def search(self, data: bytes) -> dict[int, tuple[int, int]]:
-        """Verified items of a piece of text: begin of the region and edits, the first best segment of each."""
+    def search(self, data: bytes, first: bool = True, last: bool = True) -> dict[int, tuple[int, int]]:
+        """Verified items of a piece of text: begin of the region and edits, the first best of each."""
         out: dict[int, tuple[int, int]] = {}
         if len(data) < Q or not len(self.codes):
             return out
-        at, segment, offset = self.shared(data)
+        at, owner, offset = self.shared(data)
         if not len(at):
             return out
-        band = (at - offset + SEGMENT) // (self.most[segment] + 1)
+        self._words(out, data, at, owner, offset, first, last)
+        shift = int(self.length.max())
+        band = (at - offset + shift) // (self.most[owner] + 1)
         # a diagonal lies in the upper half of one band and in the lower half of the next
-        keys, counts = np.unique(np.concatenate([(segment << 32) + band, (segment << 32) + band + 1]), return_counts=True)
-        enough = counts >= self.least[keys >> 32]
-        for key in keys[enough].tolist():
-            s, b = key >> 32, key & 0xFFFFFFFF
-            e, size = int(self.most[s]), len(self.texts[s])
-            first = (b - 1) * (e + 1) - SEGMENT  # the band's diagonals: first .. first + 2(e + 1) - 1
-            begin, end = max(0, first - e), first + 2 * (e + 1) + size + e
-            edits = alignment(self.texts[s], data[begin:max(begin, end)], e)
-            item = int(self.items[s])
-            if edits is not None and (item not in out or edits < out[item][1]):
-                out[item] = (begin, edits)
+        keys = np.concatenate([(owner << 32) + band, (owner << 32) + band + 1])
+        known, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        enough = np.flatnonzero((counts >= self.least[known >> 32])[inverse])
+        if not len(enough):
+            return out
+        keys, offsets = keys[enough], np.concatenate([offset, offset])[enough]
+        order = np.lexsort((offsets, keys))
+        keys, offsets = keys[order], offsets[order]
+        # the offsets of as many q-grams as a segment needs, and the segments that hold them
+        item = keys >> 32
+        final = np.arange(len(keys)) + self.least[item] - 1
+        inside = final < len(keys)
+        final = np.minimum(final, len(keys) - 1)
+        inside &= (keys[final] == keys) & (offsets[final] - offsets <= self.size[item] - Q)
+        low = np.maximum(offsets[final] + Q - self.size[item], 0)
+        high = np.minimum(offsets, self.length[item] - self.size[item])
+        inside &= low <= high
+        keys, low, high = keys[inside], low[inside], high[inside]
+        known, begins, counts = np.unique(keys, return_index=True, return_counts=True)
+        for key, a, b in zip(known.tolist(), begins.tolist(), (begins + counts).tolist(), strict=True):
+            self._align(out, data, key >> 32, (key & 0xFFFFFFFF) - 1, shift, low[a:b], high[a:b])
         return out
 
+    def _align(self, out: dict[int, tuple[int, int]], data: bytes, k: int, band: int, shift: int, low: np.ndarray, high: np.ndarray) -> None:
+        """Put into ``out`` the best of the segments of item ``k`` that begin in ``low`` to ``high`` in a band of diagonals."""
+        e, size, item = int(self.most[k]), int(self.size[k]), int(self.items[k])
+        edges = np.zeros(len(self.texts[k]) + 1, np.int64)
+        np.add.at(edges, low, 1)
+        np.add.at(edges, high + 1, -1)
+        starts = np.flatnonzero(np.cumsum(edges) > 0)
+        begins = starts + band * (e + 1) - shift - e  # the band's diagonals: band * (e + 1) - shift, and 2(e + 1) - 1 more
+        text, body = np.frombuffer(self.texts[k], np.uint8), np.frombuffer(data, np.uint8)
+        for i in range(0, len(starts), AT_ONCE):
+            if item in out and not out[item][1]:
+                return
+            at = begins[i:i + AT_ONCE, None] + np.arange(2 * (e + 1) + size + 2 * e)
+            regions = np.where((at >= 0) & (at < len(body)), body[np.clip(at, 0, len(body) - 1)], np.uint8(0))
+            edits = alignments(text[starts[i:i + AT_ONCE, None] + np.arange(size)], regions, e)
+            best = int(edits.argmin())
+            if edits[best] <= e and (item not in out or edits[best] < out[item][1]):
+                out[item] = (max(0, int(begins[i + best])), int(edits[best]))
+
+    def _words(self, out: dict[int, tuple[int, int]], data: bytes, at: np.ndarray, owner: np.ndarray, offset: np.ndarray, first: bool, last: bool) -> None:
+        """Put into ``out`` the items of which ``WORDS`` whole words stand in a row."""
+        order = np.lexsort((at, at - offset, owner))
+        at, owner, offset = at[order], owner[order], offset[order]
+        heads = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1) | (offset[1:] != offset[:-1] + 1)])
+        sizes = np.diff(np.r_[heads, len(at)]) + Q - 1
+        long = sizes >= 2 * WORDS - 1
+        for head, n in zip(heads[long].tolist(), sizes[long].tolist(), strict=True):
+            k, begin = int(owner[head]), int(at[head])
+            item = int(self.items[k])
+            if (item not in out or out[item][1]) and whole_words(self.texts[k], data, int(offset[head]), begin, n, first, last) >= WORDS:
+                out[item] = (begin, 0)
+
     def hits(self, text: str | None) -> list[dict]:
         """Items found in a whole text, with the first byte of the searched region and the edits."""
         data, out = normalized(text), {}
         step = PIECE - 4 * SEGMENT
         for begin in range(0, max(1, len(data)), step):
-            for item, (at, edits) in self.search(data[begin:begin + PIECE]).items():
+            for item, (at, edits) in self.search(data[begin:begin + PIECE], begin == 0, begin + PIECE >= len(data)).items():
                 if item not in out or edits < out[item][1]:
                     out[item] = (begin + at, edits)
         return [{"item": i, "begin": b, "edits": e} for i, (b, e) in sorted(out.items())]

@@ -73,6 +73,30 @@ def test_planted_passages(spark, monkeypatch):
     assert result() == want
 
 
+def test_excerpts_at_all_offsets():
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(2, 9)))
+    item = contamination.normalized(" ".join(word() for _ in range(60)))
+    index = contamination.Index.of([(7, item), (8, contamination.normalized(" ".join(word() for _ in range(60))))])
+    around = lambda part: "zz " * 40 + part.decode() + " qq" * 40
+    for n in (75, 85, 100, 120):
+        for at in range(len(item) - n + 1):
+            assert [h["item"] for h in index.hits(around(item[at:at + n]))] == [7]
+    for n in (60, 66):
+        assert not any(index.hits(around(b"zz" + item[at:at + n] + b"zz")) for at in range(0, len(item) - n, 40) if item[at:at + n].count(b" ") < 12)
+
+
+def test_words_in_a_row():
+    words = [f"{a}{b}" for a in "abcdefgh" for b in ("i", "on", "ut", "elk")]
+    index = contamination.Index.of([(7, " ".join(words).encode())])
+    for at in range(len(words) - 13):
+        part = " ".join(words[at:at + 13])
+        assert len(part) < 74
+        for before in ("", "zz ", "zz " * 21_843, "zz " * 21_820):  # also at the edge of a piece
+            assert [(h["item"], h["edits"]) for h in index.hits(f"{before}{part} zz")] == [(7, 0)]
+        assert index.hits("zz " + " ".join(words[at:at + 12]) + " zz") == []
+
+
 def test_empty(spark):
     rows, bench = spark.createDataFrame([(1, "text", 5)], "doc_id long, text string, hits int"), spark.createDataFrame([], "item_id long, text string")
     assert contamination.mark(rows, bench, keep=["doc_id"]).first()["hits"] == []
