@@ -11,7 +11,8 @@ region lies whole in one band; in bands that reach the bound, the segments that
 verified by an alignment inside the band, all of them at once. Words in a row are runs of q-grams on one diagonal.
 
 The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text; the index of a block is broadcast.
-Documents are mapped once for each block, without a shuffle; with several blocks the hits are joined.
+Documents are mapped once for each block, without a shuffle; with several blocks the hits of each are written
+to the shared folder before the next block is read, so the driver holds one index at a time, and then joined.
 
 NULL or empty texts hold nothing and are not contaminated; items without ``Q`` bytes of words are left
 out, as they would match anywhere. Rows are independent; repeated rows give repeated results.
@@ -23,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from souklens.llm.common import fresh, map_texts, quoted
+from souklens.llm.common import fresh, map_texts, quoted, store
 
 Q = 8
 SEGMENT = 80
@@ -251,21 +253,23 @@ def mark(
     df: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text", item: str = "item_id", item_text: str = "text", hits: str = "hits",
 ) -> DataFrame:
     """Columns ``keep`` of every row with ``hits``: the items found, sorted, each with the byte of the normalized
-    text from which its region was searched, and the edits. An empty array for a clean text."""
+    text from which its region was searched, and the edits. An empty array for a clean text. With a benchmark of
+    several blocks, jobs run while the frame is built, which write the hits to the shared folder."""
     keep = df.columns if keep is None else keep
     kinds = [(hits, HITS, HITS_ARROW)]
 
-    def scanned(rows: DataFrame, kept: list[str], index: Index) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast(index)
+    def scanned(rows: DataFrame, kept: list[str], shared: Broadcast) -> DataFrame:
         return map_texts(rows, text, kept, kinds, lambda: lambda texts: [[shared.value.hits(t) for t in texts]])
 
-    found = [(n, Index.of(items)) for n, items in blocks(benchmark, item, item_text)]
-    if len(found) == 1:
-        return scanned(df, keep, found[0][1])
-    # several blocks: hits of all, by text, joined back
-    key, other = fresh([*keep, hits, text], "text_key", "text_key_found")
+    every, (key, other) = [], fresh([*keep, hits, text], "text_key", "text_key_found")
     one = df.select(quoted(text), F.sha2(F.coalesce(quoted(text), F.lit("")), 256).alias(other))
-    every = [scanned(one, [other], index).where(F.size(hits) > 0) for _, index in found]
+    for n, items in blocks(benchmark, item, item_text):
+        shared = df.sparkSession.sparkContext.broadcast(Index.of(items))
+        if n == 1:
+            return scanned(df, keep, shared)
+        # several blocks: hits of all, by text, joined back
+        every.append(store(scanned(one, [other], shared).where(F.size(hits) > 0), "benchmark-hits"))
+        shared.destroy()
     union = every[0]
     for more in every[1:]:
         union = union.unionByName(more)

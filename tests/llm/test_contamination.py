@@ -97,6 +97,18 @@ def test_words_in_a_row():
         assert index.hits("zz " + " ".join(words[at:at + 12]) + " zz") == []
 
 
+def test_one_index_at_a_time(spark, monkeypatch):
+    rows, want = documents()
+    df, bench, steps = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string"), []
+    of, store = contamination.Index.of, contamination.store
+    monkeypatch.setattr(contamination, "BLOCK_BYTES", 2500)
+    monkeypatch.setattr(contamination.Index, "of", lambda items: steps.append("index") or of(items))
+    monkeypatch.setattr(contamination, "store", lambda *args: steps.append("store") or store(*args))
+    marked = contamination.mark(df, bench, keep=["doc_id"])
+    assert len(steps) > 2 and steps == ["index", "store"] * (len(steps) // 2)
+    assert {r["doc_id"]: [h["item"] for h in r["hits"]] for r in marked.collect()} == want
+
+
 def test_empty(spark):
     rows, bench = spark.createDataFrame([(1, "text", 5)], "doc_id long, text string, hits int"), spark.createDataFrame([], "item_id long, text string")
     assert contamination.mark(rows, bench, keep=["doc_id"]).first()["hits"] == []
