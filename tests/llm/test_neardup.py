@@ -77,6 +77,16 @@ def test_all_links_of_a_corpus(spark):
     assert result(neardup.near_duplicates(df, recall=0.9999, trees=24, unit_bytes=20_000)) == want
 
 
+def test_a_corpus_with_the_parameters_of_the_query(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    got = result(neardup.near_duplicates(df))
+    assert {d: r[0] for d, r in got.items()} == {d: r[0] for d, r in want.items()}
+    assert all(got[d][2] <= r[2] for d, r in want.items())
+    assert sum(r[2] for r in got.values()) >= neardup.RECALL * sum(r[2] for r in want.values()) > 0
+
+
 def test_query_finds_the_links(spark, con):
     want = brute(con.execute("SELECT doc_id, text FROM documents").fetchall())
     got = {r["doc_id"]: (r["copy_of"], r["class_id"], r["n_links"]) for r in QUERIES["op1_jaccard_forest"](spark, "/root/testdata/sf0.001").collect()}
