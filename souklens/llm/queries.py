@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from souklens.llm import bpe, contamination, language, licences, lines, neardup, quality, repeats, secrets, warc
+from souklens.llm import bpe, contamination, dialogues, language, licences, lines, nearest, neardup, phrases, quality, repeats, secrets, warc
 from souklens.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,84 @@ def repeated_passages(spark: SparkSession, path: str) -> DataFrame:
 @query("op10_token_fertility")
 def token_fertility(spark: SparkSession, path: str) -> DataFrame:
     return quality.measure(table(spark, path, "documents"), PIECE_BPE, keep=["doc_id"])
+
+
+@query("op11_phrase_trie", f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split(translate(piece, chr(9), ' '), ' '), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, {phrases.LONGEST + 1}) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE k > 1 AND n >= {phrases.LEAST}),
+x AS (SELECT lang, phrase, w, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest FROM c, range(1, {phrases.LONGEST}) t(cut) WHERE cut < k),
+s AS (SELECT x.lang, x.phrase, x.a, x.cut, l.n AS l, r.n AS r, t.n AS n,
+    CAST(1000::HUGEINT * x.a * t.n // (l.n::HUGEINT * r.n) AS BIGINT) AS score
+  FROM x JOIN f l ON l.lang = x.lang AND l.phrase = x.head JOIN f r ON r.lang = x.lang AND r.phrase = x.rest JOIN t ON t.lang = x.lang),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM s),
+h AS (SELECT lang, array_to_string(w[b:b + j - 1], ' ') AS phrase, max(a) AS held FROM c, range(1, {phrases.LONGEST}) t(b), range(2, {phrases.LONGEST}) u(j) WHERE j < k AND b + j - 1 <= k GROUP BY ALL),
+d AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, m.phrase) AS rank FROM m LEFT JOIN h USING (lang, phrase) WHERE nth = 1 AND (held IS NULL OR held < a))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM d WHERE rank <= {phrases.PER_LANG}""")
+def phrase_trie(spark: SparkSession, path: str) -> DataFrame:
+    return phrases.collocations(table(spark, path, "documents"))
+
+
+def way(frm: str, cost: str, letter: str, line: str | None = None) -> str:
+    """The cheapest way to a place of the pattern with one more edit: cost, audit and repaired lines."""
+    lines = f"{frm}.t" if line is None else f"list_append({frm}.t, {line})"
+    return f"{{'c': {frm}.c + {cost}, 'a': {frm}.a || '{letter}', 't': {lines}}}"
+
+
+def cheapest(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def repair_step() -> str:
+    """Ways to the four places (s0 nothing, s1 system, u user, a assistant) over one row: letter ``l``, ``gone``, ``cut``."""
+    kept, named = (lambda frm, letter: way(frm, f"CASE WHEN l = '{letter}' AND NOT gone THEN cut ELSE 1000000 END", "K", "said")), \
+        (lambda frm, role: way(frm, "CASE WHEN gone THEN 1000000 ELSE 2 + cut END", "R", f"'{role}:' || text"))
+    user = [w for frm in ("s0", "s1", "a") for w in (kept(frm, "u"), named(frm, "user"))]
+    return f"""{way('s0', '3', 'D')} AS s0, {cheapest(way('s1', '3', 'D'), kept('s0', 's'))} AS s1,
+        {cheapest(way('u', '3', 'D'), *user)} AS u, {cheapest(way('a', '3', 'D'), kept('u', 'a'), named('u', 'assistant'))} AS a"""
+
+
+def with_insertions(rows: str) -> str:
+    user = cheapest("u", *[way(frm, "2", "I", "'user:'") for frm in ("s0", "s1", "a")])
+    return f"SELECT conv, n, s0, s1, u, {cheapest('a', way('u', '2', 'I', quote('assistant:')))} AS a FROM (SELECT * REPLACE ({user} AS u) FROM ({rows}))"
+
+
+def quote(text: str) -> str:
+    return "'" + text + "'"
+
+
+NOTHING = "{'c': 1000000, 'a': '', 't': CAST([] AS VARCHAR[])}"
+REPAIR_SQL = f"""
+WITH RECURSIVE r AS (SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+z AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(substr(name, i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS dice FROM r),
+d AS (SELECT conv, turn, CASE WHEN dice = 4 THEN 'user' ELSE role END AS role,
+    CASE dice WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN dice = 3 THEN 2 ELSE 1 END)) AS copy FROM z WHERE dice <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS n, substr(role, 1, 1) AS l, role || ':' || text AS said,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS e FROM d),
+q AS (SELECT *, e = '' AS blank, e <> '' AND row_number() OVER (PARTITION BY conv, role, text ORDER BY n) > 1 AS dup, lag(l) OVER (PARTITION BY conv ORDER BY n) || l AS pair FROM o),
+y AS (SELECT *, blank OR dup AS gone, CAST(NOT blank AND NOT dup AND e NOT IN ('.', '!', '?') AS INTEGER) AS cut FROM q),
+t AS (SELECT conv, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+    CAST(sum(cut) AS BIGINT) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM y GROUP BY conv),
+w AS ({with_insertions(f"SELECT conv, CAST(0 AS BIGINT) AS n, {{'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}} AS s0, {NOTHING} AS s1, {NOTHING} AS u, {NOTHING} AS a FROM (SELECT DISTINCT conv FROM r)")}
+    UNION ALL {with_insertions(f"SELECT w.conv, y.n, {repair_step()} FROM w JOIN y ON w.conv IS NOT DISTINCT FROM y.conv AND y.n = w.n + 1")}),
+b AS (SELECT w.conv, w.n, {cheapest('s0', 'a')} AS best FROM w)
+SELECT b.conv AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(array_to_string(best.t, chr(10))) AS repaired_sha256
+FROM b LEFT JOIN t ON b.conv IS NOT DISTINCT FROM t.conv WHERE b.n = coalesce(t.rows, 0)"""
+
+
+@query("op12_block_repair", REPAIR_SQL)
+def block_repair(spark: SparkSession, path: str) -> DataFrame:
+    rows, found = dialogues.repair(table(spark, path, "conversations"))
+    return dialogues.digests(rows, found).withColumnRenamed("conv", "conv_id")
+
+
+@query("op13_multi_index")
+def multi_index(spark: SparkSession, path: str) -> DataFrame:
+    return nearest.nearest(table(spark, path, "embeddings"))
