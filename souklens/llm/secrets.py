@@ -89,21 +89,18 @@ class Ledger:
         return (self.spark.read.schema(LEDGER).parquet(self.path).where(wanted)
                 .groupBy("blob", "pack", "version").agg(F.any_value("spans").alias("spans")))
 
-    def scan(self, versions: DataFrame, packs: tuple[Pack, ...] = PACKS, key: str = "doc_id", text: str = "text") -> None:
+    def scan(self, versions: DataFrame, packs: tuple[Pack, ...] = PACKS, text: str = "text") -> None:
         """Scan the blobs of ``versions`` with the packs that they have not been scanned with.
 
-        Hashes are reduced to one holder for each blob before anything is joined, so a blob of
-        very many paths costs a row per task. Texts are shuffled once, to meet their pending packs.
+        Texts are reduced to one for each blob inside every task and then dealt by blob, once: a blob of very many
+        paths, also of paths without id, is a row per task. Scanned pairs meet them there.
         """
-        rows = versions.select(quoted(key).alias("holder"), blob_of(text).alias("blob"), quoted(text).cast("string").alias("text"))
-        every = F.array(*[F.struct(F.lit(p.name).alias("pack"), F.lit(p.version).alias("version")) for p in packs])
-        pairs = rows.groupBy("blob").agg(F.min("holder").alias("holder")).select("blob", "holder", F.explode(every).alias("p"))
-        pairs = pairs.select("blob", "holder", "p.pack", "p.version")
-        done = self.rows(packs).select("blob", "pack", "version")
-        pending = (pairs.join(done, ["blob", "pack", "version"], "left_anti")
-                   .groupBy("blob", "holder").agg(F.sort_array(F.collect_set("pack")).alias("packs")))
-        unseen = (rows.alias("r").join(pending.alias("p"), (F.col("r.blob") == F.col("p.blob")) & F.col("r.holder").eqNullSafe(F.col("p.holder")))
-                  .select("p.blob", "p.holder", "p.packs", "r.text").dropDuplicates(["blob", "holder"]))  # a holder's row may be repeated
+        rows = versions.select(blob_of(text).alias("blob"), quoted(text).cast("string").alias("text"))
+        done = self.rows(packs).groupBy("blob").agg(F.collect_set("pack").alias("done"))
+        every = F.array(*[F.lit(p.name) for p in packs])
+        pending = F.array_except(every, F.coalesce("done", F.array().cast("array<string>")))
+        unseen = (rows.groupBy("blob").agg(F.any_value("text").alias("text")).join(done, "blob", "left")
+                  .select("blob", pending.alias("packs"), "text").where(F.size("packs") > 0))
         by_name = {p.name: p for p in packs}
 
         def make():
