@@ -147,7 +147,7 @@ def apply_bitmaps(
     d, r, b, t, n_lines, n_dropped, kept = fresh(keep, "of_doc", "of_row", "bitmap", "text_in", n_lines, n_dropped, kept)
     left = df.select(*[quoted(c) for c in keep], quoted(text).alias(t), quoted(doc).cast("long").alias(d), row_id(text).alias(r))
     right = bitmaps.select(F.col("doc").alias(d), F.col("row").alias(r), F.col("bitmap").alias(b))
-    joined = left.join(right, [d, r], "left")
+    joined = left.join(right.hint("merge"), [d, r], "left")  # one plan at every size: bitmaps grow with the documents
 
     def cut(pairs: list[str | None], maps: list[bytes | None]) -> list[list]:
         out = []
