@@ -1,8 +1,11 @@
 """Phrase collocation mining by HAT-trie counting: which runs of words stand together far more often than apart.
 
-Phrases are counted level by level: a phrase of k words can reach the least count only if both its parts of k - 1
-words do, so each pass over the texts counts only places whose parts have passed. What has passed is known to the
-tasks as a bitmap of hashes, at most ``MOST_BITS`` bits; a collision only lets a phrase in that is counted in vain.
+A phrase of k words can reach the least count only if its parts do, so a pass over the texts counts only places
+whose parts have passed. What has passed is known to the tasks as a bitmap of hashes, at most ``MOST_BITS`` bits;
+a collision only lets a phrase in that is counted in vain. Most pairs of words are rare, and there are nearly as many
+as words in the text: the first pass, which counts words, therefore also counts hashes of pairs, three bytes each, and
+only pairs whose hash has enough places are counted as phrases. Passes: words and hashes of pairs; pairs and triples;
+longer phrases.
 
 A task numbers the words that it meets and puts runs of numbers into a HAT-trie (``HatTrie``): hash containers
 of counts below a shallow trie of word numbers. A container that grows too large bursts into one for each next word;
@@ -19,6 +22,7 @@ gives no rows.
 from __future__ import annotations
 
 import heapq
+import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -42,9 +46,15 @@ MOST_WORDS = 1 << 19
 #: Bits of the bitmap of passed phrases for each of them, and at most.
 BITS_EACH = 32
 MOST_BITS = 1 << 27
+#: Bits of a hash that pairs are counted by, pairs that a task holds, text (bytes) for each range of buckets.
+BUCKET_BITS = 40
+MOST_PAIRS = 8 << 20
+RANGE_BYTES = 16 << 20
 ROWS = 50_000
+#: ``size`` of rows that hold buckets of pairs.
+PAIRS = -1
 
-RUNS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("prefix", T.LongType()), T.StructField("phrase", T.StringType()),
+RUNS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("prefix", T.LongType()), T.StructField("phrase", T.BinaryType()),
                      T.StructField("hash", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("n", T.LongType())])
 
 #: Bytes: capitals to small letters, piece ends to line feeds, tabs to blanks.
@@ -65,23 +75,24 @@ class HatTrie:
         self.entries = 0
 
     def add(self, rows: np.ndarray) -> None:
-        """Count every row of an integer matrix."""
+        """Count every row of an integer matrix; equal rows are counted together first."""
         if len(rows):
-            if self.shallow:  # rows of one subtree stand together
-                rows = rows[np.lexsort(rows.T[self.shallow - 1::-1])]
-            self.root = self._put(self.root, rows.astype(">i4"), 0)
+            rows = rows[np.lexsort(rows.T[::-1])]
+            new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
+            first = np.flatnonzero(new)
+            self.root = self._put(self.root, rows[first].astype(">i4"), np.diff(np.append(first, len(rows))), 0)
 
-    def _put(self, node: Counter | dict, rows: np.ndarray, depth: int) -> Counter | dict:
+    def _put(self, node: Counter | dict, rows: np.ndarray, counts: np.ndarray, depth: int) -> Counter | dict:
         if isinstance(node, Counter):
             before = len(node)
             rest = np.ascontiguousarray(rows[:, depth:])
-            node.update(rest.view(f"V{rest.shape[1] * 4}").ravel().tolist())
+            for key, n in zip(rest.view(f"V{rest.shape[1] * 4}").ravel().tolist(), counts.tolist(), strict=True):
+                node[key] += n
             self.entries += len(node) - before
             return self._burst(node) if len(node) > self.burst and depth < self.shallow else node
-        borders = np.flatnonzero(np.diff(rows[:, depth])) + 1
-        for part in np.split(rows, borders):
-            word = int(part[0, depth])
-            node[word] = self._put(node.get(word) or Counter(), part, depth + 1)
+        borders = [0, *(np.flatnonzero(np.diff(rows[:, depth])) + 1).tolist(), len(rows)]
+        for word, begin, end in zip(rows[borders[:-1], depth].tolist(), borders, borders[1:]):
+            node[word] = self._put(node.get(word) or Counter(), rows[begin:end], counts[begin:end], depth + 1)
         return node
 
     @staticmethod
@@ -150,22 +161,58 @@ def hashes(numbers: np.ndarray, of_word: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def passed(found: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
+def buckets(found: np.ndarray) -> np.ndarray:
+    """The bits of hashes that pairs are counted and looked up by."""
+    return found >> np.uint64(64 - BUCKET_BITS)
+
+
+def passed(found: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Whether the bitmap has the hashes."""
-    if bits is None:
-        return np.ones(len(found), bool)
-    place = found & np.uint64(len(bits) * 8 - 1)
+    place = buckets(found) & np.uint64(len(bits) * 8 - 1)
     return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def packed(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted 64-bit values, as steps, and 32-bit counts; byte planes, of which most are nearly all zero."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zlib.compress(steps.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(12, -1)
+    values = np.ascontiguousarray(planes[:8].T).view("<u8").ravel().astype(np.uint64).cumsum(dtype=np.uint64)
+    return values, np.ascontiguousarray(planes[8:].T).view("<u4").ravel().astype(np.int64)
+
+
+class Pairs:
+    """Counts of the buckets of pairs, sent by ranges of buckets."""
+
+    def __init__(self, range_bits: int):
+        self.shift, self.parts, self.held = np.uint64(BUCKET_BITS - range_bits), [], 0
+
+    def add(self, found: np.ndarray) -> None:
+        self.parts.append(buckets(found))
+        self.held += len(found)
+
+    def rows(self) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(self.parts or [np.zeros(0, np.uint64)]), return_counts=True)
+        ranges = (values >> self.shift).astype(np.int64)
+        borders = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(values)]
+        spans = list(zip(borders, borders[1:])) if len(values) else []
+        self.parts, self.held = [], 0
+        return _batch([""] * len(spans), ranges[borders[:-1]] if spans else ranges, [packed(values[b:e], np.minimum(counts[b:e], 2**32 - 1)) for b, e in spans], [0] * len(spans), PAIRS, [0] * len(spans))
+
+
 class _Task:
-    """Tries of one task, one for each language and number of words; all share the bounds on entries and words."""
+    """Tries of one task, one for each language and number of words; all share the bounds on entries and words.
+    ``bits`` tells which phrases of ``part`` words have passed."""
 
-    def __init__(self, sizes: list[int], bits: np.ndarray | None):
-        self.sizes, self.bits, self.part = sizes, bits, max(1, sizes[0] - 1)
+    def __init__(self, sizes: list[int], part: int, bits: np.ndarray | None, range_bits: int | None):
+        self.sizes, self.part, self.bits = sizes, part, bits
         self.words: dict[str, Words] = {}
         self.tries: dict[tuple[str, int], HatTrie] = {}
         self.totals: Counter = Counter()
+        self.pairs = Pairs(range_bits) if range_bits is not None else None
 
     def add(self, lang: str, text: bytes) -> None:
         if lang not in self.words:
@@ -175,7 +222,9 @@ class _Task:
         here = numbers > 0
         self.totals[lang] += int(here.sum())
         of_word = np.array(words.hashes, np.uint64)
-        good = passed(hashes(numbers, of_word, self.part), self.bits)
+        if self.pairs is not None:
+            self.pairs.add(hashes(numbers, of_word, 2)[here[:-1] & here[1:]])
+        good = passed(hashes(numbers, of_word, self.part), self.bits) if self.bits is not None else here
         inside = np.concatenate([[0], np.cumsum(~here)])
         for size in self.sizes:
             n = len(numbers) - size + 1
@@ -192,54 +241,74 @@ class _Task:
     def runs(self, share: float) -> Iterator[pa.RecordBatch]:
         """Subtrees written out until a share of the entries stays; with 0, words and totals too."""
         for (lang, size), trie in self.tries.items():
-            words, of_word = self.words[lang].words, np.array(self.words[lang].hashes, np.uint64)
+            words, of_word, start = self.words[lang].words, np.array(self.words[lang].hashes, np.uint64), min(2, size)
             for rows, counts in trie.spill(int(trie.entries * share)):
                 for at in range(0, len(rows), ROWS):
                     part = rows[at:at + ROWS]
-                    phrase = [b" ".join([words[w] for w in row]) for row in part.tolist()]
-                    found, prefix = hashes(part.ravel(), of_word, size)[::size], hashes(part[:, :2].ravel(), of_word, min(2, size))[::min(2, size)]
-                    yield _batch(lang, prefix, phrase, found, size, counts[at:at + ROWS])
+                    prefix, found = (hashes(part[:, :k].ravel(), of_word, k)[::k].view(np.int64) for k in (start, size))
+                    yield _batch([lang] * len(part), prefix, [b" ".join([words[w] for w in row]) for row in part.tolist()], found, size, counts[at:at + ROWS])
         if not share:
-            for lang, n in self.totals.items():
-                yield _batch(lang, np.zeros(1, np.uint64), [b""], np.zeros(1, np.uint64), 0, np.array([n]))
+            langs = [(lang, n) for lang, n in self.totals.items()]
+            yield _batch([lang for lang, _ in langs], [0] * len(langs), [b""] * len(langs), [0] * len(langs), 0, [n for _, n in langs])
             self.words, self.tries, self.totals = {}, {}, Counter()
 
 
-def _batch(lang: str, prefix: np.ndarray, phrases: list[bytes], found: np.ndarray, size: int, counts: np.ndarray) -> pa.RecordBatch:
-    n = len(phrases)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * n, pa.string()), pa.array(prefix.view(np.int64)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(found.view(np.int64)),
-         pa.array(np.full(n, size, np.int32)), pa.array(counts, pa.int64())], RUNS.names)
+def _batch(langs, prefix, phrases, found, size: int, counts) -> pa.RecordBatch:
+    columns = [langs, prefix, phrases, found, np.full(len(langs), size, np.int32), counts]
+    kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], RUNS.names)
 
 
-def _counted(texts: DataFrame, sizes: list[int], bitmap, least: int) -> DataFrame:
-    """Phrases of ``sizes`` words with at least ``least`` places, merged by prefix, and the words of each language
-    (the row of size 0)."""
+def _runs(texts: DataFrame, sizes: list[int], part: int = 1, bitmap=None, range_bits: int | None = None) -> DataFrame:
+    """What the tasks count: phrases of ``sizes`` words, the words of each language (size 0) and, with ``range_bits``,
+    buckets of pairs (size ``PAIRS``)."""
 
     def run(batches):
-        task = _Task(sizes, np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None)
+        task = _Task(sizes, part, np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None, range_bits)
         for batch in batches:
-            for part in slices(batch, 1):
+            for some in slices(batch, 1):
                 langs: dict[str, list[bytes]] = {}
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                for lang, text in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist(), strict=True):
                     if text:
                         langs.setdefault(lang, []).append(text)
-                for lang, some in langs.items():
-                    task.add(lang, b"\n".join(some))
+                for lang, part_texts in langs.items():
+                    task.add(lang, b"\n".join(part_texts))
                 if task.full():
                     yield from task.runs(0.5 if sum(map(len, task.words.values())) <= MOST_WORDS else 0)
+                if task.pairs is not None and task.pairs.held > MOST_PAIRS:
+                    yield task.pairs.rows()
         yield from task.runs(0)
+        if task.pairs is not None:
+            yield task.pairs.rows()
+
+    return texts.mapInArrow(run, RUNS)
+
+
+def _merged(runs: DataFrame, least: int) -> DataFrame:
+    """Phrases with at least ``least`` places, merged by prefix, and the words of each language."""
+    merged = (runs.where(F.col("size") >= 0).repartition("lang", "prefix").groupBy("lang", "prefix", "phrase", "size")
+              .agg(F.any_value("hash").alias("hash"), F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0)))
+    return merged.select("lang", F.col("phrase").cast("string").alias("phrase"), "hash", "size", "n")
+
+
+def _passing(runs: DataFrame, least: int) -> DataFrame:
+    """Buckets of pairs with at least ``least`` places."""
+
+    def sums(group: pa.Table) -> pa.Table:
+        values, counts = (np.concatenate(x) for x in zip(*[unpacked(b) for b in group["phrase"].to_pylist()], strict=True))
+        order = np.argsort(values, kind="stable")
+        values, counts = values[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        return pa.table({"bucket": values[first][np.add.reduceat(counts, first) >= least].astype(np.int64)})
 
-    merged = texts.mapInArrow(run, RUNS).repartition("lang", "prefix").groupBy("lang", "prefix", "phrase", "size").agg(F.any_value("hash").alias("hash"), F.sum("n").alias("n"))
-    return merged.where((F.col("n") >= least) | (F.col("size") == 0))
+    return runs.where(F.col("size") == PAIRS).select("prefix", "phrase").groupBy("prefix").applyInArrow(sums, "bucket long")
 
 
-def _bitmap(found: DataFrame, size: int) -> bytes:
-    """Bitmap of the hashes of the phrases of ``size`` words."""
-    rows = found.where(F.col("size") == size)
-    bits = min(MOST_BITS, max(1 << 18, 1 << (rows.count() * BITS_EACH).bit_length()))
-    place = F.col("hash").bitwiseAND(F.lit(bits - 1)) + 1  # Spark numbers bits from 1
-    parts = rows.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+def _bitmap(found: DataFrame) -> bytes:
+    """Bitmap of the column ``bucket``."""
+    bits = min(MOST_BITS, max(1 << 18, 1 << (found.count() * BITS_EACH).bit_length()))
+    place = F.col("bucket").bitwiseAND(F.lit(bits - 1)) + 1  # Spark numbers bits from 1
+    parts = found.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = bytearray(bits // 8)
     for r in parts.collect():  # at most MOST_BITS bits
         begin = (r["part"] - 1) * len(r["bits"])
@@ -250,15 +319,20 @@ def _bitmap(found: DataFrame, size: int) -> bytes:
 def frequent(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """``lang``, ``phrase``, ``size`` and ``n`` of every phrase of up to ``longest`` words with ``least`` places or more,
     and with size 0 the number of words of each language. Writes its counts and runs jobs when the frame is built."""
+    spark = df.sparkSession
     texts = df.select(F.coalesce(quoted(lang).cast("string"), F.lit("und")).alias("lang"), quoted(text).cast("string").alias("text"))
-    levels = [[1], *[[k] for k in range(2, min(3, longest) + 1)], *([list(range(4, longest + 1))] if longest > 3 else [])]
-    every, bitmap = None, None
-    for sizes in levels:
-        if sizes[0] > 1:
-            bitmap = df.sparkSession.sparkContext.broadcast(_bitmap(found, sizes[0] - 1))
-        found, _ = table(df.sparkSession, _counted(texts, sizes, bitmap, least).select("lang", "phrase", "hash", "size", "n"), "phrases")
-        some = found if sizes[0] == 1 else found.where("size > 0")
-        every = some if every is None else every.unionByName(some)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    range_bits = min(24, max(6, int(size // RANGE_BYTES).bit_length()))
+    runs, runs_at = table(spark, _runs(texts, [1], range_bits=range_bits), "word-runs")
+    every, _ = table(spark, _merged(runs, least), "words")
+    found, _ = table(spark, _passing(runs, least), "pairs")
+    discard(spark, runs_at)
+    for part, sizes in ((2, [2, 3]), (3, list(range(4, longest + 1)))):
+        if sizes := [s for s in sizes if s <= longest]:
+            bitmap = spark.sparkContext.broadcast(_bitmap(found))
+            counts, _ = table(spark, _merged(_runs(texts, sizes, part, bitmap), least).where("size > 0"), "phrases")
+            found = counts.where(F.col("size") == part + 1).select(F.shiftrightunsigned("hash", 64 - BUCKET_BITS).alias("bucket"))
+            every = every.unionByName(counts)
     return every.select("lang", "phrase", "size", "n")
 
 
