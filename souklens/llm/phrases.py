@@ -2,10 +2,10 @@
 
 A phrase of k words can reach the least count only if its parts do, so a pass over the texts counts only places
 whose parts have passed. What has passed is known to the tasks as a bitmap of hashes, at most ``MOST_BITS`` bits;
-a collision only lets a phrase in that is counted in vain. Most pairs of words are rare, and there are nearly as many
-as words in the text: the first pass, which counts words, therefore also counts hashes of pairs, three bytes each, and
-only pairs whose hash has enough places are counted as phrases. Passes: words and hashes of pairs; pairs and triples;
-longer phrases.
+a collision only lets a phrase in that is counted in vain. Most pairs and triples of words are rare, and there are
+nearly as many as words in the text: a pass therefore also counts hashes of phrases one word longer, some three bytes
+each, and only those whose hash has enough places are counted as phrases in the next. Passes: words, with hashes of
+pairs; pairs, with hashes of triples; triples and longer phrases.
 
 A task numbers the words that it meets and puts runs of numbers into a HAT-trie (``HatTrie``): hash containers
 of counts below a shallow trie of word numbers. A container that grows too large bursts into one for each next word;
@@ -46,13 +46,13 @@ MOST_WORDS = 1 << 19
 #: Bits of the bitmap of passed phrases for each of them, and at most.
 BITS_EACH = 32
 MOST_BITS = 1 << 27
-#: Bits of a hash that pairs are counted by, pairs that a task holds, text (bytes) for each range of buckets.
+#: Bits of a hash that phrases are counted by, hashes that a task holds, text (bytes) for each range of buckets.
 BUCKET_BITS = 40
-MOST_PAIRS = 8 << 20
+MOST_HASHES = 8 << 20
 RANGE_BYTES = 16 << 20
 ROWS = 50_000
-#: ``size`` of rows that hold buckets of pairs.
-PAIRS = -1
+#: ``size`` of rows that hold buckets.
+BUCKETS = -1
 
 RUNS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("prefix", T.LongType()), T.StructField("phrase", T.BinaryType()),
                      T.StructField("hash", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("n", T.LongType())])
@@ -162,7 +162,7 @@ def hashes(numbers: np.ndarray, of_word: np.ndarray, size: int) -> np.ndarray:
 
 
 def buckets(found: np.ndarray) -> np.ndarray:
-    """The bits of hashes that pairs are counted and looked up by."""
+    """The bits of hashes that phrases are counted and looked up by."""
     return found >> np.uint64(64 - BUCKET_BITS)
 
 
@@ -184,8 +184,8 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return values, np.ascontiguousarray(planes[8:].T).view("<u4").ravel().astype(np.int64)
 
 
-class Pairs:
-    """Counts of the buckets of pairs, sent by ranges of buckets."""
+class Buckets:
+    """Counts of the buckets of phrases, sent by ranges of buckets."""
 
     def __init__(self, range_bits: int):
         self.shift, self.parts, self.held = np.uint64(BUCKET_BITS - range_bits), [], 0
@@ -200,19 +200,19 @@ class Pairs:
         borders = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(values)]
         spans = list(zip(borders, borders[1:])) if len(values) else []
         self.parts, self.held = [], 0
-        return _batch([""] * len(spans), ranges[borders[:-1]] if spans else ranges, [packed(values[b:e], np.minimum(counts[b:e], 2**32 - 1)) for b, e in spans], [0] * len(spans), PAIRS, [0] * len(spans))
+        return _batch([""] * len(spans), ranges[borders[:-1]] if spans else ranges, [packed(values[b:e], np.minimum(counts[b:e], 2**32 - 1)) for b, e in spans], [0] * len(spans), BUCKETS, [0] * len(spans))
 
 
 class _Task:
     """Tries of one task, one for each language and number of words; all share the bounds on entries and words.
     ``bits`` tells which phrases of ``part`` words have passed."""
 
-    def __init__(self, sizes: list[int], part: int, bits: np.ndarray | None, range_bits: int | None):
-        self.sizes, self.part, self.bits = sizes, part, bits
+    def __init__(self, sizes: list[int], part: int, bits: np.ndarray | None, hashed: int | None, range_bits: int):
+        self.sizes, self.part, self.bits, self.hashed = sizes, part, bits, hashed
         self.words: dict[str, Words] = {}
         self.tries: dict[tuple[str, int], HatTrie] = {}
         self.totals: Counter = Counter()
-        self.pairs = Pairs(range_bits) if range_bits is not None else None
+        self.buckets = Buckets(range_bits)
 
     def add(self, lang: str, text: bytes) -> None:
         if lang not in self.words:
@@ -222,18 +222,19 @@ class _Task:
         here = numbers > 0
         self.totals[lang] += int(here.sum())
         of_word = np.array(words.hashes, np.uint64)
-        if self.pairs is not None:
-            self.pairs.add(hashes(numbers, of_word, 2)[here[:-1] & here[1:]])
         good = passed(hashes(numbers, of_word, self.part), self.bits) if self.bits is not None else here
         inside = np.concatenate([[0], np.cumsum(~here)])
-        for size in self.sizes:
+        for size in [*self.sizes, *([self.hashed] if self.hashed else [])]:
             n = len(numbers) - size + 1
             if n > 0:
                 fits = inside[size:] == inside[:n]
                 for k in range(size - self.part + 1):
                     fits &= good[k:n + k]
                 at = np.flatnonzero(fits)
-                self.tries.setdefault((lang, size), HatTrie(size)).add(np.stack([numbers[at + k] for k in range(size)], axis=1))
+                if size == self.hashed:
+                    self.buckets.add(hashes(numbers, of_word, size)[at])
+                else:
+                    self.tries.setdefault((lang, size), HatTrie(size)).add(np.stack([numbers[at + k] for k in range(size)], axis=1))
 
     def full(self) -> bool:
         return sum(t.entries for t in self.tries.values()) > MOST_ENTRIES or sum(map(len, self.words.values())) > MOST_WORDS
@@ -259,12 +260,12 @@ def _batch(langs, prefix, phrases, found, size: int, counts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], RUNS.names)
 
 
-def _runs(texts: DataFrame, sizes: list[int], part: int = 1, bitmap=None, range_bits: int | None = None) -> DataFrame:
-    """What the tasks count: phrases of ``sizes`` words, the words of each language (size 0) and, with ``range_bits``,
-    buckets of pairs (size ``PAIRS``)."""
+def _runs(texts: DataFrame, sizes: list[int], part: int, bitmap, hashed: int | None, range_bits: int) -> DataFrame:
+    """What the tasks count where all parts of ``part`` words have passed: phrases of ``sizes`` words, the words of each
+    language (size 0) and buckets of phrases of ``hashed`` words (size ``BUCKETS``)."""
 
     def run(batches):
-        task = _Task(sizes, part, np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None, range_bits)
+        task = _Task(sizes, part, np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None, hashed, range_bits)
         for batch in batches:
             for some in slices(batch, 1):
                 langs: dict[str, list[bytes]] = {}
@@ -275,11 +276,10 @@ def _runs(texts: DataFrame, sizes: list[int], part: int = 1, bitmap=None, range_
                     task.add(lang, b"\n".join(part_texts))
                 if task.full():
                     yield from task.runs(0.5 if sum(map(len, task.words.values())) <= MOST_WORDS else 0)
-                if task.pairs is not None and task.pairs.held > MOST_PAIRS:
-                    yield task.pairs.rows()
+                if task.buckets.held > MOST_HASHES:
+                    yield task.buckets.rows()
         yield from task.runs(0)
-        if task.pairs is not None:
-            yield task.pairs.rows()
+        yield task.buckets.rows()
 
     return texts.mapInArrow(run, RUNS)
 
@@ -292,7 +292,7 @@ def _merged(runs: DataFrame, least: int) -> DataFrame:
 
 
 def _passing(runs: DataFrame, least: int) -> DataFrame:
-    """Buckets of pairs with at least ``least`` places."""
+    """Buckets with at least ``least`` places."""
 
     def sums(group: pa.Table) -> pa.Table:
         values, counts = (np.concatenate(x) for x in zip(*[unpacked(b) for b in group["phrase"].to_pylist()], strict=True))
@@ -301,7 +301,7 @@ def _passing(runs: DataFrame, least: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         return pa.table({"bucket": values[first][np.add.reduceat(counts, first) >= least].astype(np.int64)})
 
-    return runs.where(F.col("size") == PAIRS).select("prefix", "phrase").groupBy("prefix").applyInArrow(sums, "bucket long")
+    return runs.where(F.col("size") == BUCKETS).select("prefix", "phrase").groupBy("prefix").applyInArrow(sums, "bucket long")
 
 
 def _bitmap(found: DataFrame) -> bytes:
@@ -323,16 +323,17 @@ def frequent(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
     texts = df.select(F.coalesce(quoted(lang).cast("string"), F.lit("und")).alias("lang"), quoted(text).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     range_bits = min(24, max(6, int(size // RANGE_BYTES).bit_length()))
-    runs, runs_at = table(spark, _runs(texts, [1], range_bits=range_bits), "word-runs")
-    every, _ = table(spark, _merged(runs, least), "words")
-    found, _ = table(spark, _passing(runs, least), "pairs")
-    discard(spark, runs_at)
-    for part, sizes in ((2, [2, 3]), (3, list(range(4, longest + 1)))):
+    every, bitmap = None, None
+    for part, sizes in ((1, [1]), (2, [2]), (3, list(range(3, longest + 1)))):
         if sizes := [s for s in sizes if s <= longest]:
-            bitmap = spark.sparkContext.broadcast(_bitmap(found))
-            counts, _ = table(spark, _merged(_runs(texts, sizes, part, bitmap), least).where("size > 0"), "phrases")
-            found = counts.where(F.col("size") == part + 1).select(F.shiftrightunsigned("hash", 64 - BUCKET_BITS).alias("bucket"))
-            every = every.unionByName(counts)
+            hashed = part + 1 if part < min(3, longest) else None
+            runs, runs_at = table(spark, _runs(texts, sizes, part, bitmap, hashed, range_bits), "phrase-runs")
+            counts, _ = table(spark, _merged(runs, least), "phrases")
+            if hashed:
+                found, _ = table(spark, _passing(runs, least), "passing")
+                bitmap = spark.sparkContext.broadcast(_bitmap(found))
+            discard(spark, runs_at)
+            every = counts if every is None else every.unionByName(counts.where("size > 0"))
     return every.select("lang", "phrase", "size", "n")
 
 
