@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution splits skewed join partitions (also when that costs one more shuffle),
 #: merges small shuffle partitions and turns a join into a broadcast join once the measured
-#: size of a side is below the threshold.
+#: size of a side is below the threshold. Streams keep their state on disk, not in the heap.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -20,6 +20,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -157,3 +158,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     where, system = _path(spark, path)
     system.delete(where, True)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``."""
+    where, system = _path(spark, path)
+    return system.getContentSummary(where).getLength()

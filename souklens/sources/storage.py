@@ -1,12 +1,21 @@
-"""Sinks: staged documents, refreshed copies and the time-partitioned event store."""
+"""Sinks: staged documents, refreshed copies and the time-partitioned event store.
+
+The event store has a folder for each time chunk and load. Loads pile up, so ``compact`` rewrites the loads of a
+chunk as one, in few files, and then enters that in a log beside the store. The entry is the switch: a reader takes
+the log as it finds it, leaves out loads that an entry replaces, and new loads of compactions that no entry names. So
+every row is seen once before, during and after a compaction, also after one that died. Replaced files stay until
+``vacuum``; their names stay in the log for good, so a stream's batch that is repeated later stays out as well.
+Loads may be added while a chunk is compacted. There is one compaction of a store at a time.
+"""
 
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, Row, SparkSession, functions as F
 
-from souklens.session import delete, exists
+from souklens.session import delete, exists, size_of
 
 
 def replace_staging(documents: DataFrame, path: str) -> None:
@@ -60,7 +69,10 @@ def write_by_time(events: DataFrame, path: str, time: str = "occurred_at", chunk
     """
     if mode not in ("overwrite", "append"):
         raise ValueError(f"mode {mode}")
-    _by_time(events, f"batch-{uuid.uuid4().hex}", time, chunk).mode(mode).parquet(path)
+    writer = _by_time(events, f"batch-{uuid.uuid4().hex}", time, chunk)
+    writer.mode(mode).parquet(path)
+    if mode == "overwrite":
+        delete(events.sparkSession, _log_path(path))
 
 
 def add_load(events: DataFrame, path: str, name: str, time: str = "occurred_at", chunk: str = "WEEK") -> None:
@@ -75,12 +87,90 @@ def _by_time(events: DataFrame, load: str, time: str, chunk: str) -> DataFrameWr
     return dated.repartitionByRange(F.col(time), F.xxhash64(*events.columns)).write.partitionBy("event_date", "load_id")
 
 
+#: Loads of compactions begin with this; other loads must not.
+COMPACTED = "compacted-"
+_ENTRY = "event_date string, load string, replaced array<string>"
+
+
+def _log_path(path: str) -> str:
+    return path.rstrip("/") + ".compactions"
+
+
+def _log(spark: SparkSession, path: str) -> list[Row]:
+    """Entries of the log: a row for each compacted chunk, with the names of the loads that it replaced."""
+    where = _log_path(path)
+    return spark.read.schema(_ENTRY).json(where).collect() if exists(spark, where) else []
+
+
+def _hidden(log: list[Row]) -> Column:
+    """Whether the rows of a load of a chunk are to be left out; told from folder names alone."""
+    folder = F.concat_ws("/", F.col("event_date").cast("string"), "load_id")
+    replaced = [f"{e['event_date']}/{name}" for e in log for name in e["replaced"]]
+    current = [f"{e['event_date']}/{e['load']}" for e in log]
+    unfinished = F.col("load_id").startswith(COMPACTED) & ~folder.isin(current)
+    return unfinished | folder.isin(replaced)
+
+
+def _live(spark: SparkSession, path: str) -> tuple[DataFrame, list[Row]]:
+    log = _log(spark, path)
+    stored = spark.read.parquet(path)
+    return stored.where(~_hidden(log)), log
+
+
+def _folders(rows: DataFrame) -> dict[tuple[str, str], list[str]]:
+    """(chunk, load) -> files, from the names that Spark has listed anyway."""
+    found: dict[tuple[str, str], list[str]] = {}
+    for file in rows.inputFiles():
+        parts = dict(p.split("=", 1) for p in file.split("/") if "=" in p)
+        found.setdefault((unquote(parts["event_date"]), unquote(parts["load_id"])), []).append(file)
+    return found
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """All rows of the store, of batch and stream loads, with the first day of their chunk."""
-    return spark.read.parquet(path).drop("load_id")
+    return _live(spark, path)[0].drop("load_id")
 
 
 def read_since(spark: SparkSession, path: str, start: Column, time: str = "occurred_at", chunk: str = "WEEK") -> DataFrame:
     """Rows from ``start`` on; chunks before it are not read. ``chunk`` is that of the store."""
     rows = read_events(spark, path)
     return rows.filter((F.col("event_date") >= chunk_of(start, chunk)) & (F.col(time) >= start))
+
+
+def compact(spark: SparkSession, path: str, time: str = "occurred_at", least_files: int = 2, file_bytes: int = 256 << 20) -> int:
+    """Rewrite the loads of every chunk with ``least_files`` files or more as one load with files of about
+    ``file_bytes``, and switch readers to it; the number of such chunks. Files are cut by range of time: a chunk gets
+    at most its share of them and one more."""
+    rows, log = _live(spark, path)
+    gone = {(e["event_date"], name) for e in log for name in e["replaced"]}
+    current = {(e["event_date"], e["load"]) for e in log}
+    by_chunk: dict[str, dict[str, list[str]]] = {}
+    for (chunk, load), files in _folders(spark.read.parquet(path)).items():
+        if (chunk, load) not in gone and (not load.startswith(COMPACTED) or (chunk, load) in current):
+            by_chunk.setdefault(chunk, {})[load] = files
+    due = {chunk: loads for chunk, loads in by_chunk.items() if sum(map(len, loads.values())) >= least_files}
+    if not due:
+        return 0
+    name = COMPACTED + uuid.uuid4().hex
+    folders = {file.rsplit("/", 1)[0] for loads in due.values() for files in loads.values() for file in files}
+    pieces = max(1, -(-sum(size_of(spark, folder) for folder in folders) // file_bytes))
+    # the loads that were found, and no later ones
+    taken = F.concat_ws("/", F.col("event_date").cast("string"), "load_id").isin([f"{chunk}/{load}" for chunk, loads in due.items() for load in loads])
+    columns = [c for c in rows.columns if c not in ("event_date", "load_id")]
+    (rows.where(taken).withColumn("load_id", F.lit(name)).repartitionByRange(pieces, "event_date", F.col(time), F.xxhash64(*columns))
+     .write.partitionBy("event_date", "load_id").mode("append").parquet(path))
+    entries = [(chunk, name, sorted(loads)) for chunk, loads in due.items()]
+    spark.createDataFrame(entries, _ENTRY).coalesce(1).write.mode("append").json(_log_path(path))
+    return len(due)
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Delete the files that compactions replaced and those of compactions that died; the number of folders. No reader
+    that began before the last compaction, and no compaction, may be running."""
+    log = _log(spark, path)
+    gone = {(e["event_date"], name) for e in log for name in e["replaced"]}
+    current = {(e["event_date"], e["load"]) for e in log}
+    dead = [f for f in _folders(spark.read.parquet(path)) if f in gone or f[1].startswith(COMPACTED) and f not in current]
+    for chunk, load in dead:
+        delete(spark, f"{path}/event_date={chunk}/load_id={load}")
+    return len(dead)

@@ -132,6 +132,44 @@ def snk_event_stream(m: Market) -> DataFrame:
     return storage.read_events(m.spark, store).drop("event_date")
 
 
+@query("snk_event_stream_unique", """
+    WITH d AS (SELECT *, id % 3 <> 0 AS first_run FROM events_d),
+    w AS (SELECT max(occurred_at) FILTER (first_run) - to_days(700) AS watermark FROM d)
+    SELECT CAST(id AS VARCHAR) AS id, event_type, occurred_at, NOT first_run AND occurred_at <= watermark AS late
+    FROM d, w""", "events_d")
+def snk_event_stream_unique(m: Market) -> DataFrame:
+    """Two runs of one stream, the second with all events of the first and others: each is stored once, those behind
+    the watermark of the first run are late."""
+    drops, store, state = (new_path(m.spark, name) for name in ("unique_drops", "unique_table", "unique_state"))
+    rows = access.events(staged_events(m)).repartition(3)
+    first = F.col("id") % 3 != 0
+    load = lambda: event_load.load_unique(m.spark, drops, store, state, "700 days", chunk="MONTH").awaitTermination()
+    rows.where(first).unionByName(rows.where(first & (F.col("id") % 2 == 0))).write.json(drops)
+    load()
+    rows.write.mode("append").json(drops)
+    load()
+    typed = rows.withColumn("occurred_at", parse_iso(F.col("occurred_at")))
+    stored = storage.read_events(m.spark, store).select(*typed.columns, F.lit(False).alias("late"))
+    both = stored.unionByName(event_load.not_stored(typed, store).withColumn("late", F.lit(True)))
+    return both.select("id", "event_type", "occurred_at", "late")
+
+
+@query("snk_event_store_compacted", """
+    SELECT id, user_id, event_type, occurred_at, date_trunc('month', occurred_at) AS event_date, 1 AS most_files FROM events_d""", "events_d")
+def snk_event_store_compacted(m: Market) -> DataFrame:
+    """Five loads, compacted after three and again after all, one load repeated: each row once, one file a chunk."""
+    path = new_path(m.spark, "compacted_table")
+    for part in range(5):
+        storage.add_load(m.events().where(F.col("id") % 5 == part), path, f"load-{part}", chunk="MONTH")
+        if part in (2, 4):
+            storage.compact(m.spark, path)
+    storage.add_load(m.events().where(F.col("id") % 5 == 1), path, "load-1", chunk="MONTH")
+    storage.vacuum(m.spark, path)
+    rows = storage.read_events(m.spark, path).select("id", "user_id", "event_type", "occurred_at", "event_date", F.input_file_name().alias("file"))
+    files = rows.groupBy("event_date").agg(F.countDistinct("file").alias("n")).agg(F.max("n").cast("int")).scalar()
+    return rows.drop("file").withColumn("most_files", files)
+
+
 def catalogue_text(m: Market) -> DataFrame:
     """The catalogue as imported from CSV: every field is text, attributes hold JSON, some broken."""
     attributes = F.concat(F.lit('{"brand": "'), F.col("description"), F.lit('", "colours": ["black", "red"]}'))
