@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from souklens.functions.numbers import flag, nvl
 from souklens.functions.times import days_between, month_in, month_of, plus_days, second_of
-from souklens.operators.joins import detail_left_join, valid_at
+from souklens.operators.intervals import valid_at_join
+from souklens.operators.joins import detail_left_join
 
 
 def user_subscription(users: DataFrame, subscriptions: DataFrame, tiers: DataFrame, pricing: DataFrame) -> DataFrame:
     """Subscriptions with user, plan and the price that was valid when they started.
 
-    Overlapping price periods yield one row each, a missing period leaves the price NULL.
+    Overlapping price periods yield one row each, a missing period leaves the price NULL. Cuts the periods
+    into bins when the frame is built (see ``valid_at_join``).
     """
     u = users.select(F.col("id").alias("user_id"), "email", "full_name", "country_code", "city",
                      F.col("created_at").alias("user_created_at"), "last_login_at", F.col("is_active").alias("user_is_active"))
@@ -24,9 +26,8 @@ def user_subscription(users: DataFrame, subscriptions: DataFrame, tiers: DataFra
     p = pricing.select(F.col("id").alias("price_id"), F.col("tier_id").alias("_priced"), "monthly_price_usd",
                        F.col("valid_from").alias("price_valid_from"), F.col("valid_to").alias("price_valid_to"),
                        F.col("is_active").alias("price_is_active"))
-    priced = (F.col("tier_id") == F.col("_priced")) & valid_at(F.col("price_valid_from"), F.col("price_valid_to"), F.col("started_at"))
-    return s.join(u, F.col("user_id") == F.col("_user")).join(t, F.col("tier_id") == F.col("_tier"), "left").join(
-        p, priced, "left").select(
+    priced = valid_at_join(s, p, "tier_id", "started_at", "_priced", "price_valid_from", "price_valid_to")
+    return priced.join(u, F.col("user_id") == F.col("_user")).join(t, F.col("tier_id") == F.col("_tier"), "left").select(
         "user_id", "email", "full_name", "country_code", "city", "user_created_at", "last_login_at", "user_is_active",
         "sub_id", "sub_status", "started_at", "current_period_start", "current_period_end", "cancelled_at", "cancel_reason",
         "billing_cycle", "sub_created_at", "sub_updated_at", "tier_id", "tier_name", "tier_description", "price_id",
