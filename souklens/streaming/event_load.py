@@ -12,8 +12,11 @@ from souklens.sources.storage import add_load, read_events
 
 def event_stream(spark: SparkSession, drops: str) -> DataFrame:
     """Event documents, one per line, with a typed time."""
-    raw = spark.readStream.schema(schemas.EVENT).json(drops)
-    return raw.withColumn("occurred_at", parse_iso(F.col("occurred_at")))
+    return parse_times(spark.readStream.schema(schemas.EVENT).json(drops))
+
+
+def parse_times(events: DataFrame) -> DataFrame:
+    return events.withColumn("occurred_at", parse_iso(F.col("occurred_at")))
 
 
 def load(spark: SparkSession, drops: str, store: str, checkpoint: str, chunk: str = "WEEK") -> StreamingQuery:
