@@ -9,8 +9,11 @@ from souklens.operators.joins import null_safe
 from souklens.session import written
 
 
-#: Parts that the values of a histogram are cut into, so that no task orders all values of a group.
+#: Parts that the values of a long histogram are cut into, so that no task orders all values of a group.
 PARTS = 200
+#: Rows of a histogram that one task orders easily, and of a tie that one task numbers.
+SHORT = 100_000
+CELL_ROWS = 200_000
 
 
 def tie_hash(*ids: str) -> Column:
@@ -24,13 +27,17 @@ def tie_hash(*ids: str) -> Column:
 def _larger(histogram: DataFrame, group: str, value: str, amount: Column, name: str) -> DataFrame:
     """``_g``, ``_v`` and the sum of ``amount`` over the rows of the group with a larger value.
 
-    Values are cut into parts of about equal size. Sums of whole parts are added in one small window,
-    values inside a part in a window of its own.
+    The values of a long histogram are cut into parts of about equal size: sums of whole parts are added in one
+    small window, values inside a part in a window of its own. A short one is ordered as it is. Counts the histogram, and
+    for a long one looks for the bounds of the parts, when the frame is built.
     """
+    held = histogram.select(F.col(group).alias("_g"), F.col(value).alias("_v"), amount.alias("_a"))
+    if histogram.count() <= SHORT:
+        before = Window.partitionBy("_g").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)
+        return held.select("_g", "_v", F.coalesce(F.sum("_a").over(before), F.lit(0)).alias(name))
     found = histogram.agg(F.percentile_approx(value, [i / PARTS for i in range(1, PARTS)], 10 * PARTS)).first()[0]  # PARTS numbers
     bounds = F.array(*[F.lit(b) for b in dict.fromkeys(found or [])]).cast(ArrayType(histogram.schema[value].dataType))
-    rows = histogram.select(F.col(group).alias("_g"), F.col(value).alias("_v"), amount.alias("_a")).withColumn(
-        "_part", F.size(F.filter(bounds, lambda b: b < F.col("_v"))))
+    rows = held.withColumn("_part", F.size(F.filter(bounds, lambda b: b < F.col("_v"))))
     whole = Window.partitionBy("_g").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("_g", "_part").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("_g", "_part").agg(F.sum("_a").alias("_a")).select(
@@ -41,7 +48,7 @@ def _larger(histogram: DataFrame, group: str, value: str, amount: Column, name:
 
 
 def rank_and_running_total(
-    df: DataFrame, rank_by: str, total_by: str, value: str, ids: list[str], rank_as: str, running_as: str, digits: int = 3,
+    df: DataFrame, rank_by: str, total_by: str, value: str, ids: list[str], rank_as: str, running_as: str, digits: int | None = None,
 ) -> DataFrame:
     """Adds the rank by descending ``value`` within ``rank_by`` and the running total of ``value``
     within ``total_by`` in the order (value descending, hash of the ids, ids).
@@ -49,16 +56,29 @@ def rank_and_running_total(
     Both follow from a histogram of (groups, value, first ``digits`` hex digits of the hash): the rank
     is one plus the rows with a larger value, the running total is that of the histogram rows before
     plus the position within the own cell. Only rows of one cell are ordered, so a value that most rows
-    share spreads over 16 to the power of ``digits`` tasks; choose it by the size of the largest tie, the
-    result does not depend on it. Nor is a nearly unique value ordered in one task (see ``_larger``).
+    share spreads over 16 to the power of ``digits`` tasks. Unless given, ``digits`` follows from the histogram
+    without hashes: as many as bring the largest tie to ``CELL_ROWS`` a cell; the result does not depend on it. Nor is a
+    nearly unique value ordered in one task (see ``_larger``).
 
     The histogram is written when the frame is built: it is read several times, and its exact size
-    decides whether it is broadcast. ``df`` is read twice and must be a stored table. ``value`` must
-    not be NULL; a NULL group is a group. There are few groups of ``rank_by``.
+    decides whether it is broadcast. ``df`` is read twice, or three times if ties are split, and must be a stored
+    table. ``value`` must not be NULL; a NULL group is a group. There are few groups of ``rank_by``.
     """
     cell = [total_by, value, "_bucket"]
-    rows = df.withColumn("_hash", tie_hash(*ids)).withColumn("_bucket", F.substring("_hash", 1, digits))
-    cells = written(rows.groupBy(*dict.fromkeys([*cell, rank_by])).agg(F.count(F.lit(1)).alias("_n")), "rank_cells")
+    groups = list(dict.fromkeys([total_by, value, rank_by]))
+    counted = F.count(F.lit(1)).alias("_n")
+    whole = None
+    if digits is None:
+        whole = written(df.groupBy(*groups).agg(counted), "rank_values")
+        largest = whole.groupBy(total_by, value).agg(F.sum("_n").alias("_n")).agg(F.max("_n")).first()[0] or 0
+        digits = 0
+        while largest > CELL_ROWS * 16 ** digits:
+            digits += 1
+    rows = df.withColumn("_hash", tie_hash(*ids)).withColumn("_bucket", F.substring("_hash", 1, digits) if digits else F.lit(""))
+    if digits or whole is None:
+        cells = written(rows.groupBy(*groups, "_bucket").agg(counted), "rank_cells")
+    else:
+        cells = whole.withColumn("_bucket", F.lit(""))
 
     n = F.sum("_n").alias("_n")
     ranks = _larger(cells.groupBy(rank_by, value).agg(n), rank_by, value, F.col("_n"), "_rank").withColumnsRenamed({"_g": "_rg", "_v": "_rv"})

@@ -10,6 +10,7 @@ from souklens.functions.texts import strip_quotes
 from souklens.functions.times import (
     date_of_text, day_of, month_name, months_before, parse_iso, quarter_text, second_of, year_month)
 from souklens.operators import baskets
+from souklens.session import is_broadcastable
 
 
 def time(users: DataFrame, subscriptions: DataFrame, invoices: DataFrame, orders: DataFrame) -> DataFrame:
@@ -53,7 +54,13 @@ _AFFINITY_LABELS = ("product_type", "seller_id")
 
 
 def product_affinity(items: DataFrame, products: DataFrame) -> DataFrame:
-    """Co-purchased pairs of the lines, labelled as ``product_affinity_type`` does, without a join of pairs."""
+    """Co-purchased pairs of the lines, labelled as ``product_affinity_type`` does.
+
+    Where the labels of the catalogue are below the broadcast threshold, as Catalyst sizes them, pairs of ids are counted
+    and labelled in place. Otherwise labels are joined to the lines, of which there are fewer than pairs, and travel along.
+    """
+    if is_broadcastable(products.select("product_id", *_AFFINITY_LABELS)):
+        return product_affinity_type(baskets.bought_with(items, products), products)
     pairs = baskets.bought_with(items, products, labels=_AFFINITY_LABELS)
     return _affinity_categories(pairs.withColumnsRenamed({f"product_{i}_product_type": f"product_{i}_type" for i in (1, 2)}))
 

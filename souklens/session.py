@@ -164,3 +164,10 @@ def size_of(spark: SparkSession, path: str) -> int:
     """Bytes of all files below ``path``."""
     where, system = _path(spark, path)
     return system.getContentSummary(where).getLength()
+
+
+def is_broadcastable(df: DataFrame) -> bool:
+    """Whether Catalyst, by its size of ``df``, broadcasts it in a join of its own accord."""
+    session = df.sparkSession._jsparkSession
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return int(str(plan.stats().sizeInBytes())) <= session.sessionState().conf().autoBroadcastJoinThreshold()

@@ -100,8 +100,11 @@ def test_cube_quantiles_against_numpy(spark):
         assert abs(r.q - np.quantile(part, 0.4)) < 1e-9
 
 
-@pytest.mark.parametrize("digits", [1, 3, 4])
-def test_rank_and_running_total_against_brute_force(spark, digits):
+@pytest.mark.parametrize("digits, short, cell", [(1, 100, 9), (3, 0, 9), (4, 0, 9), (None, 100, 1_000), (None, 0, 100), (None, 100, 3)])
+def test_rank_and_running_total_against_brute_force(spark, monkeypatch, digits, short, cell):
+    """Histograms in parts and whole, ties that fit a cell and ties that are split."""
+    monkeypatch.setattr(rankings, "SHORT", short)
+    monkeypatch.setattr(rankings, "CELL_ROWS", cell)
     rng = random.Random(1)
     rows = [(rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), 1 if rng.random() < 0.6 else rng.randrange(1, 9), i, i * 7 % 11) for i in range(400)]
     df = spark.createDataFrame(rows, "r string, t string, v long, p long, q long")
@@ -120,7 +123,8 @@ def test_rank_and_running_total_against_brute_force(spark, digits):
         assert found[row[3]]["rank"] == 1 + sum(x[2] > row[2] for x in rows if x[0] == row[0])
 
 
-def test_rank_over_nearly_unique_values(spark):
+def test_rank_over_nearly_unique_values(spark, monkeypatch):
+    monkeypatch.setattr(rankings, "SHORT", 1_000)
     rows = [("a" if i % 3 else "b", "x", (i * 7919) % 5003, i) for i in range(5000)]
     df = spark.createDataFrame(rows, "r string, t string, v long, p long")
     found = {row.p: row for row in rankings.rank_and_running_total(df, "r", "t", "v", ["p"], "rank", "running", 1).collect()}
@@ -135,7 +139,13 @@ def test_labels_of_pairs_equal_a_join_of_pairs(spark):
     items = spark.createDataFrame([(o, rng.randrange(20)) for o in range(60) for _ in range(5)], "order_id int, product_id int")
     products = spark.createDataFrame([(p, rng.choice(["s", "t", None]), rng.choice(["u", "v"])) for p in range(18)], "product_id int, product_type string, seller_id string")
     plain = dimensions.product_affinity_type(baskets.bought_with(items, products), products)
-    assert sorted(map(str, dimensions.product_affinity(items, products).collect())) == sorted(map(str, plain.collect()))
+    want = sorted(map(str, plain.collect()))
+    for threshold in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            assert sorted(map(str, dimensions.product_affinity(items, products).collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_newest_rows_equals_sort_and_limit(spark):

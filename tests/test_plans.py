@@ -110,6 +110,19 @@ def test_ranked_rows_are_moved_once(spark):
     assert left.count("Exchange") == 1
 
 
+def test_a_large_tie_is_split_over_cells(spark, monkeypatch):
+    """``digits`` follows from the histogram: a tie above the rows of a cell is numbered in several of them."""
+    rows = Market(spark, SF).raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lit("x").alias("g"), F.lit(1).cast("long").alias("q"))
+    for most, least_cells, most_cells in ((10_000_000, 1, 1), (1_000, 16, 16), (100, 200, 256)):
+        monkeypatch.setattr(rankings, "CELL_ROWS", most)
+        seen = []
+        kept = rankings.written
+        monkeypatch.setattr(rankings, "written", lambda df, name: seen.append(kept(df, name)) or seen[-1])
+        rankings.rank_and_running_total(rows, "g", "g", "q", ["l_orderkey", "l_linenumber", "l_partkey"], "r", "t")
+        monkeypatch.setattr(rankings, "written", kept)
+        assert least_cells <= seen[-1].count() <= most_cells
+
+
 def test_quantiles_move_only_rows_of_located_buckets(spark):
     rows = Market(spark, SF).raw("lineitem")
     plan = plan_of(quantiles.exact_quantiles(rows, ["l_returnflag"], "cast(l_extendedprice * 100 as bigint)", {"m": 0.5}, 100_000))
