@@ -105,9 +105,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
+    free_with_scope(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_with_scope(path: str) -> None:
+    """Delete ``path`` when the innermost open scope ends; without one it stays."""
     if _scopes:
         _scopes[-1].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager

@@ -12,7 +12,7 @@ _EMPTY = "\u0001empty\u0001"
 
 
 def _options(**more) -> dict:
-    return {"header": True, "quote": '"', "escape": '"', **more}
+    return {"header": True, "quote": '"', "escape": '"'} | more
 
 
 def read_external(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -22,6 +22,15 @@ def read_external(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.options(**_options(mode="PERMISSIVE")).schema(schema).csv(path)
 
 
+def read_external_rejects(spark: SparkSession, path: str, schema: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``read_external``, short ones filled and longer ones cut, and the ``record`` of each whose number of
+    fields is not that of ``schema``. The parsed rows are written to the shared folder, since Spark does not read records
+    on their own."""
+    reader = spark.read.options(**_options(mode="PERMISSIVE", columnNameOfCorruptRecord="_record", header=header))
+    rows = written(reader.schema(f"{schema}, _record string").csv(path), "external_rows")
+    return rows.drop("_record"), rows.filter("_record IS NOT NULL").select(F.col("_record").alias("record"))
+
+
 def read_copy(spark: SparkSession, path: str, schema: str, line_breaks: bool = True) -> DataFrame:
     """Bulk load: an empty field is NULL, a quoted empty field is an empty text. A row that does not fit
     the schema stops the load.

@@ -63,6 +63,21 @@ def src_csv_external(m: Market) -> DataFrame:
     return delimited.read_external(m.spark, path, schemas.SELLER_PROFILE)
 
 
+@query("src_csv_external_rejects", """
+    SELECT CAST(s_suppkey AS VARCHAR) AS user_id, CASE WHEN s_suppkey % 4 <> 2 THEN s_name END AS display_name, CASE s_suppkey % 4 WHEN 1 THEN s_suppkey || ',' || s_name || ',x' WHEN 2 THEN CAST(s_suppkey AS VARCHAR) END AS record
+    FROM supplier""")
+def src_csv_external_rejects(m: Market) -> DataFrame:
+    """A quarter of the rows has a field too many, a quarter one too few: read all the same, and returned as they stand."""
+    path = new_path(m.spark, "ragged_csv")
+    key, name, kind = F.col("s_suppkey").cast("string"), F.col("s_name"), F.col("s_suppkey") % 4
+    line = F.when(kind == 1, F.concat_ws(",", key, name, F.lit("x"))).when(kind == 2, key).otherwise(F.concat_ws(",", key, name))
+    m.raw("supplier").select(line.alias("value")).write.option("lineSep", "\n").text(path)
+    rows, rejects = delimited.read_external_rejects(m.spark, path, "user_id string, display_name string", header=False)
+    records = rejects.select("record", F.split("record", ",")[0].alias("_key"))
+    known = rows.join(records, F.col("user_id") == F.col("_key"), "left").drop("_key")
+    return known
+
+
 @query("src_csv_copy", """
     SELECT CAST(id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS user_id, event_type, CAST(product_id AS VARCHAR) AS product_id,
         CASE WHEN id % 3 = 0 THEN '' ELSE session_id END AS session_id, 'line "1",' || chr(10) || metadata AS metadata,
