@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from souklens.session import delete, new_path
+from souklens.session import delete, free_with_scope, new_path
 
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
 SLICE_BYTES = 4 << 20
@@ -53,8 +53,10 @@ def map_texts(
     """Columns ``keep`` and new ``fields`` computed from whole texts, a bounded slice of rows at a time.
 
     ``make`` runs once in each task and returns the function from the texts of a slice to the lists
-    of its fields. No shuffle; a lost task is simply run again.
+    of its fields. A field whose name a kept column has, letter case aside, gets underscores behind it. No shuffle; a lost
+    task is simply run again.
     """
+    fields = [(name, *kinds) for name, (_, *kinds) in zip(fresh(keep, *[f[0] for f in fields]), fields, strict=True)]
     chosen = df.select(*[quoted(c) for c in keep], quoted(text).cast("string").alias("_text"))
     schema = T.StructType([*chosen.schema.fields[:-1], *[T.StructField(n, t) for n, t, _ in fields]])
     kinds, names = [k for *_, k in fields], [*keep, *[f[0] for f in fields]]
@@ -91,8 +93,9 @@ def row_id(text: str) -> Column:
 
 
 def table(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written to the shared folder and read back, and its path, for ``discard``."""
+    """``df`` written to the shared folder and read back, and its path, for ``discard``; it goes with the open scope."""
     path = new_path(spark, name)
+    free_with_scope(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from souklens.llm.common import map_texts, quoted
@@ -27,9 +27,15 @@ UNDETERMINED = "und"
 MAYBE_LETTER = re.compile(r"[^\W\d_]")
 
 
+#: A letter, as SQL finds it; pieces of a long text; rows of a language that pass the bound on the hash at least.
+LETTER = r"\p{L}"
+PIECES = 4
+LEAST_PASSED = 64
+
+
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of what is learned from: documents, characters of each, and the course of training."""
+    """Bounds of what is learned from: documents of all languages, characters of each, and the course of training."""
 
     documents: int = 3000
     chars: int = 4000
@@ -197,22 +203,30 @@ def pooled(network: Network, texts: list[str | None], at_once: int = 2048) -> np
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", pick: Column | None = None, sample: Sample = Sample()) -> Network | None:
-    """A network for the labelled rows of ``df``; None if there are none. The sample are the rows with the
-    least ``pick`` (a 64-bit hash, of the text by default), at most ``sample.documents`` of them.
+    """A network for the labelled rows of ``df`` whose text has a letter; None if there are none.
 
-    A bound on the hash, from the number of labelled rows, lets about twice as many rows through, so that
-    tasks do not each send as many to the driver.
+    Every language gets an equal share of ``sample.documents`` rows, one at least: those with the least ``pick`` (a 64-bit
+    hash, of the text by default), or all that it has. A bound on the hash, from the number of usable rows of the
+    language, lets about twice as many through, so that tasks send few. Of a text longer than ``sample.chars``, as many
+    characters are taken in ``PIECES`` pieces from places all over it, told by the hash.
     """
-    labelled = df.where(quoted(lang).isNotNull())
-    share = 2 * sample.documents / max(1, labelled.count())
-    rows = labelled.where(F.length(quoted(text)) > 0).select(
-        quoted(lang).cast("string").alias("lang"), F.substring(quoted(text), 1, sample.chars).alias("text"), (F.xxhash64(quoted(text)) if pick is None else pick).alias("pick"))
-    if share < 1:
-        rows = rows.where(F.col("pick") < F.lit(int(share * 2**64) - 2**63))
-    rows = rows.orderBy("pick", "lang", "text").limit(sample.documents).collect()
-    rows = [r for r in rows if has_letter(r["text"])]
-    if not rows:
+    body = quoted(text)
+    usable = df.where(quoted(lang).isNotNull() & body.rlike(LETTER)).select(
+        quoted(lang).cast("string").alias("lang"), body.cast("string").alias("text"), (F.xxhash64(body) if pick is None else pick).alias("pick"))
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row a language
+    if not counts:
         return None
+    each = max(1, sample.documents // len(counts))
+    bounds = {name: int(max(2 * each, LEAST_PASSED) / n * 2**64) - 2**63 for name, n in counts.items() if n > max(2 * each, LEAST_PASSED)}
+    if bounds:
+        bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("lang")]
+        usable = usable.where(bound.isNull() | (F.col("pick") < bound))
+    piece = sample.chars // PIECES
+    begin = lambda i: (F.pmod(F.xxhash64("pick", F.lit(i)), F.length("text") - piece) + 1).cast("int")
+    pieces = F.concat_ws("\n", *[F.substring("text", begin(i), F.lit(piece)) for i in range(PIECES)])
+    cut = usable.withColumn("text", F.when(F.length("text") <= sample.chars, F.col("text")).otherwise(pieces))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "text"))
+    rows = cut.withColumn("nth", nth).where(F.col("nth") <= each).orderBy("lang", "nth").collect()
     network = Network(sorted({r["lang"] for r in rows}), sample.units, sample.seed)
     network.train([r["text"] for r in rows], [r["lang"] for r in rows], sample)
     return network

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from souklens.llm.common import Substrings, discard, expand_texts, mixed, quoted, release, row_id, table
+from souklens.llm.common import Substrings, discard, expand_texts, fresh, mixed, quoted, release, row_id, table
 
 MATCH = 100
 GRAM = 32
@@ -297,12 +297,14 @@ def united(begins: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 def remove_repeats(df: DataFrame, keep: list[str] | None = None, doc: str = "doc_id", text: str = "text", match: int = MATCH, gram: int = GRAM) -> DataFrame:
     """Columns ``keep`` of every row with ``n_bytes``, the removed ``runs`` (begin, end) and ``kept``, the
-    remaining bytes (a run may cut through a letter, so these need not be UTF-8)."""
+    remaining bytes (a run may cut through a letter, so these need not be UTF-8). Names that ``keep`` has get
+    underscores behind them."""
     keep = df.columns if keep is None else keep
+    n_bytes, runs, kept = fresh(keep, "n_bytes", "runs", "kept")
     passed = [quoted(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     joined = texts_of(df, doc, text, *passed).join(repeated_spans(df, doc, text, match, gram), ["doc", "row"], "left")
-    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("n_bytes", T.LongType()), T.StructField("runs", T.ArrayType(T.StructType([
-        T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(n_bytes, T.LongType()), T.StructField(runs, T.ArrayType(T.StructType([
+        T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField(kept, T.BinaryType())])
 
     def make():
         def work(*columns):

@@ -63,3 +63,25 @@ def test_held_out_accuracy(spark):
     rows = found.join(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     right, n = rows.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert n > 150 and right > 0.95
+
+
+def test_sample_of_usable_rows(spark):
+    """Few labelled rows with text among very many, a rare language, and letters that only the end of a text has."""
+    few = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("aa").alias("lang"), F.when(F.col("id") % 20_000 == 7, "toma bako kalo").alias("text"))
+    assert language.train(few, pick=F.xxhash64("doc_id"), sample=QUICK).languages == ["aa"]
+    rare = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5_000 == 3, "ee").otherwise("aa").alias("lang"),
+                                      F.when(F.col("id") % 5_000 == 3, "zer sen reß eint " * 9).otherwise("toma bako kalo moba " * 9).alias("text"))
+    network = language.train(rare, pick=F.xxhash64("doc_id"), sample=QUICK)
+    assert network.languages == ["aa", "ee"] and network.label("sen reß zer eint sen").count("ee") > 10
+    late = spark.createDataFrame([(i, "aa", "1 " * 9_000 + "toma bako kalo " * 900) for i in range(9)] + [(i, "ee", "sen reß zer ") for i in range(9)], "doc_id long, lang string, text string")
+    assert language.predict(late.limit(1), language.train(late, sample=QUICK)).columns == ["doc_id", "lang", "text", "lang_pred", "score"]
+    assert language.train(spark.createDataFrame([(1, "aa", "12 !")], "doc_id long, lang string, text string")) is None
+
+
+def test_pooled_equals_a_plain_pass(spark):
+    """Probabilities of a text from the cell's equations, a byte and a window at a time."""
+    network = trained(spark)
+    text = ("toma bako kalo zer " * 30).encode()
+    pieces = [text[i:i + language.WINDOW] for i in range(0, len(text), language.WINDOW)]
+    plain = sum(network.probabilities(np.frombuffer(piece.ljust(language.WINDOW, b"\0"), np.uint8).reshape(-1, 1))[:len(piece), 0].sum(0) for piece in pieces) / len(text)
+    assert np.allclose(language.pooled(network, [text.decode(), "", None])[0], plain, atol=1e-5)
