@@ -122,3 +122,68 @@ def test_query(spark, con):
         whole = [i for i, t in items if t in contamination.normalized(text)]
         assert set(whole) <= set(got[doc]["items"]) and got[doc]["contaminated"] == bool(got[doc]["items"]) and got[doc]["n_items"] == len(got[doc]["items"])
         assert bool(whole) == got[doc]["contaminated"]
+
+
+PHRASE = "which of the following is the correct answer to the question about"
+
+
+def test_common_phrases_in_bounded_memory(monkeypatch):
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(3, 8)))
+    items = [(i, contamination.normalized(f"{PHRASE} {word()} {word()} {word()} {word()} {word()}")) for i in range(300)]
+    monkeypatch.setattr(contamination, "PAIRS", 1 << 17)
+    index, most = contamination.Index.of(items), []
+    paired = contamination.Index._paired
+    monkeypatch.setattr(contamination.Index, "_paired", lambda self, out, data, at, *rest: most.append(len(at)) or paired(self, out, data, at, *rest))
+    text = f"{PHRASE} " * 900
+    assert index.hits(text) == []
+    assert [h["item"] for h in index.hits(f"{text} {items[77][1].decode()} {text}")] == [77]
+    assert most and max(most) <= contamination.PAIRS
+
+
+def test_equal_letters():
+    index = contamination.Index.of([(1, b"a" * 1000), (2, b"b" * 90 + b"a" * 5000)])
+    assert [h["item"] for h in index.hits("a" * 65_000)] == [1, 2]
+    assert [(h["item"], h["edits"]) for h in index.hits("c" * 70_000 + "a" * 74)] == [(1, 6), (2, 6)]
+    assert index.hits("a" * 73 + " " + "c" * 70_000) == []
+
+
+def test_boxes_find_the_same(monkeypatch):
+    rows, _ = documents()
+    items = sorted({(i, contamination.normalized(t)) for i, t in ITEMS if i is not None and t}) + [(200, b"ab " * 400), (201, (b"ab " * 30 + b"kan ") * 20)]
+    texts = [t for _, t in rows] + ["ab " * 500, ("ab " * 30 + "kan ") * 40, ("ab " * 29 + "kon ") * 40]
+    index = contamination.Index.of(items)
+    want = [index.hits(t) for t in texts]
+    assert sum(map(len, want)) > 60
+    for pairs in (30_000,):
+        monkeypatch.setattr(contamination, "PAIRS", pairs)
+        got = [index.hits(t) for t in texts]
+        assert [[(h["item"], h["edits"]) for h in hs] for hs in got] == [[(h["item"], h["edits"]) for h in hs] for hs in want]
+
+
+def test_edited_excerpts_by_brute_force():
+    """Every excerpt that the full table finds within the edits of a segment is found, and nothing else."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(2, 9)))
+    item = contamination.normalized(" ".join(word() for _ in range(20)))
+    index, seen = contamination.Index.of([(7, item)]), set()
+    for k in range(28):
+        at = draw.randrange(len(item) - 90)
+        part = edited(item[at:at + 90].decode(), k % 14)
+        text = contamination.normalized(f"zz qq {part} rr tt")
+        least = min(table(item[i:i + 80], text) for i in range(len(item) - 79))
+        hits = index.hits(text.decode())
+        run = max((len(c.split()) for c in (item[i:j].decode() for i in range(0, len(item), 1) for j in range(i + 25, len(item) + 1) if (i == 0 or item[i - 1] == 32) and (j == len(item) or item[j] == 32)) if f" {c} " in f" {text.decode()} "), default=0)
+        assert bool(hits) == (least <= 6 or run >= 13)
+        seen.add(bool(hits))
+    assert seen == {True, False}
+
+
+def test_texts_of_one_item(spark, monkeypatch):
+    passages = [prose(30) for _ in range(6)]
+    bench = spark.createDataFrame([(5, p) for p in passages], "item_id long, text string")
+    df = spark.createDataFrame([(1, " zz ".join(passages)), (2, edited(passages[0], 3) + " qq " + passages[3])], "doc_id long, text string")
+    result = lambda: {r["doc_id"]: [(h["item"], h["edits"]) for h in r["hits"]] for r in contamination.mark(df, bench, keep=["doc_id"]).collect()}
+    one = result()
+    monkeypatch.setattr(contamination, "BLOCK_BYTES", 200)
+    assert one == result() == {1: [(5, 0)], 2: [(5, 0)]}
