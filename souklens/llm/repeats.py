@@ -2,7 +2,11 @@
 
 A text is cut at triggers: places whose rolling hash of ``GRAM`` bytes is the least among the places of
 some ``MATCH``-byte window. A trigger depends on the bytes of its window alone, so equal windows are cut
-alike, and every window holds one. A phrase is a trigger with all bytes that a window around it may reach;
+alike, and every window holds one. Of adjacent equal hashes only the first and the last count. A window that equals
+the one ``period`` bytes before it (up to ``MOST_PERIOD``: rules, padding, blanks) is a repeat by that alone: it is
+told in its text, both when triggers are sought, which it then needs none of, and when the text is cut; the first
+window of its content in a text keeps its triggers. Long texts are parsed in pieces of ``PIECE`` bytes that overlap by
+all that a trigger and its phrase depend on, so a text takes memory for a piece besides its bytes. A phrase is a trigger with all bytes that a window around it may reach;
 equal phrases stand for equal windows. The dictionary has every distinct phrase with its first place.
 
 1. Parse: phrases of all texts, in the order (trigger, phrase, place). Every place of a phrase but its first
@@ -36,6 +40,10 @@ from souklens.llm.common import Substrings, discard, expand_texts, fresh, mixed,
 MATCH = 100
 GRAM = 32
 PARTS = 4
+#: Periods of repetition that are told inside a text.
+MOST_PERIOD = 32
+#: Bytes of a text that are parsed at once.
+PIECE = 4 << 20
 #: ``place`` is a byte offset, then the number of the part; ``row`` tells rows with the same id apart.
 PART_BITS = 3
 
@@ -56,19 +64,54 @@ def sliding(x: np.ndarray, width: int, better) -> np.ndarray:
     return better(x[:len(x) - (width - size)], x[width - size:]) if size < width else x
 
 
+def periodic(data: np.ndarray, match: int) -> list[tuple[int, int]]:
+    """Ranges of begins of windows that equal the window some ``MOST_PERIOD`` bytes or less before them."""
+    out, step = [], max(1, match // 4)
+    for period in range(1, min(MOST_PERIOD, len(data) - match) + 1):
+        late, early = data[period:], data[:-period]
+        probes = late[::step] == early[::step]
+        several = match // step - 1
+        if several > 1:  # so many probes in a row lie in any stretch of ``match`` equal bytes
+            probes = sliding(probes, several, np.minimum) if len(probes) >= several else probes[:0]
+        if not probes.any():
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], late == early, [False]]).astype(np.int8)))
+        begins, ends = edges[::2], edges[1::2]
+        long = ends - begins >= match
+        out += zip((begins[long] + period).tolist(), (ends[long] - match + 1 + period).tolist(), strict=True)
+    return out
+
+
 class Parser:
     """Triggers, phrases and windows of single texts of at least ``match`` bytes."""
 
     def __init__(self, match: int = MATCH, gram: int = GRAM):
         self.match, self.gram, self.hashes = match, gram, Substrings()
 
-    def triggers(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Offsets of the triggers, the hash at every offset, the least hash of every window, running sums."""
+    def hashed(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hash at every offset, the least hash of every window, running sums."""
         sums, at = self.hashes.sums(data), np.arange(len(data) - self.gram + 1)
-        found, width = self.hashes.of(sums, at, at + self.gram), self.match - self.gram + 1
-        least = sliding(found, width, np.minimum)
-        edge = np.zeros(width - 1, np.uint64)
-        return np.flatnonzero(sliding(np.concatenate([edge, least, edge]), width, np.maximum) == found), found, least, sums
+        found = self.hashes.of(sums, at, at + self.gram)
+        return found, sliding(found, self.match - self.gram + 1, np.minimum), sums
+
+    def triggers(self, data: np.ndarray, found: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Offsets of the triggers of all windows that do not repeat periodically."""
+        width = self.match - self.gram + 1
+        edge, wanted = np.zeros(width - 1, np.uint64), least
+        for begin, end in periodic(data, self.match):
+            wanted = least.copy() if wanted is least else wanted
+            wanted[begin:end] = 0
+        at = np.flatnonzero(sliding(np.concatenate([edge, wanted, edge]), width, np.maximum) == found)
+        border = np.r_[True, found[1:] != found[:-1], True]
+        return at[border[at] | border[at + 1]]
+
+    def pieces(self, data: np.ndarray):
+        """Parts of a text for each of which all about its own triggers can be told, where they begin, and the first and end of its own offsets in them."""
+        margin = 2 * self.match
+        for begin in range(0, max(1, len(data)), PIECE):
+            low, high = max(0, begin - margin), min(len(data), begin + PIECE + margin)
+            if high - low >= self.match:
+                yield data[low:high], low, begin - low, min(begin + PIECE, len(data)) - low
 
     def reach(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First and end of the bytes that windows around triggers ``at`` cover in a text of ``n`` bytes."""
@@ -76,14 +119,28 @@ class Parser:
 
     def phrases(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Offset, trigger hash and phrase hash of all phrases."""
-        at, found, _, sums = self.triggers(data)
-        lo, hi = self.reach(at, len(data))
-        return at, found[at], mixed(self.hashes.of(sums, lo, hi) + (at - lo).astype(np.uint64))
+        out = []
+        for part, low, begin, end in self.pieces(data):
+            found, least, sums = self.hashed(part)
+            at = self.triggers(part, found, least)
+            at = at[(at >= begin) & (at < end)]
+            first, final = self.reach(at, len(part))
+            out.append((at + low, found[at], mixed(self.hashes.of(sums, first, final) + (at - first).astype(np.uint64))))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     def groups(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """Groups of windows around the triggers ``at`` that hold a window of its own: offset, number, hash
         of the bytes that all windows of such a group share, hash of all bytes of the group."""
-        _, found, least, sums = self.triggers(data)
+        out = []
+        for part, low, begin, end in self.pieces(data):
+            own = at[(at >= begin + low) & (at < end + low)] - low
+            if len(own):
+                p, *more = self._groups(part, own)
+                out.append((p + low, *more))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def _groups(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        found, least, sums = self.hashed(data)
         out = []
         for number, (first, last) in enumerate(self.parts()):
             lo, hi = np.maximum(at - last, 0), np.minimum(at - first, len(least) - 1)
@@ -110,7 +167,16 @@ class Parser:
     def windows(self, data: np.ndarray, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the windows of the groups (``at``, ``number``) whose least hash stands at the trigger,
         that hash, and the hash of their content."""
-        _, found, least, sums = self.triggers(data)
+        out = []
+        for part, low, begin, end in self.pieces(data):
+            own = (at >= begin + low) & (at < end + low)
+            if own.any():
+                starts, *more = self._windows(part, at[own] - low, number[own])
+                out.append((starts + low, *more))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def _windows(self, data: np.ndarray, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found, least, sums = self.hashed(data)
         first, last = np.array(self.parts(), np.int64)[number].T
         width = int((last - first).max()) + 1 if len(at) else 1
         starts = (at - last)[:, None] + np.arange(width)
@@ -259,8 +325,8 @@ def _fields() -> tuple[Column, Column]:
 
 
 def repeated_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", match: int = MATCH, gram: int = GRAM) -> DataFrame:
-    """``doc``, ``row`` and an array ``spans`` of (begin, end) bytes that stand in repeated windows; spans
-    may overlap, and reach over a text's ends. A row for each text that has any. Writes to the shared folder."""
+    """``doc``, ``row`` and an array ``spans`` of (begin, end) bytes that stand in repeated windows, but those
+    that ``periodic`` tells; spans may overlap, and reach over a text's ends. A row for each text that has any. Writes to the shared folder."""
     spark, texts, (number, at) = df.sparkSession, texts_of(df, doc, text), _fields()
 
     def spans(rows: DataFrame, begin: Column, end: Column) -> DataFrame:
@@ -311,7 +377,8 @@ def remove_repeats(df: DataFrame, keep: list[str] | None = None, doc: str = "doc
             sizes, firsts, lasts, kept = [], [], [], []
             for (begins, ends), text in zip(numbers_of(columns[-2]), columns[-1], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                begins, ends = united(begins, ends, len(data))
+                inside = np.array(periodic(np.frombuffer(data, np.uint8), match), np.int64).reshape(-1, 2)
+                begins, ends = united(np.r_[begins, inside[:, 0]], np.r_[ends, inside[:, 1] + match - 1], len(data))
                 sizes.append(len(data))
                 firsts.append(begins)
                 lasts.append(ends)

@@ -106,3 +106,36 @@ def test_query(spark, con):
     want = {d: (n, g, k, hashlib.sha256(kept).hexdigest()) for d, (n, g, k, kept) in brute(rows).items()}
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in QUERIES["op9_repeated_passages"](spark, "/root/testdata/sf0.001").collect()}
     assert got == want
+
+
+def test_rules_and_padding(spark):
+    draw = random.Random(9)
+    prose = lambda k: " ".join(draw.choice(WORDS) for _ in range(k))
+    units = ["-", "=-", " ", "ab ", "\u2500", "|   |   ", "0123456789abcdefghijklmnopqrstu", "0123456789abcdefghijklmnopqrstuvwxyz+"]
+    rows = [(i, prose(3) + draw.choice(units) * draw.randint(20, 400) + prose(draw.randint(0, 30)) + draw.choice(units) * draw.randint(5, 150)) for i in range(60)]
+    rows += [(100 + i, "-" * n) for i, n in enumerate((99, 100, 101, 102, 131, 132, 133, 200))] + [(200 + i, "x" + "-" * n + "y") for i, n in enumerate((60, 98, 99, 100, 101, 140))]
+    df = spark.createDataFrame(draw.sample(rows, len(rows)), "doc_id long, text string").repartition(4)
+    assert result(repeats.remove_repeats(df, keep=["doc_id"])) == brute(rows)
+
+
+def test_pieces(spark, monkeypatch):
+    rows = corpus(5, 15) + [(4000, "a" * 3000 + "-" * 900 + "b"), (4001, "x" + "ab " * 700)]
+    want, parser, data = brute(rows), repeats.Parser(), "".join(t or "" for _, t in corpus(6, 8)).encode()
+    data = repeats.np.frombuffer(data, "u1")
+    whole = parser.phrases(data)
+    monkeypatch.setattr(repeats, "PIECE", 333)
+    pieces = dict(zip(*[x.tolist() for x in parser.phrases(data)[::2]], strict=True))
+    assert all(pieces[p] == h for p, h in zip(*[x.tolist() for x in whole[::2]], strict=True))
+    # settings of this process do not reach Python workers, so the frames' functions are called here
+    out = [(i, parser.phrases(repeats.np.frombuffer((t or "").encode(), "u1"))) for i, t in rows if len((t or "").encode()) >= 100]
+    assert all((repeats.np.diff(at) > 0).all() for _, (at, *_) in out)
+    monkeypatch.undo()
+    assert result(repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"])) == want
+
+
+def test_constant_text_has_few_phrases():
+    parser = repeats.Parser()
+    for unit in (b"a", b"-=", b"abc "):
+        data = repeats.np.frombuffer(unit * (9_000_000 // len(unit)), "u1")
+        at, *_ = parser.phrases(data)
+        assert len(at) < 1000 and repeats.periodic(data, 100)
