@@ -66,6 +66,34 @@ def test_verdicts(spark):
     assert quality.verdict("latin", 0, 0.0, 0.0, 0.0) == "no words"
 
 
+def slow(text, vocabulary):
+    """Script, the four measures and the verdict, from pieces of single words."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    pieces = [(w, [(vocabulary.id_to_piece(i), vocabulary.is_byte(i)) for i in vocabulary.encode(w)]) for w in words]
+    flat = [x for _, ps in pieces for x in ps]
+    n = len(flat)
+    counts = {s: sum(any(a <= ord(c) <= b for a, b in ranges) for c in text or "") for s, ranges in quality.SCRIPTS.items()}
+    best = max(counts, key=counts.get)
+    script = best if counts[best] else "other" if any(c.isalpha() for c in text or "") else "none"
+    if not n:
+        return script, 0.0, 0.0, 0.0, 0.0
+    spread = -sum(c / n * math.log2(c / n) for c in Counter(flat).values())
+    hung = sum(1 for w, ps in pieces if re.search(r"[^#*$%&|<>]", w) for p, _ in ps if re.fullmatch(r"\u2581*[#*$%&|<>]+", p))
+    return (script, sum(map(len, words)) / n, sum(b for _, b in flat) / n, spread / math.log2(min(n, vocabulary.vocab_size())) if n > 1 else 1.0, hung / n)
+
+
+def expected(text, vocabulary):
+    """Whether a text is kept and why not: base rules, then the bands of its script."""
+    script, per, share, spread, hung = slow(text, vocabulary)
+    if plain(text)[5]:
+        return "base rules"
+    if script == "none":
+        return "no letters"
+    band = quality.BANDS[script]
+    return ("symbol runs" if hung > band.most_symbols else "characters per token" if not band.least_chars <= per <= band.most_chars
+            else "byte fallback" if share > band.most_bytes else "entropy" if spread < band.least_entropy else "")
+
+
 CLEAN = [
     "The committee met on Tuesday to discuss the budget for the coming year, and several members asked why the costs of the new library had risen so quickly.",
     "Le comité s'est réuni mardi pour discuter du budget de l'année prochaine, et plusieurs membres ont demandé pourquoi les coûts avaient augmenté.",
@@ -75,6 +103,10 @@ CLEAN = [
     "委员会 星期二 开会 讨论 明年 的 预算 几位 成员 问 为什么 新 图书馆 的 费用 自 春天 以来 上涨 得 这么 快",
     "اجتمعت اللجنة يوم الثلاثاء لمناقشة ميزانية العام المقبل وسأل العديد من الأعضاء عن سبب ارتفاع تكاليف المكتبة الجديدة بهذه السرعة",
     "समिति की बैठक मंगलवार को अगले वर्ष के बजट पर चर्चा करने के लिए हुई और कई सदस्यों ने पूछा कि नए पुस्तकालय की लागत क्यों बढ़ी",
+    "הוועדה התכנסה ביום שלישי כדי לדון בתקציב לשנה הבאה וכמה חברים שאלו מדוע עלויות הספרייה החדשה עלו כל כך מהר",
+    "위원회는 화요일에 내년 예산을 논의하기 위해 모였고 여러 위원이 새 도서관의 비용이 왜 그렇게 빨리 올랐는지 물었다",
+    "คณะกรรมการ ประชุม เมื่อ วันอังคาร เพื่อ หารือ งบประมาณ สำหรับ ปีหน้า และ สมาชิก หลายคน ถามว่า ทำไม ค่าใช้จ่าย จึง สูงขึ้น",
+    "ኮሚቴው ማክሰኞ ዕለት ለሚቀጥለው ዓመት በጀት ለመወያየት ተሰብስቧል እና በርካታ አባላት የአዲሱ ቤተ መጻሕፍት ወጪ ለምን እንደጨመረ ጠየቁ",
     "name | price | place\n*** *** ***\nWinter coats | 12 $ | the hall near the river\nSummer hats | 7 $ | the garden & the old mill ## by the lake",
 ]
 
@@ -89,6 +121,8 @@ def junk():
         ("characters per token", CLEAN[3].encode().decode("cp1252", "replace")),
         ("entropy", " ".join("a" * draw.randint(20, 60) for _ in range(30))),
         ("entropy", " ".join(some(("buy", "now", "cheap", "pills"), draw.randint(3, 4)) + f" xq{i}" for i in range(3)) + " " + "z" * 3000),
+        ("byte fallback", " ".join(w + (chr(0x8A0 + draw.randrange(20)) if i % 2 else "") for i, w in enumerate(CLEAN[6].split()))),
+        ("byte fallback", " ".join(w + (chr(0xE000 + draw.randrange(900)) if i % 2 else "") for i, w in enumerate(CLEAN[0].split()))),
         ("no letters", " ".join(str(draw.getrandbits(60)) for _ in range(60))),
         ("no letters", " ".join(draw.choice("😀🎉🔥✨💯") + str(i) for i in range(40))),
     ]
@@ -107,3 +141,17 @@ def test_query(spark, con):
         r = got[doc]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == plain(text)
         assert not (r["base_failed"] and r["kept"])
+
+
+def test_kept_equals_a_plain_recomputation(spark, con):
+    vocabulary = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    texts = TEXTS + CLEAN + [t for _, t in junk()] + [t for t, in con.execute("SELECT text FROM documents").fetchall()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reasons = Counter()
+    for r in quality.measure(df, PIECE_BPE, keep=["doc_id"]).collect():
+        text = texts[r["doc_id"]]
+        got = (r["chars_per_token"], r["byte_share"], r["entropy"], r["symbol_share"])
+        assert r["script"] == slow(text, vocabulary)[0] and all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(got, slow(text, vocabulary)[1:], strict=True))
+        assert (r["rejected_by"], r["kept"]) == (why := expected(text, vocabulary), not why)
+        reasons[why] += 1
+    assert {"", "base rules", "symbol runs", "characters per token", "byte fallback", "entropy", "no letters"} <= set(reasons)
