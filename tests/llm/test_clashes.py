@@ -8,7 +8,7 @@ from souklens.llm.queries import PIECE_BPE, WORD_BPE
 
 OUTPUTS = {
     "language": (lambda df: language.predict(df, None), ["lang_pred", "score"]),
-    "licences": (licences.scan, ["n_words", "places", "base_labels", "labels", "score"]),
+    "licences": (licences.scan, ["n_words", "places", "base_labels", "labels", "score", "unread"]),
     "bpe": (lambda df: bpe.round_trip(df, WORD_BPE), ["n_tokens", "ids", "decoded"]),
     "quality": (lambda df: quality.measure(df, PIECE_BPE), [f[0] for f in quality.FIELDS]),
     "repeats": (repeats.remove_repeats, ["n_bytes", "runs", "kept"]),

@@ -24,7 +24,7 @@ TEXTS = ["Released under the MIT License.", "mit license mit license, GNU Genera
 def test_base_places():
     scanner = licences.Scanner()
     for text in TEXTS:
-        n, places, base, labels, _ = scanner.scan(text)
+        n, places, base, labels, *_ = scanner.scan(text)
         assert (n, sorted(places), sorted(base)) == plain(text)
         assert base <= labels
 
@@ -45,10 +45,28 @@ def test_not_expressions(text):
 
 
 def test_tags():
-    n, places, base, labels, score = licences.Scanner().scan("# SPDX-License-Identifier: (MIT OR GPL-2.0)\nspdx-license-identifier: AND\n\"license expression\": \"BSD-3-Clause\"")
+    n, places, base, labels, score, _ = licences.Scanner().scan("# SPDX-License-Identifier: (MIT OR GPL-2.0)\nspdx-license-identifier: AND\n\"license expression\": \"BSD-3-Clause\"")
     assert (base, labels, score) == (set(), {"mit", "gpl", "bsd"}, 1.0)
 
 
+@pytest.mark.parametrize(("text", "labels", "unread"), [
+    ("SPDX-License-Identifier: see the file", set(), {"see the file"}), ("License expression: unknown at this time", set(), {"unknown at this time"}),
+    ("license-expression:\n\nThis text", set(), set()), ("SPDX-License-Identifier: Python code below", set(), {"Python code below"}),
+    ("SPDX-License-Identifier: Python-2.0", {"python"}, set()), ("SPDX-License-Identifier: LicenseRef-Own.1", {"licenseref-own.1"}, set()),
+    ("SPDX-License-Identifier: MIT OR see below", set(), {"MIT OR see below"}), ("SPDX-License-Identifier: MIT see below", {"mit"}, set()),
+    ("SPDX-License-Identifier: CC-BY-NC-SA-4.0 AND OFL-1.1", {"cc-by", "cc-by-nc", "ofl"}, set()), ("SPDX-License-Identifier: GPL-2.0+ WITH Odd-exception", {"gpl"}, set()),
+    ("spdx license identifier = postgresql", set(), {"postgresql"}), ("Under the SIL Open Font License, Version 1.1", {"ofl"}, set()),
+    ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: none", {"mit"}, {"none"}),
+])
+def test_labels_are_identifiers(text, labels, unread):
+    found = licences.Scanner().scan(text)
+    assert (found[3], found[5]) == (labels, unread)
+
+
+def test_every_label_has_a_freedom():
+    assert {*licences.BASE.values(), *licences.NOTICES.values(), *licences.FAMILIES.values()} == set(licences.FREEDOM)
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(1, TEXTS[0], "x"), (1, TEXTS[0], "x"), (None, None, None)], "doc_id long, text string, labels string")
     rows = licences.scan(df, keep=["doc_id"]).collect()
