@@ -42,6 +42,8 @@ GRAM = 32
 PARTS = 4
 #: Periods of repetition that are told inside a text.
 MOST_PERIOD = 32
+#: Probes of periods that are compared at once.
+PROBES = 1 << 16
 #: Bytes of a text that are parsed at once.
 PIECE = 4 << 20
 #: ``place`` is a byte offset, then the number of the part; ``row`` tells rows with the same id apart.
@@ -64,18 +66,26 @@ def sliding(x: np.ndarray, width: int, better) -> np.ndarray:
     return better(x[:len(x) - (width - size)], x[width - size:]) if size < width else x
 
 
+def likely_periods(data: np.ndarray, match: int) -> np.ndarray:
+    """All periods up to ``MOST_PERIOD`` at which some ``match`` bytes may repeat: at one of the probed places the
+    bytes of a word are the same that much later. Any stretch of ``match`` equal bytes holds a whole probed word."""
+    width = 8 if match >= 16 else 1
+    most, step = min(MOST_PERIOD, len(data) - match), match - width + 1
+    padded, found = np.concatenate([data, np.zeros(most + width, np.uint8)]), np.zeros(most, bool)
+    words = np.ndarray(((len(data) - 1) // step + 1, most + 1), f"<u{width}", padded, 0, (step, 1))
+    for begin in range(0, len(words), PROBES):
+        block = words[begin:begin + PROBES]
+        found |= (block[:, 1:] == block[:, :1]).any(0)
+    return np.flatnonzero(found) + 1
+
+
 def periodic(data: np.ndarray, match: int) -> list[tuple[int, int]]:
     """Ranges of begins of windows that equal the window some ``MOST_PERIOD`` bytes or less before them."""
-    out, step = [], max(1, match // 4)
-    for period in range(1, min(MOST_PERIOD, len(data) - match) + 1):
-        late, early = data[period:], data[:-period]
-        probes = late[::step] == early[::step]
-        several = match // step - 1
-        if several > 1:  # so many probes in a row lie in any stretch of ``match`` equal bytes
-            probes = sliding(probes, several, np.minimum) if len(probes) >= several else probes[:0]
-        if not probes.any():
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], late == early, [False]]).astype(np.int8)))
+    out = []
+    if len(data) <= match:
+        return out
+    for period in likely_periods(data, match).tolist():
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], data[period:] == data[:-period], [False]]).astype(np.int8)))
         begins, ends = edges[::2], edges[1::2]
         long = ends - begins >= match
         out += zip((begins[long] + period).tolist(), (ends[long] - match + 1 + period).tolist(), strict=True)
