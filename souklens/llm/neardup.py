@@ -1,10 +1,10 @@
-"""Near duplicates: a MinHash LSH forest over word 5-grams, then exact verification.
+"""Near duplicates: MinHash banding over word 5-grams, then exact verification.
 
 1. Texts whose words agree are copies; their class has one representative. It gets a MinHash signature,
    cut into the labels of ``TREES`` tries.
-2. A match of two labels of full length is shortened value by value until two texts at the threshold
-   share a prefix in some trie with probability ``RECALL`` or more. Longer prefixes lie inside shorter
-   ones, so the forest is read once, at that depth: texts with a common prefix are a node.
+2. All labels have one length: the longest at which two texts at the threshold share one in some trie with
+   probability ``RECALL`` or more. It follows from these parameters, not from the data, so no label is shortened
+   text by text, and a trie is a single level: texts with the same label are a node.
 3. Nodes of several tries with the same few members are looked at once. Large nodes are cut into blocks,
    and each pair of blocks is a unit of work of bounded size, so that a node may hold a third of all texts.
 4. A unit computes the exact Jaccard similarity of its pairs. A pair counts in the first trie in which
