@@ -3,6 +3,9 @@
 import hashlib
 import random
 
+import numpy as np
+import pytest
+
 from souklens.llm import repeats
 from souklens.llm.queries import QUERIES
 
@@ -139,3 +142,15 @@ def test_constant_text_has_few_phrases():
         data = repeats.np.frombuffer(unit * (9_000_000 // len(unit)), "u1")
         at, *_ = parser.phrases(data)
         assert len(at) < 1000 and repeats.periodic(data, 100)
+
+
+@pytest.mark.parametrize("match", [2, 7, 15, 16, 17, 40, 100])
+@pytest.mark.parametrize("probes", [3, 1 << 16])
+def test_periods_against_all_windows(match, probes, monkeypatch):
+    monkeypatch.setattr(repeats, "PROBES", probes)
+    draw = np.random.default_rng(match)
+    for _ in range(60):
+        data = b"".join(bytes(draw.integers(97, 97 + draw.integers(1, 4), draw.integers(1, 40)).astype(np.uint8)) * int(draw.integers(1, 9)) for _ in range(4))
+        told = {i for a, b in repeats.periodic(np.frombuffer(data, np.uint8), match) for i in range(a, b)}
+        assert told == {i for i in range(len(data) - match + 1) for p in range(1, repeats.MOST_PERIOD + 1)
+                        if i >= p and data[i:i + match] == data[i - p:i - p + match]}
