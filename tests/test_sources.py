@@ -11,6 +11,8 @@ from souklens.plans import access, dimensions
 from souklens.sources import delimited, documents, relational, schemas, storage
 from souklens.sources.market import Market
 from souklens.streaming import event_load
+from souklens.workload import ORACLES, QUERIES
+from tests.compare import difference
 
 
 def write(path, text):
@@ -220,6 +222,40 @@ def test_a_cluster_needs_a_shared_folder(spark):
             session.shared_folder(_Cluster(spark, folder))
 
 
+class _Mounted(_Cluster):
+    """The same session where jobs run; ``lost`` rows are written on machines that do not share the folder."""
+
+    def __init__(self, spark, folder, app, lost=0):
+        super().__init__(spark, folder)
+        self.applicationId, self.lost, self.trials, self.spark = app, lost, 0, spark
+        self.defaultParallelism, self.read = spark.sparkContext.defaultParallelism, spark.read
+
+    def range(self, start, end, step, tasks):
+        self.trials += 1
+        return self.spark.range(start, end - self.lost, step, tasks)
+
+
+def test_a_folder_without_a_scheme_is_shared_if_a_trial_shows_it(spark, tmp_path):
+    mounted = _Mounted(spark, f"{tmp_path}/all/", "mounted")
+    for _ in range(2):
+        assert session.shared_folder(mounted) == f"{tmp_path}/all"
+    assert mounted.trials == 1 and not list(tmp_path.glob("all/souklens/mounted/*"))
+    for lost in (1, 2 * spark.sparkContext.defaultParallelism):
+        with pytest.raises(RuntimeError, match="rows written"):
+            session.shared_folder(_Mounted(spark, f"{tmp_path}/own", "apart", lost))
+
+
+@pytest.mark.parametrize("name", ["active_products", "agg_median", "bought_with", "cons_sub_billing", "cons_user_subscription", "graph_pairs_maintained"])
+def test_queries_run_in_a_cluster_whose_folder_has_no_scheme(spark, tmp_path, monkeypatch, con, name):
+    settings = type(spark.conf)
+    known = settings.get
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(settings, "get", lambda self, key, *rest: str(tmp_path) if key == "spark.checkpoint.dir" else known(self, key, *rest))
+    (tmp_path / "data").symlink_to("/root/testdata/sf0.001")  # a path of its own: tables are kept by path
+    assert difference(QUERIES[name](spark, str(tmp_path / "data")), con, ORACLES[name]) is None
+    assert list(tmp_path.glob("souklens/*/*"))
+
+
 def test_scope_deletes_what_was_written_in_it(spark):
     kept = session.written(spark.range(3), "kept")
     with session.scope(spark):
