@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from souklens.operators import joins, quantiles, rankings
-from souklens.plans import dimensions, facts, reports
+from souklens.plans import consolidation, dimensions, facts, reports
 from souklens.sources.market import Market
+from souklens.workload import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,6 +103,30 @@ def test_windows_follow_aggregates(spark):
         assert windows and max(windows) < min(aggregates)
 
 
+def test_invoices_are_moved_once(spark):
+    """Above the scan of lines, which are most of the invoices, lies one exchange also when nothing is broadcast."""
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        lines = plan_of(QUERIES["cons_invoices"](spark, SF)).split("\n")
+    at = next(i for i, line in enumerate(lines) if "FileScan parquet [l_orderkey" in line)
+    depth, above = re.search(r"\w", lines[at]).start(), []
+    for line in reversed(lines[:at]):
+        if (found := re.search(r"[\w*]", line)) and found.start() < depth:
+            depth = found.start()
+            above.append(line)
+    assert sum("Exchange" in line for line in above) == 1
+
+
+def test_invoices_named_by_order_are_those_named_by_user(spark):
+    m = Market(spark, SF)
+    users = m.users().filter("id % 3 != 0").unionByName(m.users().filter("id = 7"))  # some unknown, one twice
+    names = consolidation.user_names(users)
+    market = m.marketplace_invoices().join(names, F.col("user_id") == F.col("user_id_ref"))
+    by_order = consolidation.invoices(m.subscription_invoices(names), market)
+    by_user = consolidation.invoices(m.subscription_invoices(), m.marketplace_invoices(), users)
+    assert by_order.columns == by_user.columns and by_order.count() > 1000
+    assert by_order.exceptAll(by_user).isEmpty() and by_user.exceptAll(by_order).isEmpty()
+
+
 def test_ranked_rows_are_moved_once(spark):
     rows = Market(spark, SF).raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("long").alias("q"))
     with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
