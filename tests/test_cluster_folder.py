@@ -10,6 +10,7 @@ from tests.compare import difference
 
 WRITING = [
     "agg_distinct_sketch_cube",
+    "agg_median",
 ]
 
 
