@@ -11,6 +11,7 @@ from tests.compare import difference
 WRITING = [
     "agg_distinct_sketch_cube",
     "agg_median",
+    "agg_percentile_cont",
 ]
 
 
