@@ -12,6 +12,7 @@ WRITING = [
     "agg_distinct_sketch_cube",
     "agg_median",
     "agg_percentile_cont",
+    "agg_quantile_sketch_cube",
 ]
 
 
