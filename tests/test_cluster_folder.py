@@ -13,6 +13,7 @@ WRITING = [
     "agg_median",
     "agg_percentile_cont",
     "agg_quantile_sketch_cube",
+    "check_price_overlaps",
 ]
 
 
