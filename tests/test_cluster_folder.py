@@ -14,6 +14,7 @@ WRITING = [
     "agg_percentile_cont",
     "agg_quantile_sketch_cube",
     "check_price_overlaps",
+    "check_document_counts",
 ]
 
 
