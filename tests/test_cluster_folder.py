@@ -15,6 +15,7 @@ WRITING = [
     "agg_quantile_sketch_cube",
     "check_price_overlaps",
     "check_document_counts",
+    "bought_with",
 ]
 
 
