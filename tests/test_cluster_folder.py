@@ -16,6 +16,7 @@ WRITING = [
     "check_price_overlaps",
     "check_document_counts",
     "bought_with",
+    "check_unique_keys",
 ]
 
 
