@@ -17,6 +17,7 @@ WRITING = [
     "check_document_counts",
     "bought_with",
     "check_unique_keys",
+    "cons_seller_order_revenue",
 ]
 
 
