@@ -18,6 +18,7 @@ WRITING = [
     "bought_with",
     "check_unique_keys",
     "cons_seller_order_revenue",
+    "cons_order_transactions",
 ]
 
 
