@@ -19,6 +19,7 @@ WRITING = [
     "check_unique_keys",
     "cons_seller_order_revenue",
     "cons_order_transactions",
+    "cons_product_affinity",
 ]
 
 
