@@ -20,6 +20,7 @@ WRITING = [
     "cons_seller_order_revenue",
     "cons_order_transactions",
     "cons_product_affinity",
+    "cons_sub_billing",
 ]
 
 
