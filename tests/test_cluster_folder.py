@@ -21,6 +21,7 @@ WRITING = [
     "cons_order_transactions",
     "cons_product_affinity",
     "cons_sub_billing",
+    "cons_user_activity",
 ]
 
 
