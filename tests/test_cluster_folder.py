@@ -22,6 +22,7 @@ WRITING = [
     "cons_product_affinity",
     "cons_sub_billing",
     "cons_user_activity",
+    "cons_sub_cohort",
 ]
 
 
