@@ -23,6 +23,7 @@ WRITING = [
     "cons_sub_billing",
     "cons_user_activity",
     "cons_sub_cohort",
+    "cons_user_subscription",
 ]
 
 
