@@ -24,6 +24,7 @@ WRITING = [
     "cons_user_activity",
     "cons_sub_cohort",
     "cons_user_subscription",
+    "dim_product",
 ]
 
 
