@@ -25,6 +25,7 @@ WRITING = [
     "cons_sub_cohort",
     "cons_user_subscription",
     "dim_product",
+    "dim_product_affinity_type",
 ]
 
 
