@@ -26,6 +26,7 @@ WRITING = [
     "cons_user_subscription",
     "dim_product",
     "dim_product_affinity_type",
+    "doc_attributes_parse",
 ]
 
 
