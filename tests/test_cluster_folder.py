@@ -27,6 +27,7 @@ WRITING = [
     "dim_product",
     "dim_product_affinity_type",
     "doc_attributes_parse",
+    "doc_scalar_types",
 ]
 
 
