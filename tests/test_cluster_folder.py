@@ -28,6 +28,7 @@ WRITING = [
     "dim_product_affinity_type",
     "doc_attributes_parse",
     "doc_scalar_types",
+    "graph_bought_with",
 ]
 
 
