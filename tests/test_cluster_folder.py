@@ -29,6 +29,7 @@ WRITING = [
     "doc_attributes_parse",
     "doc_scalar_types",
     "graph_bought_with",
+    "graph_product_vertices",
 ]
 
 
