@@ -30,6 +30,7 @@ WRITING = [
     "doc_scalar_types",
     "graph_bought_with",
     "graph_product_vertices",
+    "graph_bought_with_split",
 ]
 
 
