@@ -12,6 +12,7 @@ from tests.compare import difference
 KEEPING = [
     "check_price_overlaps",
     "check_document_counts",
+    "bought_with",
 ]
 
 
