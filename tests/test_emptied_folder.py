@@ -17,6 +17,7 @@ KEEPING = [
     "cons_seller_order_revenue",
     "cons_product_affinity",
     "cons_user_activity",
+    "cons_sub_cohort",
 ]
 
 
