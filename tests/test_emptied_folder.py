@@ -19,6 +19,7 @@ KEEPING = [
     "cons_user_activity",
     "cons_sub_cohort",
     "cons_user_subscription",
+    "dim_product",
 ]
 
 
