@@ -77,22 +77,22 @@ class HatTrie:
     def add(self, rows: np.ndarray) -> None:
         """Count every row of an integer matrix; equal rows are counted together first."""
         if len(rows):
-            rows = rows[np.lexsort(rows.T[::-1])]
-            new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
-            first = np.flatnonzero(new)
-            self.root = self._put(self.root, rows[first].astype(">i4"), np.diff(np.append(first, len(rows))), 0)
+            rows, counts = distinct(rows)
+            keys = np.ascontiguousarray(rows.astype(">i4")).view(f"V{self.size * 4}").ravel().tolist()
+            self.root = self._put(self.root, rows, keys, counts.tolist(), 0)
 
-    def _put(self, node: Counter | dict, rows: np.ndarray, counts: np.ndarray, depth: int) -> Counter | dict:
+    def _put(self, node: Counter | dict, rows: np.ndarray, keys: list[bytes], counts: list[int], depth: int) -> Counter | dict:
+        """Count ``keys``, the bytes of ``rows``; sorted, and alike in the first ``depth`` numbers."""
         if isinstance(node, Counter):
-            before = len(node)
-            rest = np.ascontiguousarray(rows[:, depth:])
-            for key, n in zip(rest.view(f"V{rest.shape[1] * 4}").ravel().tolist(), counts.tolist(), strict=True):
-                node[key] += n
+            before, skip, held = len(node), depth * 4, node.get
+            for key, n in zip(keys, counts, strict=True):
+                rest = key[skip:]
+                node[rest] = held(rest, 0) + n
             self.entries += len(node) - before
             return self._burst(node) if len(node) > self.burst and depth < self.shallow else node
         borders = [0, *(np.flatnonzero(np.diff(rows[:, depth])) + 1).tolist(), len(rows)]
         for word, begin, end in zip(rows[borders[:-1], depth].tolist(), borders, borders[1:]):
-            node[word] = self._put(node.get(word) or Counter(), rows[begin:end], counts[begin:end], depth + 1)
+            node[word] = self._put(node.get(word) or Counter(), rows[begin:end], keys[begin:end], counts[begin:end], depth + 1)
         return node
 
     @staticmethod
@@ -102,39 +102,60 @@ class HatTrie:
             node.setdefault(int.from_bytes(rest[:4], "big"), Counter())[rest[4:]] = n
         return node
 
-    def _walk(self, node: Counter | dict, prefix: bytes) -> Iterator[tuple[bytes, int]]:
+    def _walk(self, node: Counter | dict, prefix: bytes, rows: list[bytes], counts: list[int]) -> None:
         if isinstance(node, Counter):
-            for rest in sorted(node):
-                yield prefix + rest, node[rest]
+            keys = sorted(node)
+            rows.extend([prefix + rest for rest in keys])
+            counts.extend([node[rest] for rest in keys])
         else:
             for word in sorted(node):
-                yield from self._walk(node[word], prefix + word.to_bytes(4, "big"))
+                self._walk(node[word], prefix + word.to_bytes(4, "big"), rows, counts)
 
     def _held(self, node: Counter | dict) -> int:
         return len(node) if isinstance(node, Counter) else sum(map(self._held, node.values()))
 
     def spill(self, left: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Take out subtrees of the root, the largest first, until ``left`` entries stay; each is a sorted run of rows
-        and their counts."""
+        """Take out subtrees of the root, the largest first, until ``left`` entries stay. They come by their first number,
+        as sorted runs of rows and their counts; small subtrees share a run, as a run has a cost of its own."""
         if isinstance(self.root, Counter):
             subtrees = [(b"", self.root)]
             self.root = Counter()
         else:
             sizes = {word: self._held(node) for word, node in self.root.items()}
-            subtrees, held = [], self.entries
+            chosen, held = [], self.entries
             for word in heapq.nlargest(len(sizes), sizes, key=sizes.get):
                 if held <= left:
                     break
                 held -= sizes[word]
-                subtrees.append((word.to_bytes(4, "big"), self.root.pop(word)))
-        for prefix, node in subtrees:
-            rows, counts = [], []
-            for row, n in self._walk(node, prefix):
-                rows.append(row)
-                counts.append(n)
-            self.entries -= len(rows)
-            if rows:
+                chosen.append(word)
+            subtrees = [(word.to_bytes(4, "big"), self.root.pop(word)) for word in sorted(chosen)]
+        rows, counts = [], []
+        for nth, (prefix, node) in enumerate(subtrees):
+            self._walk(node, prefix, rows, counts)
+            if rows and (len(rows) >= ROWS or nth == len(subtrees) - 1):
+                self.entries -= len(rows)
                 yield np.frombuffer(b"".join(rows), ">i4").reshape(-1, self.size).astype(np.int64), np.array(counts, np.int64)
+                rows, counts = [], []
+
+
+def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of a matrix of numbers from 0, sorted, and how often each is there. Several numbers are packed
+    into one of 63 bits: most rows are one such number, which sorts faster than columns."""
+    bits = max(1, int(rows.max()).bit_length())
+    each, size = 63 // bits, rows.shape[1]
+    packs = []
+    for begin in range(0, size, each):
+        pack = rows[:, begin].copy()
+        for k in range(begin + 1, min(begin + each, size)):
+            pack = pack << bits | rows[:, k]
+        packs.append(pack)
+    if len(packs) == 1:
+        values, counts = np.unique(packs[0], return_counts=True)
+        return np.stack([values >> bits * (size - 1 - k) & (1 << bits) - 1 for k in range(size)], axis=1), counts
+    order = np.lexsort(packs[::-1])
+    packs = [pack[order] for pack in packs]
+    first = np.flatnonzero(np.concatenate([[True], np.any([pack[1:] != pack[:-1] for pack in packs], axis=0)]))
+    return rows[order[first]], np.diff(np.append(first, len(rows)))
 
 
 class Words(dict):
@@ -155,9 +176,14 @@ def hashes(numbers: np.ndarray, of_word: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` words from each place on."""
     n = max(0, len(numbers) - size + 1)
     one = of_word[numbers]
-    out = one[:n].copy()
-    for k in range(1, size):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + one[k:n + k])
+    return hashes_of([one[k:n + k] for k in range(size)])
+
+
+def hashes_of(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases from those of their first words, second words and so on."""
+    out = words[0].copy()
+    for word in words[1:]:
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + word)
     return out
 
 
@@ -245,8 +271,10 @@ class _Task:
             for rows, counts in trie.spill(int(trie.entries * share)):
                 for at in range(0, len(rows), ROWS):
                     part = rows[at:at + ROWS]
-                    prefix, found = (hashes(part[:, :k].ravel(), of_word, k)[::k].view(np.int64) for k in (start, size))
-                    yield _batch([lang] * len(part), prefix, [b" ".join([words[w] for w in row]) for row in part.tolist()], found, size, counts[at:at + ROWS])
+                    each = [of_word[part[:, k]] for k in range(size)]
+                    prefix, found = (hashes_of(each[:k]).view(np.int64) for k in (start, size))
+                    phrase = list(map(b" ".join, zip(*[[words[w] for w in part[:, k].tolist()] for k in range(size)], strict=True)))
+                    yield _batch([lang] * len(part), prefix, phrase, found, size, counts[at:at + ROWS])
         if not share:
             langs = [(lang, n) for lang, n in self.totals.items()]
             yield _batch([lang for lang, _ in langs], [0] * len(langs), [b""] * len(langs), [0] * len(langs), 0, [n for _, n in langs])

@@ -84,3 +84,22 @@ def test_trie_counts_and_runs():
         for run, counts in trie.spill():
             got.update({tuple(map(int, r)): int(n) for r, n in zip(run, counts, strict=True)})
         assert trie.entries == 0 and got == Counter(map(tuple, rows.tolist()))
+
+
+def test_small_subtrees_share_a_run():
+    trie, rows = phrases.HatTrie(3, burst=5), np.random.default_rng(4).integers(1, 3_000, (20_000, 3))
+    trie.add(rows)
+    runs = list(trie.spill())
+    assert len(runs) == 1 and trie.entries == 0
+    run, counts = runs[0]
+    assert counts.sum() == len(rows) and [tuple(r) for r in run] == sorted(set(map(tuple, rows.tolist())))
+
+
+def test_distinct_rows():
+    random_ = np.random.default_rng(5)
+    for most in (1, 9, (1 << 20) - 1, 1 << 21, (1 << 31) - 1):
+        for size in (1, 2, 3, 4, 5):
+            rows = random_.integers(0, most + 1, (300, size))[random_.integers(0, 300, 2_000)]
+            got, n = phrases.distinct(rows)
+            want, times = np.unique(rows, axis=0, return_counts=True)
+            assert (got == want).all() and (n == times).all()
