@@ -107,7 +107,8 @@ def _hidden(log: list[Row]) -> Column:
     folder = F.concat_ws("/", F.col("event_date").cast("string"), "load_id")
     replaced = [f"{e['event_date']}/{name}" for e in log for name in e["replaced"]]
     current = [f"{e['event_date']}/{e['load']}" for e in log]
-    unfinished = F.col("load_id").startswith(COMPACTED) & ~folder.isin(current)
+    # every row has a load; coalesce keeps Spark from adding a test for that to the filters of folders
+    unfinished = F.coalesce("load_id", F.lit("")).startswith(COMPACTED) & ~folder.isin(current)
     return unfinished | folder.isin(replaced)
 
 
