@@ -10,6 +10,7 @@ from tests.compare import difference
 KEEPING = [
     "bought_with",
     "check_unique_keys",
+    "cons_sub_cohort",
 ]
 
 
