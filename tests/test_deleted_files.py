@@ -12,6 +12,7 @@ KEEPING = [
     "check_unique_keys",
     "cons_sub_cohort",
     "cons_user_subscription",
+    "dim_product",
 ]
 
 
