@@ -15,6 +15,7 @@ KEEPING = [
     "dim_product",
     "dim_product_affinity_type",
     "doc_attributes_parse",
+    "doc_scalar_types",
 ]
 
 
